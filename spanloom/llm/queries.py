@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontaminate, html_text, langid, licenses, matroska, secrets, simhash
+from spanloom.llm import bpe, decontaminate, html_text, langid, licenses, lines, matroska, secrets, simhash
 from spanloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_license_scan, op3_benchmark_decontamination, op4_simhash_near_dedup, op6_language_id, op7_html_extraction,
+    op2_license_scan, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_line_dedup, op6_language_id, op7_html_extraction,
     op8_secret_scan, op9_media_columns, op10_bpe_encode_decode)}
 
 ORACLE_SQL: dict[str, str] = {}
