@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontaminate, html_text, langid, licenses, lines, matroska, secrets, simhash
+from spanloom.llm import bpe, decontaminate, html_text, langid, licenses, lines, matroska, secrets, simhash, suffix_array
 from spanloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_license_scan, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_line_dedup, op6_language_id, op7_html_extraction,
+    op1_suffix_array_dedup, op2_license_scan, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_line_dedup, op6_language_id, op7_html_extraction,
     op8_secret_scan, op9_media_columns, op10_bpe_encode_decode)}
 
 ORACLE_SQL: dict[str, str] = {}
