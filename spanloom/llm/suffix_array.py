@@ -180,7 +180,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, first_word, end_word, n_words, other_doc_id): the passages of every document that repeat elsewhere.
 
     A passage is a longest stretch of words, each of which lies in a run of `MIN_WORDS` or more
-    equal words of another document; other_doc_id is the smallest of those partners. Words are
+    equal words of another document; other_doc_id is one of those: the smallest id that has some
+    of its runs, or where that is the document's own, the largest. Words are
     what ASCII white space separates, compared exactly. Null and shorter texts, and rows without
     doc_id, have none; repeats inside one document, or between rows of one doc_id, don't count.
     Other columns aren't read; an empty table gives no rows.
