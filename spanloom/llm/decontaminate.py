@@ -6,8 +6,9 @@ eight, and two fingerprints within 23 bits agree in some block but for at most t
 probing each block's value and all values one or two bits away finds every item within the
 radius. Weighted Jaccard similarity of the shingles, 0.8 or more, then decides.
 
-Only windows aligned with a shingle that some item has are fingerprinted. That loses nothing: a
-window without such a shingle has similarity 0 to every item.
+Only windows aligned with a shingle that some item has are fingerprinted, and where an item shares
+40 per cent of its shingles in one alignment, those up to a fifth of its length beside it. A window
+without such a shingle has similarity 0 to every item.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ class Index:
         return found[np.bitwise_count(self.prints[found] ^ fingerprint) <= RADIUS]
 
     def windows(self, text: Text) -> set[tuple[int, int]]:
-        """(start, words) of the windows that share an aligned shingle with some item."""
+        """(start, words) of the windows aligned with a shingle of some item, and of those moved a little where it shares many."""
         out: set[tuple[int, int]] = set()
         for size in [*self.short, SHINGLE]:
             hashes = text.grams.every(size) if text.n >= size else np.zeros(0, np.uint64)
@@ -109,10 +110,13 @@ class Index:
             high = np.searchsorted(self.keys, hashes[hit], side="right")
             many = high - low[hit]
             place = np.repeat(low[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            n = self.sizes[self.owner[place]]
-            n = np.minimum(n, text.n)
-            start = np.clip(np.repeat(hit, many) - self.offset[place], 0, text.n - n)
-            out.update(zip(start.tolist(), n.tolist()))
+            owner = self.owner[place]
+            aligned, shared = np.unique(np.stack([owner, np.repeat(hit, many) - self.offset[place]]), axis=1, return_counts=True)
+            for item, start, k in zip(*aligned.tolist(), shared.tolist()):
+                n = min(int(self.sizes[item]), text.n)
+                # most of an item lies here: a window that leaves out an edited end may fit better
+                slack = n // 5 if n >= SHINGLE and 0.4 * (n - SHINGLE + 1) <= k < n - SHINGLE + 1 else 0
+                out.update((min(max(s, 0), text.n - n), n) for s in range(start - slack, start + slack + 1))
         return out
 
     def matches(self, text: str | None) -> list[dict]:
