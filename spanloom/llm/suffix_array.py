@@ -12,9 +12,10 @@ again at every longer distance: a match can be taken for one word longer than it
 256, and for two in 65536.
 
 Scale: one range-partitioned sort, which splits a frequent gram over partitions by what follows
-it. Groups that end inside a partition are settled there; the first and the last group of each,
-and any over `GROUP` rows, are settled by a pre-aggregated shuffle of their runs, so no pair of
-documents is missed at a partition's edge and no group has to fit a task.
+it. Groups that end inside a partition are settled there. The first and the last group of each,
+and any over `GROUP` rows, are settled piece by piece, and a shuffle of the runs of one document of
+each piece compares the pieces, so no pair of documents is missed at a partition's edge and no
+group has to fit a task.
 """
 
 from __future__ import annotations
@@ -124,14 +125,33 @@ def merged(found: pd.DataFrame) -> pd.DataFrame:
                          "run": pd.array([None] * len(heads), dtype="Int64")})
 
 
-def unsettled(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> pd.DataFrame:
-    """All runs of the suffixes, each with its hash, for the groups that may go on elsewhere."""
+def unsettled(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Passages of suffixes whose group may go on elsewhere, and the runs that are still to be compared there.
+
+    A run of several documents here is settled for all but the document of the smallest id, which
+    stands for them: only its runs are listed, each with its hash and a second document that has it.
+    """
     run, ok = runs(key, ahead, behind)
     row, n = np.nonzero(ok)
-    first = (pos[row] - n).astype(np.int32)
-    return pd.DataFrame({"doc_id": doc[row], "first": first, "last": first + np.int32(MIN_WORDS),
-                         "other": pd.array([None] * len(row), dtype="Int64"),
-                         "run": pd.array(run[row, n].view(np.int64), dtype="Int64")})
+    run = run[row, n]
+    order = np.argsort(run, kind="stable")
+    row, n, run = row[order], n[order], run[order]
+    at = np.flatnonzero(np.append(True, run[1:] != run[:-1])[:len(run)])
+    if not len(at):
+        return
+    sizes = np.diff(np.append(at, len(run)))
+    owner, first = doc[row], pos[row] - n
+    low, high = (np.repeat(f.reduceat(owner, at), sizes) for f in (np.minimum, np.maximum))
+    done = owner != low
+    yield merged(pd.DataFrame({"doc_id": owner[done], "first": first[done], "last": first[done] + MIN_WORDS, "other": low[done]}))
+    # equal runs of that document whose words touch are one row, however often a text repeats itself
+    left = np.flatnonzero(~done)
+    left = left[np.lexsort((first[left], run[left]))]
+    run, doc, first, high = run[left], low[left], first[left], high[left]
+    heads = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (first[1:] > first[:-1] + MIN_WORDS)))
+    tails = np.append(heads[1:], len(run)) - 1
+    yield pd.DataFrame({"doc_id": doc[heads], "first": first[heads].astype(np.int32), "last": (first[tails] + MIN_WORDS).astype(np.int32),
+                        "other": high[heads], "run": pd.array(run[heads].view(np.int64), dtype="Int64")})
 
 
 def compare_neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,12 +175,12 @@ def compare_neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
             open_key, last = int(key[-1]), len(key)
         still_open = key[:last] == open_key
         if still_open.any():
-            yield unsettled(*(v[:last][still_open] for v in rows))
+            yield from unsettled(*(v[:last][still_open] for v in rows))
         if not still_open.all():
             yield merged(settled(*(v[:last][~still_open] for v in rows)))
         rest = tuple(v[last:] for v in rows)
     if rest is not None and len(rest[0]):
-        yield unsettled(*rest)
+        yield from unsettled(*rest)
 
 
 def matches(docs: DataFrame) -> DataFrame:
@@ -169,8 +189,9 @@ def matches(docs: DataFrame) -> DataFrame:
     order = ["key", "ahead", "behind", "doc_id", "pos"]
     array = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     found = cut(array.mapInPandas(compare_neighbours, FOUND))
-    loose = found.where("run is not null").select("doc_id", "first", "last", "run")
-    shared = loose.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
+    loose = found.where("run is not null")
+    shared = loose.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("other").alias("high")).where("low <> high")
+    loose = loose.drop("other")
     joined = loose.join(shared, "run").select(
         "doc_id", "first", "last", F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
     return found.where("run is null").select("doc_id", "first", "last", "other").union(joined)
@@ -180,8 +201,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, first_word, end_word, n_words, other_doc_id): the passages of every document that repeat elsewhere.
 
     A passage is a longest stretch of words, each of which lies in a run of `MIN_WORDS` or more
-    equal words of another document; other_doc_id is one of those: the smallest id that has some
-    of its runs, or where that is the document's own, the largest. Words are
+    equal words of another document; other_doc_id is one of those, of a smaller id than the
+    document's own wherever such a one has some of its runs. Words are
     what ASCII white space separates, compared exactly. Null and shorter texts, and rows without
     doc_id, have none; repeats inside one document, or between rows of one doc_id, don't count.
     Other columns aren't read; an empty table gives no rows.

@@ -495,3 +495,20 @@ def test_pipeline_equals_brute_force(spark, tokenizer):
     texts = {i: t for i, t in texts.items() if item not in " ".join(re.findall(r"\w+", t.lower()))}
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, folder).collect()}
     assert got == {i: plain_tokens(tokenizer, t) for i, t in texts.items()}
+
+
+def test_periodic_texts_over_many_pieces_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        side = " ".join(f"s{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 30)))
+        rows.append((i, f"{side} {' '.join(['again', 'and'] * rng.randrange(10, 90))} {side} {'end ' * rng.randrange(20, 80)}"))
+    monkeypatch.setattr(suffix_array, "GROUP", 30)
+    got = defaultdict(list)
+    for r in suffix_array.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        got[r.doc_id].append([r.first_word, r.end_word])
+        assert r.other_doc_id != r.doc_id
+    want = plain_passages(dict(rows))
+    assert set(got) == set(want)
+    for i, spans in want.items():
+        assert len(got[i]) == len(spans) and all(abs(a - c) <= 1 and abs(b - d) <= 1 for (a, b), (c, d) in zip(sorted(got[i]), spans))
