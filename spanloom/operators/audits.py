@@ -106,3 +106,59 @@ def greedy_global_match(left: DataFrame, right: DataFrame, by: Sequence[str], ti
             return fixed if fixed is not None else best
         fixed = best if fixed is None else fixed.union(best)
         free = free.join(best.select(*by, "a"), [*by, "a"], "left_anti").join(best.select(*by, "b"), [*by, "b"], "left_anti").select(*by, "a", "b").persist()
+
+
+def version_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """(field, changed, to_null, from_null, pairs, median, p90, most): how two versions with the same keys differ by field.
+
+    Both sides become one long table of (key, field, value) that is grouped once by key and field,
+    so neither version is joined to the other; the absolute differences are of rows known in both.
+    """
+    def long(df: DataFrame, side: str) -> DataFrame:
+        wide = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in fields])
+        return wide.unpivot(list(keys), list(fields), "field", "value").withColumn("__side", F.lit(side))
+
+    both = long(old, "old").union(long(new, "new")).groupBy(*keys, "field").agg(
+        F.max(F.when(F.col("__side") == "old", F.col("value"))).alias("a"), F.max(F.when(F.col("__side") == "new", F.col("value"))).alias("b"))
+    d = F.abs(F.col("b") - F.col("a"))
+    return both.groupBy("field").agg(
+        F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("changed"), F.count_if(F.col("a").isNotNull() & F.col("b").isNull()).alias("to_null"),
+        F.count_if(F.col("a").isNull() & F.col("b").isNotNull()).alias("from_null"), F.count(d).alias("pairs"), F.median(d).alias("median"),
+        F.percentile(d, F.lit(0.9)).alias("p90"), F.max(d).alias("most"))
+
+
+def artifact_windows(df: DataFrame, by: Sequence[str], window: Column, value: str, share: float = 0.9, least: int = 10) -> DataFrame:
+    """(by, window, n, mean, artifact): windows of at least `least` values, flagged if their mean is over the key's percentile."""
+    limit = df.groupBy(*by).agg(F.percentile(value, F.lit(share)).alias("__limit"))
+    means = df.groupBy(*by, window.alias("window")).agg(F.count(value).alias("n"), F.avg(value).alias("mean")).where(F.col("n") >= least)
+    return means.join(limit, list(by)).withColumn("artifact", F.col("mean") > F.col("__limit")).drop("__limit")
+
+
+def harmonic_fold(value: Column, anchor: Column, low: float, high: float, share: float = 0.2) -> tuple[Column, Column]:
+    """The half or the double of a rate if it lies in [low, high] and within a share of the anchor, half first; and whether it was folded."""
+    def fits(v: Column) -> Column:
+        return F.coalesce(v.between(low, high) & (F.abs(v - anchor) <= share * anchor), F.lit(False))
+
+    half, double = value / 2, value * 2
+    return F.when(fits(half), half).when(fits(double), double).otherwise(value), fits(half) | fits(double)
+
+
+def neighbour_coherence(samples: DataFrame, by: Sequence[str], time: str, cell: str, value: str, radius: int = 2) -> DataFrame:
+    """(by, cell, coherence): the greatest absolute correlation of a cell's steps with those of a cell within `radius`.
+
+    The steps of a cell meet those of its neighbours at the same key and time, 2 * radius for
+    each; a cell without a neighbour, or with constant steps, has 0.
+    """
+    steps = samples.select(*by, time, cell, (F.col(value) - F.lag(value).over(Window.partitionBy(*by, cell).orderBy(time))).alias("x"))
+    moved = steps.select(*by, time, F.explode(F.array(*[F.col(cell) + i for i in range(-radius, radius + 1) if i])).alias(cell), F.col("x").alias("y"),
+                         F.col(cell).alias("__other"))
+    paired = steps.where("x is not null").join(moved.where("y is not null"), [*by, time, cell])
+    r = paired.groupBy(*by, cell, "__other").agg(F.corr("x", "y").alias("r"))
+    best = r.groupBy(*by, cell).agg(F.max(F.abs(F.nanvl("r", F.lit(0.0)))).alias("coherence"))
+    return samples.select(*by, cell).distinct().join(best, [*by, cell], "left").na.fill(0.0, ["coherence"])
+
+
+def preferred_path(paths: DataFrame, by: Sequence[str], path: str, preferred: str) -> DataFrame:
+    """(by, path): one path of each key, without `preferred` in it before with, then of the least depth, then the first by name."""
+    order = F.struct(F.col(path).contains(preferred), F.size(F.split(path, "/")), F.col(path))
+    return paths.groupBy(*by).agg(F.min_by(path, order).alias("path"))

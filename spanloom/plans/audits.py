@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import audits as A
@@ -109,3 +109,51 @@ def greedy_global_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks and views of a user paired one to one within three hours, nearest first."""
     e = events(spark, sf_dir)
     return A.greedy_global_match(e.where("event_type = 'click'"), e.where("event_type = 'view'"), ["user_id"], "ms", 3 * HOUR)
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, unnest(['price', 'customer']) AS field,
+ unnest([CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END, CAST(o_custkey AS DOUBLE)]) AS a,
+ unnest([CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 2.5 ELSE o_totalprice END, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_custkey AS DOUBLE) END]) AS b FROM orders)
+SELECT field, count(*) FILTER (a IS DISTINCT FROM b) AS changed, count(*) FILTER (a IS NOT NULL AND b IS NULL) AS to_null, count(*) FILTER (a IS NULL AND b IS NOT NULL) AS from_null,
+ count(abs(b - a)) AS pairs, {q6('median(abs(b - a))')} AS median, {q6('quantile_cont(abs(b - a), 0.9)')} AS p90, {q6('max(abs(b - a))')} AS most FROM o GROUP BY 1""")
+def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("customer"))
+    key = F.col("o_orderkey")
+    old = o.withColumn("price", F.when(key % 11 != 0, F.col("price")))
+    new = o.withColumns({"price": F.when(key % 7 == 0, F.col("price") + 2.5).otherwise(F.col("price")), "customer": F.when(key % 13 != 0, F.col("customer"))})
+    d = A.version_diff(old, new, ["o_orderkey"], ["price", "customer"])
+    return d.select("field", "changed", "to_null", "from_null", "pairs", *[r6(c).alias(c) for c in ("median", "p90", "most")])
+
+
+@query(f"""WITH {EVENTS_SQL}, t AS (SELECT event_type, quantile_cont(value, 0.9) AS lim FROM ev GROUP BY 1),
+w AS (SELECT event_type, CAST(floor(ms / {6.0 * HOUR}) AS BIGINT) AS win, count(value) AS n, avg(value) AS mean FROM ev GROUP BY 1, 2)
+SELECT event_type, win AS "window", n, {q6('mean')} AS mean, mean > lim AS artifact FROM w JOIN t USING (event_type) WHERE n >= 3""")
+def artifact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = A.artifact_windows(events(spark, sf_dir), ["event_type"], F.floor(F.col("ms") / (6 * HOUR)), "value", 0.9, 3)
+    return a.select("event_type", "window", "n", r6("mean").alias("mean"), "artifact")
+
+
+@query(f"""WITH {EVENTS_SQL}, a AS (SELECT event_id, value AS v, avg(value) OVER (PARTITION BY user_id) AS m FROM ev)
+SELECT event_id, CASE WHEN v / 2 BETWEEN 10 AND 200 AND abs(v / 2 - m) <= 0.2 * m THEN {q6('v / 2')} WHEN v * 2 BETWEEN 10 AND 200 AND abs(v * 2 - m) <= 0.2 * m THEN {q6('v * 2')}
+ ELSE {q6('v')} END AS rate, coalesce(v / 2 BETWEEN 10 AND 200 AND abs(v / 2 - m) <= 0.2 * m OR v * 2 BETWEEN 10 AND 200 AND abs(v * 2 - m) <= 0.2 * m, false) AS folded FROM a""")
+def harmonic_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = events(spark, sf_dir).select("event_id", F.col("value").alias("v"), F.avg("value").over(Window.partitionBy("user_id")).alias("m"))
+    rate, folded = A.harmonic_fold(F.col("v"), F.col("m"), 10, 200)
+    return a.select("event_id", r6(rate).alias("rate"), folded.alias("folded"))
+
+
+@query(f"""WITH {EVENTS_SQL}, s AS (SELECT user_id % 12 AS cell, ms // {6 * HOUR} AS t, avg(value) AS v FROM ev GROUP BY 1, 2),
+d AS (SELECT cell, t, v - lag(v) OVER (PARTITION BY cell ORDER BY t) AS x FROM s),
+r AS (SELECT a.cell, b.cell AS other, corr(a.x, b.x) AS r FROM d a JOIN d b ON a.t = b.t AND a.cell <> b.cell AND abs(a.cell - b.cell) <= 2 GROUP BY 1, 2)
+SELECT c.cell, {q6('coalesce(max(CASE WHEN isnan(r) THEN 0 ELSE abs(r) END), 0)')} AS coherence FROM (SELECT DISTINCT cell FROM s) c LEFT JOIN r USING (cell) GROUP BY 1""")
+def neighbour_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = events(spark, sf_dir).groupBy((F.col("user_id") % 12).alias("cell"), F.expr(f"ms div {6 * HOUR}").alias("t")).agg(F.avg("value").alias("v"))
+    return A.neighbour_coherence(s, [], "t", "cell", "v").select("cell", r6("coherence").alias("coherence"))
+
+
+@query("""WITH p AS (SELECT split_part(url, '/', 3) AS host, url FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY contains(url, 'index'), len(string_split(url, '/')), url) AS rn FROM p)
+SELECT host, url AS path FROM r WHERE rn = 1""")
+def preferred_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), "url")
+    return A.preferred_path(p, ["host"], "url", "index")
