@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact check.
 
-Every benchmark item of n words is looked for in windows of n words. A window is fingerprinted by
+Every benchmark item of n words is looked for in windows of n words; a document of fewer words is
+one window, compared with every longer item. A window is fingerprinted by
 the weighted SimHash of its five-word shingles; the index cuts the 64 bits into eight blocks of
 eight, and two fingerprints within 23 bits agree in some block but for at most two bits, so
 probing each block's value and all values one or two bits away finds every item within the
@@ -87,13 +88,13 @@ class Index:
         self.first = [np.searchsorted(values[self.order[b], b], np.arange(257)) for b in range(BLOCKS)]
         self.short = sorted({int(n) for n in self.sizes if n < SHINGLE})
 
-    def search(self, fingerprint: np.uint64, n: int) -> np.ndarray:
-        """Items of n words within the radius of a fingerprint."""
+    def search(self, fingerprint: np.uint64, n: int, whole: bool = False) -> np.ndarray:
+        """Items of n words within the radius of a fingerprint; of n or more words for a whole text, which no item's window exceeds."""
         values = np.array([fingerprint]).view(np.uint8)
         found = [self.order[b][self.first[b][v]:self.first[b][v + 1]]
                  for b in range(BLOCKS) for v in (PROBES ^ values[b]).tolist()]
         found = np.unique(np.concatenate(found))
-        found = found[self.sizes[found] == n]
+        found = found[self.sizes[found] >= n] if whole else found[self.sizes[found] == n]
         return found[np.bitwise_count(self.prints[found] ^ fingerprint) <= RADIUS]
 
     def windows(self, text: Text) -> set[tuple[int, int]]:
@@ -129,7 +130,7 @@ class Index:
             h, w = t.shingles(start, n)
             bag = Counter(h.tolist())
             weight = dict(zip(h.tolist(), w.tolist()))
-            for i in self.search(simhash(h, w), n).tolist():
+            for i in self.search(simhash(h, w), n, n == t.n).tolist():
                 s = similarity(bag, weight, self.items[i])
                 if s >= SIMILARITY and s > best.get(i, (0.0,))[0]:
                     best[i] = s, start, n

@@ -270,6 +270,34 @@ def test_contamination_equals_all_windows(spark):
         assert got[i] == plain(t), t
 
 
+def test_documents_shorter_than_an_item_are_matched(spark):
+    rng = random.Random(17)
+    items = [(i, " ".join(f"v{rng.randrange(200)}" for _ in range(n))) for i, n in enumerate([3, 5, 9, 10, 16, 20, 25, 31, 40, 59] * 4)]
+    index = decontaminate.Index(items)
+    rows, want = [], {}
+    for _, text in items:
+        words = text.split()
+        for less in range(1, len(words) // 5 + 1):
+            for low in sorted({0, less // 2, less}):
+                rows.append((len(rows), " ".join(words[low:len(words) - less + low])))
+    for i, text in rows:
+        t = decontaminate.Text(text)
+        want[i] = set()
+        for item in index.items:
+            n = min(item.n, t.n)
+            for s in range(t.n - n + 1):
+                h, w = t.shingles(s, n)
+                if decontaminate.similarity(Counter(h.tolist()), dict(zip(h.tolist(), w.tolist())), item) >= 0.8:
+                    want[i].add(item.item_id)
+    d, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = defaultdict(set)
+    for r in decontaminate.contamination(d, bench).collect():
+        assert (r.start_word, r.n_words) == (0, len(rows[r.doc_id][1].split()))
+        got[r.doc_id].add(r.item_id)
+    assert {i: got[i] for i in want} == want and sum(map(bool, want.values())) > 80
+    assert {r.doc_id for r in decontaminate.keep_clean(d, bench).collect()} == {i for i in want if not want[i]}
+
+
 def test_multi_index_finds_everything_in_the_radius():
     import numpy as np
 
