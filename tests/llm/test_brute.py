@@ -361,6 +361,24 @@ def test_line_links_have_high_recall_and_no_false_ones(spark):
     assert sum(a[n] == b[n] for n in a) >= 0.95 * len(a)
 
 
+def test_short_lines_and_unbroken_tokens_are_linked(spark):
+    rng = random.Random(19)
+    name = lambda a, b: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(a, b)))
+    base = [" ".join(name(5, 10) for _ in range(rng.randrange(2, 6))) for _ in range(300)]
+    pairs = [(x, x + rng.choice([".", " 2", "!?"])) for x in base]
+    for symbols, n in (("0123456789abcdef", 48), ("".join(map(chr, range(33, 127))), 64), ("äöüßabcdefghij", 60), ("🎉🐍中文字あいうえお", 40)):
+        for _ in range(150):
+            token = "".join(rng.choice(symbols) for _ in range(n))
+            pairs += [(token, "x" + token[1:]), (token, token[:n // 2] + "x" * (n // 60) + token[n // 2:] + "y")]
+    rows = lines.lines_of(spark.createDataFrame(list(enumerate(x for p in pairs for x in p)), "doc_id long, text string"))
+    norm = {r.id: r.norm for r in rows.collect()}
+    got = {tuple(sorted((norm[r.a], norm[r.b]))) for r in lines.similar_lines(rows).collect()}
+    want = plain_line_links(set(norm.values()))
+    root = components(norm.values(), got)
+    assert len(want) > 1000 and got <= want
+    assert sum(root[m] == root[n] for m, n in want) >= 0.99 * len(want)
+
+
 def test_one_line_of_each_exact_group_stays(docs):
     lost = {(r.doc_id, r.line_no) for r in lines.repeated_lines(docs).collect()}
     kept = Counter()
