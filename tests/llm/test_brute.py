@@ -379,6 +379,21 @@ def test_short_lines_and_unbroken_tokens_are_linked(spark):
     assert sum(root[m] == root[n] for m, n in want) >= 0.99 * len(want)
 
 
+@pytest.mark.parametrize("chunk", [512, 20])
+def test_interleaved_families_in_a_hot_bucket(spark, monkeypatch, chunk):
+    monkeypatch.setattr(lines, "CHUNK", chunk)
+    rng = random.Random(23)
+    family = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(60)).strip() for _ in range(40)]
+    texts = [f"{f} {'.' * k}{rng.randrange(10)}" for f in family for k in (1, 2, 3)]
+    rows = lines.lines_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    norm = {r.id: r.norm for r in rows.collect()}
+    # all lines share one bucket, as under a frequent opening
+    monkeypatch.setattr(lines, "band_keys", lambda t: t.select("id", F.char_length("norm").alias("size"), F.lit(1).cast("long").alias("key")))
+    got = {tuple(sorted((norm[r.a], norm[r.b]))) for r in lines.similar_lines(rows).collect()}
+    want = plain_line_links(set(norm.values()))
+    assert got <= want and components(norm.values(), got) == components(norm.values(), want) and len(want) >= 100
+
+
 def test_one_line_of_each_exact_group_stays(docs):
     lost = {(r.doc_id, r.line_no) for r in lines.repeated_lines(docs).collect()}
     kept = Counter()
