@@ -2,20 +2,18 @@
 
 Sparse suffix array: of every run of `MIN_WORDS` words, the suffix at the least-hashed `GRAM`-word
 gram is retained, so a repeated passage retains the same suffixes wherever it stands. A retained
-suffix carries a digest of each of the words before its gram and after it. All of them are sorted
-by gram, then by the words after; neighbours with an equal gram form a group, and inside a group
-matches are extended left and right: every run of `MIN_WORDS` words around the gram is compared
-by the digests up to its two ends.
-
-The digest at distance d is one byte of the hash of all d words between, so a difference shows
-again at every longer distance: a match can be taken for one word longer than it is at one end in
-256, and for two in 65536.
-
-Scale: one range-partitioned sort, which splits a frequent gram over partitions by what follows
-it. Groups that end inside a partition are settled there. The first and the last group of each,
-and any over `GROUP` rows, are settled piece by piece, and a shuffle of the runs of one document of
-each piece compares the pieces, so no pair of documents is missed at a partition's edge and no
-group has to fit a task.
+suffix carries the runs that chose it, one digest each: they reach from the gram to the left and
+to the right. Suffixes are sorted by gram; neighbours with an equal gram are compared run by run, and
+a match is extended to the left and to the right over all runs that follow one another.
+
+Every run of a text is carried by one suffix, the same in every document, so equal runs always
+meet. A digest has 32 bits beside the 64 of the gram: of two runs that share a gram and differ, one
+pair in four thousand million is taken for equal.
+
+Scale: one Python pass over the texts and one shuffle of the suffixes by gram. Grams that a bounded
+sample of documents shows to be frequent are spread over `PIECES` tasks by document; these, and any
+group over `GROUP` rows, are settled piece by piece, and a shuffle of the runs of one document of
+each piece compares the pieces. The sample only balances the tasks: whatever it holds, no pair of documents is missed.
 """
 
 from __future__ import annotations
@@ -32,163 +30,163 @@ from spanloom.llm.words import SPACED, Grams, mix, words_of
 
 MIN_WORDS = 50
 GRAM = 16
-REACH = MIN_WORDS - GRAM
 GROUP = 20_000
+#: Documents looked at for frequent grams, the share of them that makes a gram frequent, and the tasks such a gram is spread over.
+SAMPLE = 4000
+FREQUENT = 0.004
+PIECES = 64
 
-SUFFIX = "key long, doc_id long, pos int, ahead binary, behind binary"
+SUFFIX = "key long, doc_id long, first int, runs binary"
 FOUND = "doc_id long, first int, last int, other long, run long"
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def suffixes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, position, digests ahead, digests behind) of the retained suffixes of a text.
-
-    A digest is 1 to 255; 0 stands for words past the end or before the start of the text.
-    """
+    """(key, first, count, digests): gram hash of each retained suffix, first run that chose it, how many did, and the digests of all runs."""
     words, _, _ = words_of(text, SPACED)
-    none = np.zeros((0, REACH), np.uint8)
     if len(words) < MIN_WORDS:
-        return words[:0], np.zeros(0, np.int64), none, none
+        return words[:0], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
     grams = Grams(words)
     hashes = grams.every(GRAM)
     windows = np.lib.stride_tricks.sliding_window_view(hashes, MIN_WORDS - GRAM + 1)
-    pos = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    reach = np.arange(1, REACH + 1)
-    ahead, behind = pos[:, None] + GRAM + reach <= len(words), pos[:, None] >= reach
-    right = grams.at(np.broadcast_to(pos[:, None] + GRAM, ahead.shape), np.where(ahead, reach, 0))
-    left = grams.at(np.where(behind, pos[:, None] - reach, 0), np.where(behind, reach, 0))
-    digest = lambda h, ok: np.where(ok, (h >> np.uint64(8)) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
-    return hashes[pos], pos, digest(right, ahead), digest(left, behind)
+    # positions of the least grams never fall, so the runs that choose one suffix are neighbours
+    at, first, count = np.unique(windows.argmin(axis=1) + np.arange(len(windows)), return_index=True, return_counts=True)
+    return hashes[at], first, count, (grams.every(MIN_WORDS) >> np.uint64(32)).astype(np.uint32)
 
 
 def retained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for low in range(0, len(batch), 500):
-            parts = [[], [], [], [], []]
+            keys, docs, firsts, runs = [], [], [], []
             for doc_id, text in zip(batch["doc_id"][low:low + 500], batch["text"][low:low + 500]):
-                key, pos, ahead, behind = suffixes(text)
-                for part, value in zip(parts, (key, np.full(len(pos), doc_id, np.int64), pos, ahead, behind)):
-                    part.append(value)
-            key, doc, pos, ahead, behind = (np.concatenate(p) for p in parts)
-            yield pd.DataFrame({"key": key.view(np.int64), "doc_id": doc, "pos": pos.astype(np.int32),
-                                "ahead": [r.tobytes() for r in ahead], "behind": [r.tobytes() for r in behind]})
-
-
-def runs(key: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and validity, for each suffix and each n from 0, of the run with n words before the gram."""
-    def upto(digests: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(digests), REACH + 1), np.uint64)
-        for j in range(REACH):
-            out[:, j + 1] = mix(out[:, j] * np.uint64(257) + digests[:, j].astype(np.uint64))
-        return out
-
-    before, after = upto(behind), upto(ahead)[:, ::-1]
-    n = np.arange(REACH + 1, dtype=np.uint64)
-    ok = np.ones((len(key), REACH + 1), bool)
-    ok[:, 1:] &= behind != 0
-    ok[:, :-1] &= ahead[:, ::-1] != 0
-    return mix(before * np.uint64(3) + after * np.uint64(5) + mix(key.view(np.uint64))[:, None] + n * np.uint64(7)), ok
-
-
-def settled(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> pd.DataFrame:
-    """Passages among suffixes of whole groups, sorted by key: (doc_id, first, last, other)."""
+                key, first, count, digests = suffixes(text)
+                keys.append(key)
+                docs.append(np.full(len(key), doc_id, np.int64))
+                firsts.append(first)
+                data = digests.tobytes()
+                runs += [data[4 * a:4 * b] for a, b in zip(first.tolist(), (first + count).tolist())]
+            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc_id": np.concatenate(docs),
+                                "first": np.concatenate(firsts).astype(np.int32), "runs": runs})
+
+
+def spread(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, doc_id, start) of every run of some suffixes, sorted by run, so equal runs are neighbours."""
+    key, doc, first, runs = rows
+    count = np.array([len(r) // 4 for r in runs], np.int64)
+    digest = np.frombuffer(b"".join(runs), np.uint32).astype(np.uint64)
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    run = mix(np.repeat(key.view(np.uint64), count) + digest * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(run, kind="stable")
+    return run[order], np.repeat(doc, count)[order], (np.repeat(first, count) + step)[order]
+
+
+def extremes(run: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the sorted runs the least and the greatest document that has it."""
+    at = np.flatnonzero(np.append(True, run[1:] != run[:-1])[:len(run)])
+    sizes = np.diff(np.append(at, len(run)))
+    return tuple(np.repeat(f.reduceat(doc, at), sizes) if len(at) else doc for f in (np.minimum, np.maximum))
+
+
+def settled(rows: Rows) -> pd.DataFrame:
+    """Passages among suffixes of whole groups, sorted by key."""
+    key, doc = rows[:2]
     new = np.append(True, key[1:] != key[:-1])
-    group = np.cumsum(new) - 1
-    at = np.flatnonzero(new)
+    at, group = np.flatnonzero(new), np.cumsum(new) - 1
     several = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at))[group]
-    key, doc, pos, ahead, behind = (v[several] for v in (key, doc, pos, ahead, behind))
-    if not len(key):
-        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc_id", "first", "last", "other")})
-    run, ok = runs(key, ahead, behind)
-    row, n = np.nonzero(ok)
-    run = run[row, n]
-    order = np.argsort(run, kind="stable")
-    row, n, run = row[order], n[order], run[order]
-    new = np.append(True, run[1:] != run[:-1])
-    at, member = np.flatnonzero(new), np.cumsum(new) - 1
-    owner = doc[row]
-    low, high = np.minimum.reduceat(owner, at)[member], np.maximum.reduceat(owner, at)[member]
+    run, doc, start = spread(tuple(v[several] for v in rows))
+    low, high = extremes(run, doc)
     hit = low != high
-    row, n, other = row[hit], n[hit], np.where(owner == low, high, low)[hit]
-    first = pos[row] - n
-    return pd.DataFrame({"doc_id": doc[row], "first": first, "last": first + MIN_WORDS, "other": other})
+    return extended(doc[hit], start[hit], np.where(doc == low, high, low)[hit])
 
 
-def merged(found: pd.DataFrame) -> pd.DataFrame:
+def extended(doc: np.ndarray, start: np.ndarray, other: np.ndarray) -> pd.DataFrame:
     """Runs that follow one another in a document with the same partner, as one passage."""
-    found = found.sort_values(["doc_id", "other", "first"], kind="stable")
-    doc, other, first = (found[c].to_numpy() for c in ("doc_id", "other", "first"))
-    new = np.append(True, (doc[1:] != doc[:-1]) | (other[1:] != other[:-1]) | (first[1:] > first[:-1] + 1)) if len(found) else []
+    order = np.lexsort((start, other, doc))
+    doc, start, other = doc[order], start[order], other[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (other[1:] != other[:-1]) | (start[1:] > start[:-1] + 1))[:len(doc)]
     heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(found)) - 1 if len(heads) else heads
-    return pd.DataFrame({"doc_id": doc[heads], "first": first[heads].astype(np.int32),
-                         "last": found["last"].to_numpy()[tails].astype(np.int32), "other": other[heads],
+    tails = np.append(heads[1:], len(doc)) - 1 if len(heads) else heads
+    return pd.DataFrame({"doc_id": doc[heads], "first": start[heads].astype(np.int32),
+                         "last": (start[tails] + MIN_WORDS).astype(np.int32), "other": other[heads],
                          "run": pd.array([None] * len(heads), dtype="Int64")})
 
 
-def unsettled(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> Iterator[pd.DataFrame]:
+def unsettled(rows: Rows) -> Iterator[pd.DataFrame]:
     """Passages of suffixes whose group may go on elsewhere, and the runs that are still to be compared there.
 
     A run of several documents here is settled for all but the document of the smallest id, which
     stands for them: only its runs are listed, each with its hash and a second document that has it.
     """
-    run, ok = runs(key, ahead, behind)
-    row, n = np.nonzero(ok)
-    run = run[row, n]
-    order = np.argsort(run, kind="stable")
-    row, n, run = row[order], n[order], run[order]
-    at = np.flatnonzero(np.append(True, run[1:] != run[:-1])[:len(run)])
-    if not len(at):
+    run, doc, start = spread(rows)
+    if not len(run):
         return
-    sizes = np.diff(np.append(at, len(run)))
-    owner, first = doc[row], pos[row] - n
-    low, high = (np.repeat(f.reduceat(owner, at), sizes) for f in (np.minimum, np.maximum))
-    done = owner != low
-    yield merged(pd.DataFrame({"doc_id": owner[done], "first": first[done], "last": first[done] + MIN_WORDS, "other": low[done]}))
+    low, high = extremes(run, doc)
+    done = doc != low
+    yield extended(doc[done], start[done], low[done])
     # equal runs of that document whose words touch are one row, however often a text repeats itself
     left = np.flatnonzero(~done)
-    left = left[np.lexsort((first[left], run[left]))]
-    run, doc, first, high = run[left], low[left], first[left], high[left]
-    heads = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (first[1:] > first[:-1] + MIN_WORDS)))
+    left = left[np.lexsort((start[left], run[left]))]
+    run, doc, start, high = run[left], doc[left], start[left], high[left]
+    heads = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (start[1:] > start[:-1] + MIN_WORDS)))
     tails = np.append(heads[1:], len(run)) - 1
-    yield pd.DataFrame({"doc_id": doc[heads], "first": first[heads].astype(np.int32), "last": (first[tails] + MIN_WORDS).astype(np.int32),
+    yield pd.DataFrame({"doc_id": doc[heads], "first": start[heads].astype(np.int32), "last": (start[tails] + MIN_WORDS).astype(np.int32),
                         "other": high[heads], "run": pd.array(run[heads].view(np.int64), dtype="Int64")})
 
 
-def compare_neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk one sorted partition: settle the groups that end in it, list the runs of the others."""
-    rest: tuple | None = None
-    open_key: int | None = None
-    started = False
-    for batch in batches:
-        if not len(batch):
-            continue
-        key, doc, pos = (batch[c].to_numpy() for c in ("key", "doc_id", "pos"))
-        ahead, behind = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, REACH) for c in ("ahead", "behind"))
-        rows = (key, doc, pos, ahead, behind)
+def neighbours(frequent: np.ndarray):
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Walk one sorted partition: settle whole groups, list the runs of the frequent and the large ones."""
+        rest: Rows | None = None
+        large: int | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = tuple(batch[c].to_numpy() for c in ("key", "doc_id", "first", "runs"))
+            if rest is not None:
+                rows = tuple(np.concatenate(v) for v in zip(rest, rows))
+            key = rows[0]
+            last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+            was = large
+            if len(key) - last > GROUP:
+                large, last = int(key[-1]), len(key)
+            yield from split(tuple(v[:last] for v in rows), was, large)
+            rest = tuple(v[last:] for v in rows)
         if rest is not None:
-            rows = tuple(np.concatenate(v) for v in zip(rest, rows))
-        key = rows[0]
-        if not started:
-            open_key, started = int(key[0]), True
-        last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
-        if len(key) - last > GROUP:
-            open_key, last = int(key[-1]), len(key)
-        still_open = key[:last] == open_key
-        if still_open.any():
-            yield from unsettled(*(v[:last][still_open] for v in rows))
-        if not still_open.all():
-            yield merged(settled(*(v[:last][~still_open] for v in rows)))
-        rest = tuple(v[last:] for v in rows)
-    if rest is not None and len(rest[0]):
-        yield from unsettled(*rest)
+            yield from split(rest, large, large)
+
+    def split(rows: Rows, was: int | None, large: int | None) -> Iterator[pd.DataFrame]:
+        if not len(rows[0]):
+            return
+        open_ = np.isin(rows[0], frequent) | (rows[0] == was) | (rows[0] == large)
+        if open_.any():
+            yield from unsettled(tuple(v[open_] for v in rows))
+        if not open_.all():
+            yield settled(tuple(v[~open_] for v in rows))
+
+    return compare
+
+
+def frequent_keys(texts: DataFrame) -> np.ndarray:
+    """Keys that `FREQUENT` of a sample of at most about `SAMPLE` documents share; a document has few keys, so they are few."""
+    n = texts.count()
+    some = texts.sample(min(1.0, SAMPLE / n), seed=1) if n else texts
+    counts = some.mapInPandas(retained, SUFFIX).groupBy("key").agg(F.count("*").alias("n"))
+    rows = counts.where(F.col("n") >= max(4, FREQUENT * min(n, SAMPLE))).select("key").collect()
+    return np.array(sorted(r[0] for r in rows), np.int64)
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last, other): passages of words [first, last) that also stand in document `other`."""
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInPandas(retained, SUFFIX)
-    order = ["key", "ahead", "behind", "doc_id", "pos"]
-    array = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = cut(array.mapInPandas(compare_neighbours, FOUND))
+    """(doc_id, first, last, other): words [first, last) of a document, each run of which also stands in document `other`.
+
+    `other` is less than doc_id where any smaller id has these runs.
+    """
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    frequent = frequent_keys(texts)
+    rows = texts.mapInPandas(retained, SUFFIX)
+    hot = F.col("key").isin(frequent.tolist()) if len(frequent) else F.lit(False)
+    salt = F.when(hot, F.pmod(F.xxhash64("doc_id"), F.lit(PIECES))).otherwise(F.lit(0))
+    array = rows.repartition("key", salt).sortWithinPartitions("key", "doc_id", "first")
+    found = cut(array.mapInPandas(neighbours(frequent), FOUND))
     loose = found.where("run is not null")
     shared = loose.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("other").alias("high")).where("low <> high")
     loose = loose.drop("other")
@@ -197,6 +195,16 @@ def matches(docs: DataFrame) -> DataFrame:
     return found.where("run is null").select("doc_id", "first", "last", "other").union(joined)
 
 
+def passages(spans: DataFrame) -> DataFrame:
+    """(doc_id, first_word, end_word, other_doc_id): overlapping and touching spans of a document as one."""
+    by_doc = Window.partitionBy("doc_id").orderBy("first", "last")
+    spans = spans.groupBy("doc_id", "first", "last").agg(F.min("other").alias("other"))
+    spans = spans.withColumn("reached", F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumn("passage", F.sum(F.when(F.col("first") <= F.col("reached"), 0).otherwise(1)).over(by_doc))
+    return spans.groupBy("doc_id", "passage").agg(
+        F.min("first").alias("first_word"), F.max("last").alias("end_word"), F.min("other").alias("other_doc_id")).drop("passage")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, first_word, end_word, n_words, other_doc_id): the passages of every document that repeat elsewhere.
 
@@ -205,19 +213,19 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     document's own wherever such a one has some of its runs. Words are
     what ASCII white space separates, compared exactly. Null and shorter texts, and rows without
     doc_id, have none; repeats inside one document, or between rows of one doc_id, don't count.
+    A very long text is one row of its task and gives one suffix for some eighteen words.
     Other columns aren't read; an empty table gives no rows.
     """
-    by_doc = Window.partitionBy("doc_id").orderBy("first", "last")
-    spans = matches(docs).groupBy("doc_id", "first", "last").agg(F.min("other").alias("other"))
-    spans = spans.withColumn("reached", F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)))
-    spans = spans.withColumn("passage", F.sum(F.when(F.col("first") <= F.col("reached"), 0).otherwise(1)).over(by_doc))
-    return spans.groupBy("doc_id", "passage").agg(
-        F.min("first").alias("first_word"), F.max("last").alias("end_word"), F.min("other").alias("other_doc_id")).select(
-        "doc_id", "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "other_doc_id")
+    found = passages(matches(docs))
+    return found.select("doc_id", "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "other_doc_id")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """`docs` without the passages that also stand in a document of a smaller id; other text stays byte by byte."""
+    """`docs` without the runs that also stand in a document of a smaller id; other text stays byte by byte.
+
+    Whether a run goes is decided for each run by itself, so what is removed still stands in the
+    smallest document that has it.
+    """
     @F.pandas_udf("string")
     def cut_out(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -233,7 +241,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    gone = repeated_passages(docs).where("other_doc_id < doc_id").groupBy(F.col("doc_id").alias("__gone_id")).agg(
+    gone = passages(matches(docs).where("other < doc_id")).groupBy(F.col("doc_id").alias("__gone_id")).agg(
         F.collect_list(F.struct("first_word", "end_word")).alias("__gone"))
     joined = docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left")
     return joined.withColumn("text", cut_out("text", "__gone")).select(*docs.columns)
