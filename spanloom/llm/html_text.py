@@ -1,16 +1,20 @@
-"""HTML extraction: blocks by markup, then a host suffix array for what markup leaves open.
-
-Markup decides first. Inside <article> or <main>, blocks are the text; menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments fall by tag, role or class. A page
-without such an element has only its remaining blocks, and no markup to tell text from
-boilerplate: for these pages the token streams of all pages of a host are compared as one sparse
-suffix array. Suffixes start at minimiser positions and at block starts; suffixes with an equal
-prefix on at least `PAGES` distinct pages are boilerplate, extended over all neighbouring positions
-that repeat; covered runs are removed, unique runs kept. A page of which nearly all is covered is a
-copy of other pages, not boilerplate, and keeps its text.
-
-Scale: pages are parsed where they are read. Only (host, key) rows of the open pages are shuffled,
-pre-aggregated, so a host with a third of all pages isn't one task.
+"""HTML extraction: a host suffix array over the token streams of pages, with markup as evidence.
+
+Every page is parsed into two streams of blocks: its text (inside <article> or <main>; on a page
+without such an element, all that isn't a menu, header, footer, sidebar, notice, advert, form,
+script, style or comment by tag, role or class) and its frame (all else). The streams of all pages
+of a host form one sparse suffix array: suffixes at minimiser positions and at block starts.
+Suffixes that stand on at least `PAGES` distinct pages lead to the runs of `MIN_RUN` tokens around
+them; every such run that as many pages have is boilerplate. Covered runs are removed, unique runs kept.
+
+Markup weighs in twice. Text inside an article element goes only if it repeats what stands in the
+frames of `PAGES` pages, as passages of articles do repeat. Text of a page without such an element
+goes if it repeats anywhere on the host, and so does a whole block. Pages of equal text count as
+one, so copies are no boilerplate.
+
+Scale: pages are parsed where they are read. Only (host, key) rows are shuffled, counted by
+map-side combine, so a host with a third of all pages isn't one task; lists of what repeats are
+joined to the pages, broadcast where they are counted to be few.
 """
 
 from __future__ import annotations
@@ -18,13 +22,15 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import cut
+from spanloom.llm.common import broadcast_if_few, cut
 from spanloom.llm.words import SPACED, Grams, words_of
 
 TOKEN = re.compile(
@@ -61,7 +67,6 @@ ZONES = ("article", "main")
 MIN_RUN = 32      # tokens of a long substring
 GRAM = 8          # tokens of the compared prefix
 PAGES = 3         # distinct pages of the host
-COPY = 0.8        # covered share from which a page is a copy
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -97,30 +102,36 @@ def close(stack: list[tuple], tag: str, stops: frozenset[str]) -> None:
             return
 
 
-def blocks_of(source: str | None) -> tuple[list[str], bool]:
-    """Blocks of a page in order, and whether an article or main element holds them.
+class Page(NamedTuple):
+    text: list[str]     # blocks of the article, or of all that isn't frame
+    closed: bool        # whether an article or main element holds them
+    frame: list[str]    # all other blocks
+
+
+def parse(source: str | None) -> Page:
+    """Blocks of a page in order.
 
     Text inside <article> goes before text inside <main>, and that before all other text that
     isn't dropped. A block is the text between block-level tags, its references decoded and its
     white space made single spaces.
     """
     source = source or ""
-    found: dict[str, list[str]] = {"article": [], "main": [], "": []}
+    found: dict[str, list[str]] = {"article": [], "main": [], "": [], "frame": []}
     stack: list[tuple[str, bool, str]] = []     # tag, dropped, zone
-    parts: list[str] = []
+    parts: dict[bool, list[str]] = {False: [], True: []}
     state = (False, "")
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
-        parts.clear()
-        if text:
-            found[state[1]].append(text)
+        for gone, pieces in parts.items():
+            text = " ".join(html.unescape("".join(pieces)).split()) if pieces else ""
+            pieces.clear()
+            if text:
+                found["frame" if gone else state[1]].append(text)
 
     at = 0
     while at < len(source):
         m = TOKEN.search(source, at)
-        if not state[0]:
-            parts.append(source[at:m.start() if m else len(source)])
+        parts[state[0]].append(source[at:m.start() if m else len(source)])
         if not m:
             break
         at = m.end()
@@ -129,7 +140,7 @@ def blocks_of(source: str | None) -> tuple[list[str], bool]:
             continue
         tag = tag.lower()
         if tag == "br":
-            parts.append(" ")
+            parts[state[0]].append(" ")
         elif tag not in INLINE:
             flush()
         if closing:
@@ -153,10 +164,8 @@ def blocks_of(source: str | None) -> tuple[list[str], bool]:
             stack.append((tag, gone, zone))
         state = (stack[-1][1], stack[-1][2]) if stack else (False, "")
     flush()
-    for zone in ZONES:
-        if found[zone]:
-            return found[zone], True
-    return found[""], False
+    kind = next((z for z in ZONES if found[z]), "")
+    return Page(found[kind], bool(kind), [t for k, blocks in found.items() if k != kind for t in blocks])
 
 
 def minimisers(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,47 +193,35 @@ def stream(blocks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
             np.concatenate([grams.at(first[:-1], np.diff(first)) ^ np.uint64(1), key]), first)
 
 
-def dense(blocks: list[str], repeated: set[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(position, key) of every gram within a run's reach of a repeated suffix."""
+def runs_near(blocks: list[str], repeated: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(start, key) of every run of MIN_RUN tokens around a repeated suffix."""
     starts, _, keys, first = stream(blocks)
     near = np.zeros(first[-1] + 1, np.int64)
     for p, k in zip(starts[len(blocks):].tolist(), keys[len(blocks):].view(np.int64).tolist()):
         if k in repeated:
             near[max(0, p - MIN_RUN + GRAM)] += 1
-            near[min(first[-1], p + MIN_RUN - GRAM + 1)] -= 1
+            near[min(first[-1], p + 1)] -= 1
     tokens = [words_of(b, SPACED)[0] for b in blocks]
-    hashes = Grams(np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)).every(GRAM)
+    hashes = Grams(np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)).every(MIN_RUN)
     at = np.flatnonzero(np.cumsum(near)[:len(hashes)] > 0)
     return at, hashes[at] ^ np.uint64(2)
 
 
-def unique_runs(blocks: list[str], repeated: set[int]) -> list[str]:
-    """The blocks without what repeats on other pages of the host.
-
-    Covered are whole blocks, and runs of at least MIN_RUN tokens: a match of a sparse suffix is
-    extended left and right over all the grams beside it that repeat too.
-    """
-    starts, ends, keys, first = stream(blocks)
+def unique_runs(page: Page, repeated: set[int]) -> list[str]:
+    """The text blocks without what repeats on other pages of the host: runs of MIN_RUN tokens, and whole blocks of a page without article."""
+    starts, ends, keys, first = stream(page.text)
     covered = np.zeros(first[-1] + 1, bool)
-    for a, b, k in zip(starts[:len(blocks)], ends, keys.view(np.int64).tolist()):
-        if k in repeated:
-            covered[a:b] = True
-    at, grams = dense(blocks, repeated)
-    run = np.zeros(first[-1] + 1, np.int64)
-    for p, k in zip(at.tolist(), grams.view(np.int64).tolist()):
+    if not page.closed:
+        for a, b, k in zip(starts[:len(page.text)], ends, keys.view(np.int64).tolist()):
+            if k in repeated:
+                covered[a:b] = True
+    at, runs = runs_near(page.text, repeated)
+    for p, k in zip(at.tolist(), runs.view(np.int64).tolist()):
         if k in repeated:
-            run[p] += 1
-            run[p + GRAM] -= 1
-    edges = np.flatnonzero(np.diff(np.cumsum(run) > 0, prepend=False, append=False))
-    for a, b in edges.reshape(-1, 2).tolist():
-        if b - a >= MIN_RUN:
-            covered[a:b] = True
-    covered = covered[:-1]
-    if not len(covered) or covered.mean() >= COPY:
-        return blocks
+            covered[p:p + MIN_RUN] = True
     out = []
-    for block, a, b in zip(blocks, first[:-1], first[1:]):
-        kept = [w for w, c in zip(block.split(), covered[a:b].tolist()) if not c]
+    for block, a, b in zip(page.text, first[:-1], first[1:]):
+        kept = [w for w, c in zip(block.split(" "), covered[a:b].tolist()) if not c] if covered[a:b].any() else [block]
         if kept:
             out.append(" ".join(kept))
     return out
@@ -234,54 +231,65 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-KEYED = "host string, page long, key long"
+KEYED = "host string, page long, body long, framed boolean, closed boolean, key long"
 
 
 def repeated_keys(keyed: DataFrame) -> DataFrame:
-    """The rows (host, page, key) whose key at least PAGES pages of the host have."""
-    counted = keyed.groupBy("host", "key").agg(F.count("*").alias("n"), F.min("page").alias("low"), F.max("page").alias("high"))
-    return keyed.join(counted.where((F.col("n") >= PAGES) & (F.col("low") != F.col("high"))).select("host", "key"), ["host", "key"]).select(
-        "host", "page", "key")
+    """The rows of `keyed` whose key is boilerplate: on at least PAGES pages of the host, in the frames of as many for text of an article."""
+    counted = keyed.where("framed or not closed").groupBy("host", "key").agg(
+        F.countDistinct("body").alias("pages"), F.countDistinct(F.when(F.col("framed"), F.col("body"))).alias("frames")).where(F.col("pages") >= PAGES)
+    hit = F.col("framed") | ~F.col("closed") | (F.col("frames") >= PAGES)
+    return keyed.join(broadcast_if_few(cut(counted)), ["host", "key"]).where(hit).select("host", "page", "framed", "key")
+
+
+def listed(hits: DataFrame) -> DataFrame:
+    """(host, page, keys, frame_keys): the repeated keys of each page's text and frame."""
+    return hits.groupBy("host", "page").agg(F.collect_set(F.when(~F.col("framed"), F.col("key"))).alias("keys"),
+                                            F.collect_set(F.when(F.col("framed"), F.col("key"))).alias("frame_keys"))
+
+
+def rows_of(host: str, number: int, page: Page, framed: bool, keys: np.ndarray) -> list[tuple]:
+    body = xxhash.xxh64_intdigest("\n".join(page.text)) - (1 << 63)
+    return [(host, number, body, framed, page.closed, k) for k in np.unique(keys).view(np.int64).tolist()]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of `pages` (page_id, url, html).
 
     Null and empty pages have the empty text. Pages without url are one host. Repeated rows get
-    the same text; they count as rows, but rows of one page alone are never boilerplate. Other columns aren't read;
+    the same text, and count as one page. A very long page is one row of its task. Other columns aren't read;
     an empty table gives no rows.
     """
-    @F.pandas_udf("string")
-    def zoned(sources: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(blocks_of(s)[0]) for s in sources], dtype=object)
-
     def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(h, p, k) for h, p, s in zip(batch["host"], batch["page"], batch["html"])
-                   for k in np.unique(stream(blocks_of(s)[0])[2]).view(np.int64).tolist()]
-            yield pd.DataFrame(out, columns=["host", "page", "key"])
-
-    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = []
+            for h, p, s in zip(batch["host"], batch["page"], batch["html"]):
+                page = parse(s)
+                # inside an article only long runs can go, so its blocks are no suffixes there
+                skipped = len(page.text) if page.closed else 0
+                out += rows_of(h, p, page, False, stream(page.text)[2][skipped:]) + rows_of(h, p, page, True, stream(page.frame)[2])
+            yield pd.DataFrame(out, columns=["host", "page", "body", "framed", "closed", "key"])
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(h, p, k) for h, p, s, keys in zip(batch["host"], batch["page"], batch["html"], batch["keys"])
-                   for k in np.unique(dense(blocks_of(s)[0], set(keys))[1]).view(np.int64).tolist()]
-            yield pd.DataFrame(out, columns=["host", "page", "key"])
+            out = []
+            for h, p, s, keys, frame_keys in zip(batch["host"], batch["page"], batch["html"], batch["keys"], batch["frame_keys"]):
+                page = parse(s)
+                out += rows_of(h, p, page, False, runs_near(page.text, set(keys))[1]) + rows_of(h, p, page, True, runs_near(page.frame, set(frame_keys))[1])
+            yield pd.DataFrame(out, columns=["host", "page", "body", "framed", "closed", "key"])
 
     @F.pandas_udf("string")
     def unique(sources: pd.Series, repeated: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(unique_runs(b, set(r)) if r is not None and len(r) else b)
-                          for b, r in ((blocks_of(s)[0], r) for s, r in zip(sources, repeated))], dtype=object)
-
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    marked = rows.select("page_id", "url", "html", F.col("html").rlike(r"(?i)<(?:article|main)[\s>]").alias("has_zone"))
-    closed = marked.where("has_zone").select("page_id", "url", zoned("html").alias("text"))
-    open_pages = marked.where("not has_zone").select(
-        "page_id", "url", "html", host_of(F.col("url")).alias("host"), F.xxhash64("url", "html").alias("page"))
-    sparse = cut(open_pages.select("host", "page", "html").mapInPandas(suffixes, KEYED))
-    hits = cut(repeated_keys(sparse))
-    listed = hits.groupBy("host", "page").agg(F.collect_set("key").alias("keys"))
-    around = open_pages.select("host", "page", "html").join(listed, ["host", "page"])
-    beside = cut(around.mapInPandas(neighbours, KEYED))
-    listed = hits.union(repeated_keys(beside)).groupBy("host", "page").agg(F.collect_set("key").alias("keys"))
-    text = open_pages.join(listed, ["host", "page"], "left").select("page_id", "url", unique("html", "keys").alias("text"))
-    return closed.union(text).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+        return pd.Series(["\n".join(unique_runs(page, set(r)) if r is not None and len(r) else page.text)
+                          for page, r in ((parse(s), r) for s, r in zip(sources, repeated))], dtype=object)
+
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns(
+        {"host": host_of(F.col("url")), "page": F.xxhash64("url", "html")})
+    sources = rows.select("host", "page", "html")
+    hits = cut(repeated_keys(sources.mapInPandas(suffixes, KEYED)))
+    around = sources.join(broadcast_if_few(cut(listed(hits))), ["host", "page"])
+    # a run counts by itself; of the suffixes only whole blocks are removed
+    hits = hits.union(repeated_keys(around.mapInPandas(runs, KEYED)))
+    gone = broadcast_if_few(cut(listed(hits).where("size(keys) > 0").select("host", "page", "keys")))
+    text = rows.join(gone, ["host", "page"], "left").select("page_id", "url", unique("html", "keys").alias("text"))
+    return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
