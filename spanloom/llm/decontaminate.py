@@ -7,13 +7,14 @@ eight, and two fingerprints within 23 bits agree in some block but for at most t
 probing each block's value and all values one or two bits away finds every item within the
 radius. Weighted Jaccard similarity of the shingles, 0.8 or more, then decides.
 
-Only windows aligned with a shingle that some item has are fingerprinted, and where an item shares
-40 per cent of its shingles in one alignment, those up to a fifth of its length beside it. A window
-without such a shingle has similarity 0 to every item.
+Windows that can't reach the similarity aren't fingerprinted: of an item and a window of weights a
+and b, the common shingles must weigh 0.8 / 1.8 * (a + b) at least, and prefix sums over the places
+where the item's shingles stand bound that from above for every window. No other window is left out.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections import Counter
 from typing import NamedTuple
@@ -23,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import cut
 from spanloom.llm.words import PLAIN, Grams, words_of
 
 SHINGLE = 5
@@ -30,6 +32,8 @@ SIMILARITY = 0.8
 BLOCKS = 8
 FLIPS = 2
 RADIUS = BLOCKS * (FLIPS + 1) - 1
+#: What sums of weights may be off by.
+SLACK = 1e-6
 #: Benchmark text that is sent to the tasks at once; a larger benchmark goes in slices.
 SLICE_CHARS = 8_000_000
 
@@ -78,6 +82,7 @@ class Index:
                 self.items.append(Item(item_id, t.n, Counter(h.tolist()), dict(zip(h.tolist(), w.tolist()))))
                 prints.append(simhash(h, w))
         self.sizes = np.array([i.n for i in self.items], np.int64)
+        self.weights = np.array([sum(c * i.weights[s] for s, c in i.shingles.items()) for i in self.items], np.float64)
         self.prints = np.array(prints, np.uint64)
         places.sort()
         self.keys = np.array([p[0] for p in places], np.uint64)
@@ -98,7 +103,7 @@ class Index:
         return found[np.bitwise_count(self.prints[found] ^ fingerprint) <= RADIUS]
 
     def windows(self, text: Text) -> set[tuple[int, int]]:
-        """(start, words) of the windows aligned with a shingle of some item, and of those moved a little where it shares many."""
+        """(start, words) of all windows whose shingles can reach the similarity with some item of that many words."""
         out: set[tuple[int, int]] = set()
         for size in [*self.short, SHINGLE]:
             hashes = text.grams.every(size) if text.n >= size else np.zeros(0, np.uint64)
@@ -111,13 +116,20 @@ class Index:
             high = np.searchsorted(self.keys, hashes[hit], side="right")
             many = high - low[hit]
             place = np.repeat(low[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            owner = self.owner[place]
-            aligned, shared = np.unique(np.stack([owner, np.repeat(hit, many) - self.offset[place]]), axis=1, return_counts=True)
-            for item, start, k in zip(*aligned.tolist(), shared.tolist()):
+            owner, at = np.unique(np.stack([self.owner[place], np.repeat(hit, many)]), axis=1)
+            weight = (text.length[size:] - text.length[:-size]).astype(np.float64)
+            found = np.bincount(owner, weights=weight[at], minlength=len(self.items))
+            for item in np.flatnonzero(found >= SIMILARITY * self.weights - SLACK).tolist():
                 n = min(int(self.sizes[item]), text.n)
-                # most of an item lies here: a window that leaves out an edited end may fit better
-                slack = n // 5 if n >= SHINGLE and 0.4 * (n - SHINGLE + 1) <= k < n - SHINGLE + 1 else 0
-                out.update((min(max(s, 0), text.n - n), n) for s in range(start - slack, start + slack + 1))
+                if min(n, SHINGLE) != size:
+                    continue
+                # windows start where they hold a place: sums of all weights, and of those of the item's shingles
+                shared = np.zeros(len(weight))
+                shared[at[owner == item]] = weight[at[owner == item]]
+                span = n - size + 1
+                total, common = (c[span:] - c[:-span] for c in (np.append(0.0, np.cumsum(v)) for v in (weight, shared)))
+                least = SIMILARITY / (1 + SIMILARITY) * (total + self.weights[item])
+                out.update((s, n) for s in np.flatnonzero(common >= least - SLACK).tolist())
         return out
 
     def matches(self, text: str | None) -> list[dict]:
@@ -145,17 +157,18 @@ def similarity(bag: Counter, weight: dict, item: Item) -> float:
     return both / (total - both) if total > both else 1.0
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """The benchmark as indexes of bounded size: slices by hash, one if it is within `SLICE_CHARS`."""
+def slices(benchmark: DataFrame) -> list[DataFrame]:
+    """The benchmark in parts of bounded size, dealt by hash: one if it is within `SLICE_CHARS`."""
     items = benchmark.select("item_id", "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // SLICE_CHARS))
-    slot = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [Index(sorted(((r[0], r[1]) for r in items.where(slot == i).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
-            for i in range(n)]
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def matcher(index: Index):
+def matcher(items: DataFrame):
+    """A function that finds the items of one slice, of which the driver holds that slice only."""
+    index = Index(sorted(((r[0], r[1]) for r in items.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+
     @F.pandas_udf("array<struct<item_id:long,start_word:int,n_words:int,similarity:double>>")
     def found(texts: pd.Series) -> pd.Series:
         return pd.Series([index.matches(t) for t in texts], dtype=object)
@@ -168,19 +181,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     `docs` has doc_id and text, `benchmark` item_id and text; other columns aren't read. Words are
     runs of letters, digits and non-ASCII characters in lower case. An item of fewer than five
-    words is one shingle and found only whole. Null and wordless texts and items match nothing;
-    repeated items and rows give repeated results; empty tables give none. The corpus is scanned
-    once per benchmark slice, with no shuffle.
+    words is one shingle and found only whole. Of several windows the most similar counts, then the
+    first. Null and wordless texts and items match nothing;
+    repeated items and rows give repeated results; empty tables give none. A very long text is one
+    row of its task, walked by prefix sums. The corpus is scanned
+    once per benchmark slice, with no shuffle; several slices are found one after the other, each written before the next is read.
     """
-    parts = [docs.select("doc_id", F.explode(matcher(i)("text")).alias("m")).select("doc_id", "m.*") for i in indexes(benchmark)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    parts = slices(benchmark)
+    found = lambda items: docs.select("doc_id", F.explode(matcher(items)("text")).alias("m")).select("doc_id", "m.*")
+    if len(parts) == 1:
+        return found(parts[0])
+    return functools.reduce(DataFrame.union, [cut(found(p)) for p in parts])
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` in which no benchmark item is found; the columns stay as they are."""
-    for index in indexes(benchmark):
-        docs = docs.where(F.size(matcher(index)("text")) == 0)
+    parts = slices(benchmark)
+    for i, items in enumerate(parts):
+        docs = docs.where(F.size(matcher(items)("text")) == 0)
+        docs = cut(docs) if i < len(parts) - 1 else docs
     return docs
