@@ -80,6 +80,8 @@ def test_passages_ignore_rows_without_id_and_repeats_of_one_document(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id, r.first_word, r.end_word, r.other_doc_id) for r in suffix_array.repeated_passages(clash(d)).collect())
     assert got == [(1, 0, 60, 5), (2, 1, 61, 1), (5, 0, 120, 1)]
+    long = d.withColumn("text", F.concat_ws(" ", F.lit(LONG), "text", F.lit(LONG)))
+    assert {(r.doc_id, r.n_words > 24_000) for r in suffix_array.repeated_passages(long).collect()} >= {(1, True), (2, False), (5, True)}
     alone = d.where("doc_id = 5")
     assert suffix_array.repeated_passages(alone).count() == 0
     cleaned = {r.doc_id: r.text for r in suffix_array.remove_repeats(d.where("doc_id in (2, 3, 4)").union(d.where("doc_id = 1").limit(1))).collect()}
