@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -131,12 +131,6 @@ def decision(p: Column, high: float = 0.65, low: float = 0.35) -> Column:
     return F.when(p >= high, "positive").when(p <= low, "negative").otherwise("indeterminate")
 
 
-def folded_harmonic(value: Column, anchor: Column, share: float = 0.2) -> Column:
-    """The value, its half or its double: the first within the share of the anchor."""
-    near = lambda v: F.abs(v - anchor) <= share * anchor
-    return F.when(near(value), value).when(near(value / 2), value / 2).when(near(value * 2), value * 2).otherwise(value)
-
-
 def membership_digest(members: Column) -> Column:
     """Hash of a set of integers, whatever their order."""
     return F.sha2(F.array_join(F.transform(F.array_sort(members), lambda x: x.cast("string")), ","), 256)
@@ -153,3 +147,19 @@ FORBIDDEN = re.compile(r"(^|_)(hr|br|hrv|rmssd|sdnn|label|target)(_|$)", re.I)
 def forbidden_predictors(names: Iterable[str]) -> list[str]:
     """Names that a predictor may not have."""
     return sorted(n for n in names if FORBIDDEN.search(n))
+
+
+def has_text(text: Column, part: str) -> Column:
+    """Whether a text holds a part; false for null."""
+    return F.coalesce(F.contains(text, F.lit(part)), F.lit(False))
+
+
+def has_pattern(text: Column, pattern: str) -> Column:
+    """Whether a pattern is found in a text; false for null."""
+    return F.coalesce(text.rlike(pattern), F.lit(False))
+
+
+def masked(df: DataFrame, rule: Column, block: Sequence[str], zeroed: Sequence[str]) -> DataFrame:
+    """`df` with the columns of a block null and its availability and quality 0 in the rows that the rule holds for."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    return df.withColumns({c: F.when(~rule, F.col(c)) for c in block} | {c: F.when(rule, F.lit(0).cast(kinds[c])).otherwise(F.col(c)) for c in zeroed})

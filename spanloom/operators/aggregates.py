@@ -19,15 +19,17 @@ def behaviour_features(windows: DataFrame, keys: Sequence[str], time: str, rt: s
     `windows` has one row per event and a row with a null time for a window without any: its
     trial count is 0 and all else null.
     """
-    center = windows.groupBy(*keys).agg(F.median(rt).alias("__median"))
     n = F.count(time)
     some = lambda c: F.when(n > 0, c)
-    return windows.join(center, list(keys)).groupBy(*keys).agg(
-        n.alias("trial_count"), F.avg(rt).alias("rt_mean"), F.first("__median").alias("rt_median"),
-        F.stddev_samp(rt).alias("rt_sd"), F.median(F.abs(F.col(rt) - F.col("__median"))).alias("rt_mad"),
-        (F.stddev_samp(rt) / F.nullif(F.avg(rt), F.lit(0.0))).alias("rt_cv"), slope(rt, time).alias("rt_slope"),
+    # a window's times are few, so median and MAD come from one list and the join runs once
+    f = windows.groupBy(*keys).agg(
+        n.alias("trial_count"), F.avg(rt).alias("rt_mean"), F.sort_array(F.collect_list(rt)).alias("__rt"),
+        F.stddev_samp(rt).alias("rt_sd"), (F.stddev_samp(rt) / F.nullif(F.avg(rt), F.lit(0.0))).alias("rt_cv"), slope(rt, time).alias("rt_slope"),
         some(1 - F.avg(error)).alias("accuracy"), some(F.sum(error)).alias("error_count"), some(F.avg(error)).alias("error_rate"),
         some(F.sum(omission)).alias("omission_count"), some(F.avg(omission)).alias("omission_rate"))
+    f = f.withColumn("rt_median", array_median(F.col("__rt")))
+    f = f.withColumn("rt_mad", array_median(F.transform("__rt", lambda x: F.abs(x - F.col("rt_median")))))
+    return f.select(*keys, "trial_count", "rt_mean", "rt_median", "rt_sd", "rt_mad", "rt_cv", "rt_slope", "accuracy", "error_count", "error_rate", "omission_count", "omission_rate")
 
 
 def describe(df: DataFrame, by: Sequence[str], value: str, person: str) -> DataFrame:
@@ -160,3 +162,23 @@ def gap_distribution(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     return gaps.where("gap is not null").groupBy(*by).agg(
         F.count("*").alias("n"), F.min("gap").alias("least"), q.alias("q"), F.max("gap").alias("most")).select(
         *by, "n", "least", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((10, 50, 90, 95))], "most")
+
+
+def value_counts(df: DataFrame, value: str) -> DataFrame:
+    """(value, n, share) of each value, null too; the share of all rows to eight digits."""
+    counts = df.groupBy(value).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 8))    # over grouped rows
+
+
+def class_counts(df: DataFrame, by: Sequence[str], label: str, error: str) -> DataFrame:
+    """(by, n, mae, classes): mean of an error, and the counts of the classes as JSON, by name."""
+    parts = df.groupBy(*by, label).agg(F.count("*").alias("n"), F.count(error).alias("m"), F.sum(error).alias("s"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col(label).alias("key"), F.col("n").alias("value"))))
+    return parts.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("m")).alias("mae"), F.to_json(F.map_from_entries(entries)).alias("classes"))
+
+
+def array_median(values: Column) -> Column:
+    """Median of an array without nulls, null if it is empty."""
+    n = F.size(values)
+    s = F.array_sort(values)
+    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)

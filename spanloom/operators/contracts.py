@@ -52,3 +52,17 @@ def exactly_one(df: DataFrame) -> DataFrame:
     n = df.agg(F.count("*").alias("__n"))
     ok = F.when(F.col("__n") != 1, F.raise_error(F.lit("not exactly one row")).cast("boolean")).otherwise(F.lit(True))
     return n.where(ok).join(df, F.lit(True), "left").drop("__n")
+
+
+def expected(row: DataFrame, values: dict[str, int]) -> DataFrame:
+    """A one-row table of counts, which must have these values; fails on another."""
+    out = row
+    for name, value in values.items():
+        failed = F.raise_error(F.concat(F.lit(f"{name} is not {value}: "), F.col(name).cast("string"))).cast("long")
+        out = out.withColumn(name, F.when(F.col(name) == value, F.col(name)).otherwise(failed))
+    return out
+
+
+def temporal_leaks(features: DataFrame, start: str, end: str) -> DataFrame:
+    """`features` with leaks: whether the window of a feature, in seconds from the event, goes past the event or is empty."""
+    return features.withColumn("leaks", (F.col(end) > 0) | (F.col(start) >= F.col(end)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,22 +16,19 @@ def lookback_join(probes: DataFrame, events: DataFrame, by: Sequence[str], onset
     """Each probe with the events of [onset - width, onset), or up to and with the onset if `closed`.
 
     `width` is a number or a column of the probes, `span` a bound on it: both sides are cut into
-    buckets of `span`, so a probe meets two buckets of events and a subject with a long history is
+    buckets of `span`. An event stands in its own bucket and the next, so a probe meets in one bucket all that
+    its window can hold, and a subject with a long history is
     spread over as many tasks as it has buckets. Times are integers. The columns of the two sides
     but `by` differ; a left join keeps probes without events.
     """
     start = F.col(onset) - (F.lit(width) if isinstance(width, int) else F.col(width))
-    bucket = lambda c: F.floor(c / span)
-    left = probes.withColumn("__probe", F.monotonically_increasing_id()) if how == "left" else probes
-    spread = left.withColumn("__bucket", F.explode(F.array_distinct(F.array(bucket(start), bucket(F.col(onset))))))
-    right = events.withColumn("__bucket", bucket(F.col(time)))
-    inside = (F.col(time) >= start) & ((F.col(time) <= F.col(onset)) if closed else (F.col(time) < F.col(onset)))
-    matched = spread.join(right, [*by, "__bucket"]).where(inside).drop("__bucket")
-    if how == "inner":
-        return matched
+    bucket = lambda c: F.floor(F.col(c) / span)
     extra = [c for c in events.columns if c not in by]
-    kept = left.join(matched.select("__probe", *extra), "__probe", "left")
-    return kept.select(*probes.columns, *extra)
+    left = probes.withColumn("__bucket", bucket(onset))
+    right = events.select(*[F.col(c).alias(f"__r_{c}") for c in by], *extra, F.explode(F.array(bucket(time), bucket(time) + 1)).alias("__r_bucket"))
+    inside = (F.col(time) >= start) & ((F.col(time) <= F.col(onset)) if closed else (F.col(time) < F.col(onset)))
+    same = functools.reduce(lambda x, y: x & y, [F.col(c) == F.col(f"__r_{c}") for c in by], F.col("__bucket") == F.col("__r_bucket"))
+    return left.join(right, same & inside, how).select(*probes.columns, *extra)
 
 
 def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, value: str,
@@ -61,18 +59,27 @@ def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str
                       F.when(within, F.col("__n.v")).alias("nearest_value"), distance.alias("distance"))
 
 
+def interval_pieces(intervals: DataFrame, start: str, end: str, span: int) -> DataFrame:
+    """`intervals` once for each bucket of `span` that they reach, numbered in __bucket."""
+    bucket = lambda c: F.floor(F.col(c) / span)
+    return intervals.where(F.col(start) <= F.col(end)).withColumn("__bucket", F.explode(F.sequence(bucket(start), bucket(end))))
+
+
 def interval_lookup(points: DataFrame, intervals: DataFrame, by: Sequence[str], time: str, start: str, end: str, label: str,
-                    default: str | None = None, closed: bool = True) -> DataFrame:
+                    key: Sequence[str], default: str | None = None, closed: bool = True, span: int = 86_400_000) -> DataFrame:
     """`points` with the label of the first interval that holds them, else the default.
 
-    First is by start, then end, then label. The join is by key with a residual range, so a key
-    should have few intervals, as phases of a session do.
+    First is by start, then end, then label. `key` names the columns that tell the points apart. Both sides are cut
+    into buckets of `span`, so the points of one subject meet its intervals in many tasks.
     """
     inside = (F.col(time) >= F.col(start)) & ((F.col(time) <= F.col(end)) if closed else (F.col(time) < F.col(end)))
-    marked = points.withColumn("__point", F.monotonically_increasing_id())
-    hits = marked.select("__point", *by, time).join(intervals.select(*by, start, end, label), list(by)).where(inside)
-    first = hits.groupBy("__point").agg(F.min_by(label, F.struct(start, end, label)).alias("label"))
-    return marked.join(first, "__point", "left").select(*points.columns, F.coalesce("label", F.lit(default)).alias("label"))
+    pieces = interval_pieces(intervals.select(*by, start, end, label), start, end, span)
+    pieces = pieces.select(*[F.col(c).alias(f"__r_{c}") for c in by], start, end, label, F.col("__bucket").alias("__r_bucket"))
+    same = functools.reduce(lambda x, y: x & y, [F.col(c) == F.col(f"__r_{c}") for c in by], F.col("__bucket") == F.col("__r_bucket"))
+    hits = points.withColumn("__bucket", F.floor(F.col(time) / span)).join(pieces, same & inside, "left")
+    others = [c for c in points.columns if c not in key]
+    first = hits.groupBy(*key).agg(*[F.first(c).alias(c) for c in others], F.min_by(label, F.struct(start, end, label)).alias("label"))
+    return first.select(*points.columns, F.coalesce("label", F.lit(default)).alias("label"))
 
 
 def pair_markers(markers: DataFrame, by: Sequence[str], time: str, kind: str, start: str, stop: str) -> DataFrame:
@@ -135,17 +142,52 @@ def greedy_pairs(reference: np.ndarray, estimate: np.ndarray, tolerance: float)
     return out
 
 
+def pieces(reference: DataFrame, estimate: DataFrame, by: Sequence[str], time: str, tolerance: float) -> DataFrame:
+    """(by, t, ref, piece): both series of each key, cut where neighbours lie further apart than the tolerance.
+
+    No match reaches over such a cut, so pieces are matched by themselves and a long series is many groups.
+    """
+    both = reference.select(*by, F.col(time).alias("t"), F.lit(True).alias("ref")).union(estimate.select(*by, F.col(time).alias("t"), F.lit(False).alias("ref")))
+    w = Window.partitionBy(*by).orderBy("t")
+    cuts = both.where("t is not null").withColumn("__cut", F.when(F.col("t") - F.lag("t").over(w) > tolerance, 1).otherwise(0))
+    return cuts.withColumn("piece", F.sum("__cut").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("__cut")
+
+
+def matched_pieces(reference: DataFrame, estimate: DataFrame, by: Sequence[str], time: str, tolerance: float, rule) -> DataFrame:
+    """(by, reference_time, estimate_time): the pairs that `rule` finds in each piece of two series."""
+    kinds = {f.name: f.dataType.simpleString() for f in reference.schema}
+    keys = ", ".join(f"{c} {kinds[c]}" for c in by)
+    schema = f"{keys}, reference_time {kinds[time]}, estimate_time {kinds[time]}"
+
+    def match(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        t = rows["t"].to_numpy()
+        x, y = (np.sort(t[rows["ref"].to_numpy() == side]) for side in (True, False))
+        return pd.DataFrame([(*key[:-1], x[i], y[j]) for i, j in rule(x, y, tolerance)], columns=[*by, "reference_time", "estimate_time"])
+
+    found = pieces(reference, estimate, by, time, tolerance)
+    both = found.groupBy(*by, "piece").agg(F.min("ref").alias("__a"), F.max("ref").alias("__b")).where("__a <> __b").select(*by, "piece")
+    return found.join(both, [*by, "piece"]).groupBy(*by, "piece").applyInPandas(lambda key, rows: match(key, rows), schema)
+
+
 def monotone_match(reference: DataFrame, estimate: DataFrame, by: Sequence[str], time: str, tolerance: float) -> DataFrame:
     """(by, reference_time, estimate_time): matches of two time series of each key, in order and one to one."""
-    keys = ", ".join(f"{c} {reference.schema[c].dataType.simpleString()}" for c in by)
-    schema = f"{keys}, reference_time double, estimate_time double"
+    return matched_pieces(reference, estimate, by, time, tolerance, greedy_pairs)
 
-    def match(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.sort(a[time].to_numpy(float)), np.sort(b[time].to_numpy(float))
-        pairs = greedy_pairs(x, y, tolerance)
-        return pd.DataFrame([(*key, x[i], y[j]) for i, j in pairs], columns=[*by, "reference_time", "estimate_time"])
 
-    return reference.select(*by, time).groupBy(*by).cogroup(estimate.select(*by, time).groupBy(*by)).applyInPandas(match, schema)
+def nearest_pairs(reference: np.ndarray, estimate: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
+    """One-to-one pairs of the distinct values of two sorted sequences: the nearest of all first, ties by the earlier times."""
+    x, at = np.unique(reference, return_index=True)
+    y, to = np.unique(estimate, return_index=True)
+    low, high = np.searchsorted(y, x - tolerance, side="left"), np.searchsorted(y, x + tolerance, side="right")
+    near = sorted((abs(float(y[j]) - float(x[i])), i, j) for i in range(len(x)) for j in range(low[i], high[i]))
+    used: tuple[set, set] = (set(), set())
+    out = []
+    for _, i, j in near:
+        if i not in used[0] and j not in used[1]:
+            used[0].add(i)
+            used[1].add(j)
+            out.append((int(at[i]), int(to[j])))
+    return out
 
 
 def clock_fit(pairs: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
@@ -159,3 +201,34 @@ def clock_fit(pairs: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
 def first_known(*columns: str) -> Column:
     """Identity from several joined sources: the first that knows it."""
     return F.coalesce(*columns)
+
+
+def through_clock(df: DataFrame, pairs: DataFrame, by: Sequence[str], x: str, y: str, out: str) -> DataFrame:
+    """`df` with `out`: its x on the clock that the pairs of its key fit; null without a fit. Keys of clocks are unique."""
+    fit = clock_fit(pairs, by, x, y).select(*by, "slope", "intercept")
+    return df.join(fit, list(by), "left").withColumn(out, F.col("slope") * F.col(x) + F.col("intercept")).drop("slope", "intercept")
+
+
+def suffixed_join(left: DataFrame, right: DataFrame, by: Sequence[str], suffix: str) -> DataFrame:
+    """Left join on exact keys; columns of the right side that both have take the suffix, so both stay for audits."""
+    renamed = right.select(*[F.col(c) if c in by or c not in left.columns else F.col(c).alias(c + suffix) for c in right.columns])
+    return left.join(renamed, list(by), "left")
+
+
+def lookup(left: DataFrame, right: DataFrame, by: Sequence[str], defaults: dict[str, str]) -> DataFrame:
+    """Left join on a composite key; columns without a match take their default."""
+    return left.join(right, list(by), "left").na.fill(defaults) if defaults else left.join(right, list(by), "left")
+
+
+def arms_side_by_side(long: DataFrame, keys: Sequence[str], arm: str, value: str, arms: Sequence[str]) -> DataFrame:
+    """(keys, one column for each arm) for the keys that all arms have: a conditional pivot in place of a self-join."""
+    wide = long.groupBy(*keys).agg(*[F.max(F.when(F.col(arm) == a, F.col(value))).alias(a) for a in arms])
+    return wide.where(functools.reduce(lambda x, y: x & y, [F.col(a).isNotNull() for a in arms]))
+
+
+def fold_sizes(rows: DataFrame, group: str) -> DataFrame:
+    """(fold_id, held_out, n_train, n_test) of leave-one-group-out folds, from the counts of the groups."""
+    counts = rows.groupBy(F.col(group).alias("held_out")).agg(F.count("*").alias("n_test"))
+    every = Window.partitionBy()    # over grouped rows
+    return counts.select(F.format_string("LOSO_%03d", F.dense_rank().over(Window.orderBy("held_out"))).alias("fold_id"), "held_out",
+                         (F.sum("n_test").over(every) - F.col("n_test")).alias("n_train"), "n_test")

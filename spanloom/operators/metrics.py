@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.windows import average_rank
@@ -46,18 +47,21 @@ def confusion_suite(df: DataFrame, by: Sequence[str], label: str, score: str, th
     return out.withColumn("balanced_accuracy", (F.col("sensitivity") + F.col("specificity")) / 2)
 
 
+#: Distribution of a Poisson variable of mean 1, from which a cluster's weight in a replicate is drawn.
+POISSON = [round(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)), 12) for k in range(9)]
+
+
 def bootstrap_weights(clusters: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """(key, rep, weight): how often each cluster is drawn, with replacement, in each replicate.
+    """(key, rep, weight): how often each cluster is drawn in each replicate, 0 left out.
 
-    Draw d of a replicate picks the cluster at position hash(seed, rep, d) modulo their number, so
-    the same draws come again on any cluster and for both arms of a comparison.
+    Weights are Poisson variables of mean 1 whose chance is the digest of seed, replicate and key, so
+    the same draws come again on any cluster and for both arms of a comparison, and no cluster has to be
+    numbered or counted: every row makes its own.
     """
-    ranked = clusters.select(key).distinct().withColumn("__at", F.row_number().over(Window.orderBy(key)) - 1)
-    n = ranked.agg(F.count("*").alias("__n"))
-    draws = clusters.sparkSession.range(replicates).select(F.col("id").cast("int").alias("rep")).crossJoin(F.broadcast(n)).select(
-        "rep", "__n", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("d"))
-    picked = draws.select("rep", F.pmod(F.xxhash64(F.lit(seed), "rep", "d"), F.col("__n")).cast("int").alias("__at"))
-    return picked.groupBy("rep", "__at").agg(F.count("*").alias("weight")).join(ranked, "__at").select(key, "rep", "weight")
+    drawn = clusters.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    u = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "rep", key).cast("binary")), 1, 12), 16, 10).cast("long") / float(1 << 48)
+    weight = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+    return drawn.select(key, "rep", weight.alias("weight")).where("weight > 0")
 
 
 def bootstrap_interval(df: DataFrame, cluster: str, value: str, replicates: int = 1000, seed: int = 20260826) -> DataFrame:
@@ -69,6 +73,31 @@ def bootstrap_interval(df: DataFrame, cluster: str, value: str, replicates: int
     return sums.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(q).select("mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
+def bootstrap_spearman(df: DataFrame, cluster: str, x: str, y: str, replicates: int = 200, seed: int = 20260826) -> DataFrame:
+    """(rho, low, high): Spearman's correlation with the 95 % interval of a cluster bootstrap.
+
+    In a replicate a row counts as often as its cluster is drawn: ranks are weighted mean ranks, from sums over the
+    distinct values, and the correlation is that of the weighted ranks.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(cluster, F.col(x).alias("x"), F.col(y).alias("y"))
+    drawn = rows.join(bootstrap_weights(rows, cluster, replicates, seed), cluster).select("rep", "weight", "x", "y")
+    every = rows.select(F.lit(-1).alias("rep"), F.lit(1).alias("weight"), "x", "y").union(drawn)
+
+    def ranks(column: str) -> DataFrame:
+        steps = every.groupBy("rep", column).agg(F.sum("weight").alias("n"))
+        below = F.sum("n").over(Window.partitionBy("rep").orderBy(column)) - F.col("n")
+        return steps.select("rep", column, (below + (F.col("n") + 1) / 2).alias(f"r{column}"))
+
+    w, a, b = F.col("weight"), F.col("rx"), F.col("ry")
+    sums = every.join(ranks("x"), ["rep", "x"]).join(ranks("y"), ["rep", "y"]).groupBy("rep").agg(
+        F.sum(w).alias("n"), F.sum(w * a).alias("a"), F.sum(w * b).alias("b"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"), F.sum(w * a * b).alias("ab"))
+    n = F.col("n")
+    spread = F.sqrt((n * F.col("aa") - F.col("a") * F.col("a")) * (n * F.col("bb") - F.col("b") * F.col("b")))
+    rho = sums.select("rep", ((n * F.col("ab") - F.col("a") * F.col("b")) / F.nullif(spread, F.lit(0.0))).alias("rho"))
+    return rho.agg(F.max(F.when(F.col("rep") == -1, F.col("rho"))).alias("rho"), F.percentile(
+        F.when(F.col("rep") >= 0, F.col("rho")), F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select("rho", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
 def paired_bootstrap_auc(df: DataFrame, cluster: str, label: str, first: str, second: str, replicates: int = 200,
                          seed: int = 20260824) -> DataFrame:
     """(delta, low, high): difference of the AUCs of two scores, with a paired cluster bootstrap.
@@ -104,53 +133,75 @@ def fold_leaks(rows: DataFrame, group: str, fold: str) -> DataFrame:
     return rows.groupBy(group).agg(F.countDistinct(fold).alias("n")).where("n > 1")
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weighted ridge logistic regression by Newton steps; the last coefficient is the free intercept."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    penalty = np.diag([*[l2] * (x.shape[1] - 1), 1e-9])
-    b = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        change = np.linalg.solve((x.T * (w * p * (1 - p))) @ x + penalty, x.T @ (w * (y - p)) - penalty @ b)
-        b += change
-        if np.abs(change).max() < 1e-10:
-            break
-    return b
-
-
-def out_of_fold_scores(df: DataFrame, fold: str, keys: Sequence[str], features: Sequence[str], label: str, weight: str | None = None) -> DataFrame:
+def out_of_fold_scores(df: DataFrame, fold: str, keys: Sequence[str], features: Sequence[str], label: str, weight: str | None = None,
+                       l2: float = 1.0, steps: int = 30) -> DataFrame:
     """(keys, fold, label, score): every row scored by a model of all other folds.
 
-    Each fold's model sees the rows of the others: they are dealt to it in Spark, and one task fits
-    one fold. It is meant for feature tables of a study, which a task can hold. Missing features
-    take the median of the training rows; features are standardised on them.
+    Ridge logistic regression by Newton steps, the intercept free, classes weighed to balance. Missing features
+    take the median of the training rows; features are standardised on them. Rows stay where
+    they are: every step is one aggregation of gradient and curvature by fold, of which the driver
+    gets a few numbers for each fold. Folds are a parameter of few values.
     """
-    folds = df.select(F.col(fold).alias("__f")).distinct()
-    dealt = df.crossJoin(F.broadcast(folds))
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{fold} {kinds[fold]}", f"{label} {kinds[label]}", "score double"])
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        held = rows[fold] == rows["__f"]
-        train, test = rows[~held], rows[held]
-        if not len(test):
-            return pd.DataFrame(columns=[*keys, fold, label, "score"])
-        x = train[list(features)].to_numpy(float)
-        middle = np.array([np.median(c[~np.isnan(c)]) if (~np.isnan(c)).any() else 0.0 for c in x.T]) if len(x) else np.zeros(len(features))
-        x = np.where(np.isnan(x), middle, x)
-        scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0) if len(x) else 1.0
-        center = x.mean(axis=0) if len(x) else 0.0
-        y = train[label].to_numpy(float)
-        out = test[[*keys, fold, label]].copy()
-        if len(set(y)) < 2:
-            out["score"] = y.mean() if len(y) else None
-            return out
-        w = (train[weight].to_numpy(float) if weight else np.ones(len(y)))
-        w = w * np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-        b = fit_logistic((x - center) / scale, y, w)
-        z = test[list(features)].to_numpy(float)
-        z = (np.where(np.isnan(z), middle, z) - center) / scale
-        out["score"] = 1 / (1 + np.exp(-np.clip(z @ b[:-1] + b[-1], -30, 30)))
+    d = len(features)
+    names = [r[0] for r in df.select(fold).distinct().collect()]
+    rows = df.select(*keys, fold, F.col(label).cast("double").alias("__y"), label, F.array(*[F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in features]).alias("__x"),
+                     (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("__w"))
+    # every row trains the models of all other folds
+    train = rows.withColumn("__f", F.explode(F.array(*map(F.lit, names)))).where(~F.col("__f").eqNullSafe(F.col(fold)) & F.col("__y").isNotNull())
+    middle = {r["__f"]: [0.0 if v is None else v for v in r["m"]] for r in train.groupBy("__f").agg(
+        F.array(*[F.median(F.col("__x")[i]) for i in range(d)]).alias("m")).collect()}
+
+    def chosen(values: dict, kind: str) -> Column:
+        """The entry of a fold's model, as a literal: as many as there are folds."""
+        out = F.lit(None).cast(kind)
+        for f, v in values.items():
+            out = F.when(F.col("__f") == f, F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).otherwise(out)
         return out
 
-    return dealt.groupBy("__f").applyInPandas(lambda rows: fit(rows), schema)
+    filled = F.zip_with("__x", chosen(middle, "array<double>"), lambda x, m: F.coalesce(x, m))
+    train = train.withColumn("__x", filled)
+    moments = train.groupBy("__f").agg(F.avg("__y").alias("rate"), F.array(*[F.avg(F.col("__x")[i]) for i in range(d)]).alias("c"),
+                                       F.array(*[F.stddev_pop(F.col("__x")[i]) for i in range(d)]).alias("s")).collect()
+    center, scale, rate = {r["__f"]: r["c"] for r in moments}, {r["__f"]: [s or 1.0 for s in r["s"]] for r in moments}, {r["__f"]: r["rate"] for r in moments}
+
+    def standard(df: DataFrame) -> DataFrame:
+        z = F.zip_with(F.zip_with("__x", chosen(center, "array<double>"), lambda x, c: x - c), chosen(scale, "array<double>"), lambda x, s: x / s)
+        return df.withColumn("__z", F.concat(z, F.array(F.lit(1.0))))
+
+    def probability(b: dict[object, list[float]]) -> Column:
+        dot = F.aggregate(F.zip_with("__z", chosen(b, "array<double>"), lambda z, c: z * c), F.lit(0.0), lambda acc, v: acc + v)
+        return 1 / (1 + F.exp(-F.least(F.greatest(dot, F.lit(-30.0)), F.lit(30.0))))
+
+    fitted = {f: [0.0] * (d + 1) for f, p in rate.items() if 0 < p < 1}
+    share = F.when(F.col("__y") == 1, chosen({f: 0.5 / rate[f] for f in fitted}, "double")).otherwise(chosen({f: 0.5 / (1 - rate[f]) for f in fitted}, "double"))
+    ready = standard(train).withColumn("__w", F.col("__w") * share)
+    penalty = np.diag([*[l2] * d, 1e-9])
+    for _ in range(steps if fitted else 0):
+        p = ready.withColumn("__p", probability(fitted))
+        slope, curve = F.col("__w") * (F.col("__y") - F.col("__p")), F.col("__w") * F.col("__p") * (1 - F.col("__p"))
+        z = lambda i: F.col("__z")[i]
+        sums = p.where(F.col("__f").isin(*fitted)).groupBy("__f").agg(F.array(*[F.sum(slope * z(i)) for i in range(d + 1)]).alias("g"),
+                                                                       F.array(*[F.sum(curve * z(i) * z(j)) for i in range(d + 1) for j in range(d + 1)]).alias("h")).collect()
+        most = 0.0
+        for r in sums:
+            b = np.array(fitted[r["__f"]])
+            change = np.linalg.solve(np.array(r["h"]).reshape(d + 1, d + 1) + penalty, np.array(r["g"]) - penalty @ b)
+            fitted[r["__f"]] = (b + change).tolist()
+            most = max(most, float(np.abs(change).max()))
+        if most < 1e-10:
+            break
+    test = standard(rows.withColumn("__f", F.col(fold)).withColumn("__x", filled))
+    score = F.coalesce(probability(fitted), chosen(rate, "double")) if fitted else chosen(rate, "double")
+    return test.select(*keys, fold, label, score.alias("score"))
+
+
+def fold_checks(rows: DataFrame, key: str, group: str, fold: str, label: str, folds: int) -> DataFrame:
+    """(check, n): how many groups or rows lie in two folds, rows lack a fold or group, folds have one class or are missing."""
+    several = lambda by, n: rows.groupBy(by).agg(n.alias("n")).where("n > 1").agg(F.count("*").alias("n"))
+    whole = rows.agg(F.count_if(F.col(fold).isNull()).alias("a"), F.count_if(F.col(group).isNull()).alias("b"),
+                     (folds - F.countDistinct(F.when(F.col(fold).between(0, folds - 1), F.col(fold)))).alias("c"))
+    classes = rows.groupBy(fold).agg(F.countDistinct(label).alias("n")).agg(F.count_if(F.col("n") < 2).alias("n"))
+    named = {"group_in_two_folds": several(group, F.countDistinct(fold)), "row_in_two_folds": several(key, F.count("*")), "row_without_fold": whole.select(F.col("a").alias("n")),
+             "row_without_group": whole.select(F.col("b").alias("n")), "fold_of_one_class": classes, "fold_missing": whole.select(F.col("c").alias("n"))}
+    parts = [df.select(F.lit(name).alias("check"), F.col("n").cast("long").alias("n")) for name, df in named.items()]
+    return functools.reduce(DataFrame.union, parts)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,42 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("rho"))
 
 
+def spearman_by_values(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+    """As `spearman`, for few and large groups: ranks come from counts of the distinct values, so no window holds the rows of a group."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
+
+    def ranks(column: str) -> DataFrame:
+        steps = rows.groupBy(*by, column).agg(F.count("*").alias("n"))
+        below = F.sum("n").over(Window.partitionBy(*by).orderBy(column)) - F.col("n")
+        return steps.select(*by, column, (below + (F.col("n") + 1) / 2).alias(f"{column}r"))
+
+    return rows.join(ranks("__x"), [*by, "__x"]).join(ranks("__y"), [*by, "__y"]).groupBy(*by).agg(F.count("*").alias("n"), F.corr("__xr", "__yr").alias("rho"))
+
+
+def z_scored(df: DataFrame, by: Sequence[str], value: str, out: str, sample: bool = False, epsilon: float = 1e-9) -> DataFrame:
+    """`df` with the z-score of a value, for few and large groups: statistics by map-side combine, joined back."""
+    sd = F.stddev_samp(value) if sample else F.stddev_pop(value) + epsilon
+    stats = df.groupBy(*by).agg(F.avg(value).alias("__m"), sd.alias("__s"))
+    return df.join(stats, list(by)).withColumn(out, (F.col(value) - F.col("__m")) / F.col("__s")).drop("__m", "__s")
+
+
+def sorted_index(df: DataFrame, coarse: Column, order: Sequence[str], name: str) -> DataFrame:
+    """`df` with its position, from 0, in the order of all rows, which `coarse` must not contradict.
+
+    Rows are numbered within each value of `coarse`; only the counts of its values are summed up in one task.
+    """
+    marked = df.withColumn("__coarse", coarse)
+    counts = marked.groupBy("__coarse").agg(F.count("*").alias("__n"))
+    before = counts.select("__coarse", (F.sum("__n").over(Window.orderBy("__coarse")) - F.col("__n")).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__coarse").orderBy(*order)) - 1
+    return marked.join(before, "__coarse").withColumn(name, F.col("__before") + within).drop("__coarse", "__before")
+
+
+def head_of_each(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
+    """The first k rows of each key in order. Spark keeps k rows a key on each side of the shuffle."""
+    return top_k(df, by, [F.col(c) for c in order], k).drop("rank")
+
+
 def runs(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """(by, value, run, length): maximal runs of one value in order."""
     here, among = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by, value).orderBy(*order)
@@ -125,22 +162,44 @@ def gated_anchor(df: DataFrame, by: Sequence[str], order: str, value: str, confi
     """(by, order, anchor): an anchor carried through each group in order.
 
     The first finite value sets it; later finite values move it to keep * anchor + (1 - keep) *
-    value if their confidence reaches `least`. A group is one session's block, folded in one
-    expression; the state starts anew with each.
+    value if their confidence reaches `least`. The state starts anew with each group.
+    """
+    def step(anchor: float | None, row: tuple) -> tuple[float | None, float | None]:
+        v, c = row
+        if v is not None and v == v:
+            anchor = v if anchor is None else anchor * keep + v * (1 - keep) if c is not None and c >= least else anchor
+        return anchor, anchor
+
+    rows = df.select(*by, order, F.col(value).cast("double").alias("__v"), F.col(confidence).cast("double").alias("__c"))
+    return ordered_fold(rows, by, [order], ["__v", "__c"], None, step, "anchor double").select(*by, order, "anchor")
+
+
+def ordered_fold(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], start, step, result: str) -> DataFrame:
+    """(by, order, result): a value carried from row to row of each key in order: `step(state, values)` gives the next state and the row's result.
+
+    Rows are sorted within partitions by Spark and walked batch by batch, so a key's rows are never held together. The
+    state starts anew with each key; columns that aren't numbers come as they are, missing numbers as None.
     """
-    def step(acc: Column, x: Column) -> Column:
-        known = x["v"].isNotNull() & ~F.isnan(x["v"])
-        moved = F.when(acc["anchor"].isNull() & known, x["v"]).when(
-            known & (x["c"] >= least), acc["anchor"] * keep + x["v"] * (1 - keep)).otherwise(acc["anchor"])
-        row = F.struct(x["o"].alias("o"), moved.alias("anchor"))
-        return F.struct(moved.alias("anchor"), F.concat(acc["rows"], F.array(row)).alias("rows"))
-
-    kind = df.schema[order].dataType.simpleString()
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(
-        F.col(order).alias("o"), F.col(value).cast("double").alias("v"), F.col(confidence).cast("double").alias("c")))).alias("s"))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast(f"array<struct<o:{kind},anchor:double>>").alias("rows"))
-    out = rows.select(*by, F.explode(F.aggregate("s", start, step, lambda acc: acc["rows"])).alias("r"))
-    return out.select(*by, F.col("r.o").alias(order), F.col("r.anchor").alias("anchor"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in (*by, *order)], result])
+    name = result.split()[0]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, start
+        for batch in batches:
+            keys = list(zip(*[batch[c].tolist() for c in by]))
+            cells = batch[list(columns)].astype(object)
+            values = zip(*[cells[c].where(cells[c].notna(), None).tolist() for c in columns])
+            out = []
+            for key, row in zip(keys, values):
+                if key != last:
+                    last, state = key, start
+                state, found = step(state, row)
+                out.append(found)
+            yield batch[[*by, *order]].assign(**{name: pd.Series(out, index=batch.index, dtype=object)})
+
+    rows = df.select(*by, *order, *columns).repartition(*by).sortWithinPartitions(*by, *order)
+    return rows.mapInPandas(walk, schema)
 
 
 def jackknife_correlation(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:

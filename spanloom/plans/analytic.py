@@ -48,7 +48,8 @@ def isolated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT event_id, {q6('(value - avg(value) OVER (PARTITION BY user_id)) / (stddev_pop(value) OVER (PARTITION BY user_id) + 1e-9)')} AS z_pop,
  CASE WHEN count(*) OVER (PARTITION BY event_type) > 1 THEN {q6('(value - avg(value) OVER (PARTITION BY event_type)) / stddev_samp(value) OVER (PARTITION BY event_type)')} END AS z_samp FROM events""")
 def z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select("event_id", r6(W.z_score(["user_id"], "value")).alias("z_pop"), r6(W.z_score(["event_type"], "value", sample=True)).alias("z_samp"))
+    e = W.z_scored(events(spark, sf_dir), ["event_type"], "value", "z_samp", sample=True)
+    return e.select("event_id", r6(W.z_score(["user_id"], "value")).alias("z_pop"), r6("z_samp").alias("z_samp"))
 
 
 @query(f"""WITH {EVENTS_SQL}, r AS (SELECT user_id, value, row_number() {ORDER} AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM ev)

@@ -58,11 +58,13 @@ def label_coverage_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH d AS (SELECT o_orderpriority AS g, round(o_totalprice - 150000, 0) AS d FROM orders), m AS (SELECT g, d, abs(d) AS m FROM d WHERE d <> 0),
 r AS (SELECT g, d, rank() OVER (PARTITION BY g ORDER BY m) + (count(*) OVER (PARTITION BY g, m) - 1) / 2.0 AS r FROM m),
 s AS (SELECT g, CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (d > 0) AS positive, avg(d) / nullif(stddev_samp(d), 0) AS cohen_d, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w FROM r GROUP BY 1)
-SELECT g, CAST(n AS BIGINT) AS n, positive, {q6('cohen_d')} AS cohen_d, {q6('(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24)')} AS wilcoxon_z FROM s""")
+SELECT g, CAST(n AS BIGINT) AS n, positive, {q6('cohen_d')} AS cohen_d, {q6('(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24)')} AS wilcoxon_z,
+ {q6('t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x)')} AS sign_p
+ FROM (SELECT *, greatest(abs(positive - n / 2) - 0.5, 0) / sqrt(n / 4) / sqrt(2.0) AS x, 1 / (1 + 0.3275911 * x) AS t FROM s)""")
 def paired_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), F.round(F.col("o_totalprice") - 150000, 0).alias("d"))
     t = A.paired_tests(d, ["g"], "d")
-    return t.select("g", "n", "positive", r6("cohen_d").alias("cohen_d"), r6("wilcoxon_z").alias("wilcoxon_z"))
+    return t.select("g", "n", "positive", r6("cohen_d").alias("cohen_d"), r6("wilcoxon_z").alias("wilcoxon_z"), r6("sign_p").alias("sign_p"))
 
 
 @query(f"""WITH {EVENTS_SQL}, s AS (SELECT user_id, ms, min(value) AS v FROM ev GROUP BY 1, 2),
@@ -104,7 +106,13 @@ def same_keys_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.same_keys_join(n, [counted("customer", "c_nationkey", "n_customers"), counted("supplier", "s_nationkey", "n_suppliers")], ["n_nationkey"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, a AS (SELECT DISTINCT user_id, ms FROM ev WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id, ms FROM ev WHERE event_type = 'view'),
+p AS (SELECT a.user_id, a.ms AS a, b.ms AS b, row_number() OVER (PARTITION BY a.user_id ORDER BY abs(a.ms - b.ms), a.ms, b.ms) AS k FROM a JOIN b ON a.user_id = b.user_id AND abs(a.ms - b.ms) <= {3 * HOUR}),
+w AS (SELECT user_id, k, a, b, true AS free, [a] AS used_a, [b] AS used_b FROM p WHERE k = 1
+ UNION ALL SELECT p.user_id, p.k, p.a, p.b, NOT list_contains(used_a, p.a) AND NOT list_contains(used_b, p.b),
+  CASE WHEN list_contains(used_a, p.a) OR list_contains(used_b, p.b) THEN used_a ELSE list_append(used_a, p.a) END,
+  CASE WHEN list_contains(used_a, p.a) OR list_contains(used_b, p.b) THEN used_b ELSE list_append(used_b, p.b) END FROM w JOIN p ON p.user_id = w.user_id AND p.k = w.k + 1)
+SELECT user_id, a, b FROM w WHERE free""")
 def greedy_global_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks and views of a user paired one to one within three hours, nearest first."""
     e = events(spark, sf_dir)

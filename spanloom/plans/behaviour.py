@@ -40,10 +40,11 @@ SELECT w.probe_id, w.width_h, count(ms) AS trial_count, {q6('avg(rt)')} AS rt_me
  CAST(sum(omission) AS BIGINT) AS omission_count, {q6('avg(omission)')} AS omission_rate
 FROM w JOIN m ON m.probe_id = w.probe_id AND m.width_h = w.width_h GROUP BY 1, 2""")
 def preevent_window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = probes(spark, sf_dir).withColumn("width_h", F.explode(F.array(*map(F.lit, WIDTHS))))
-    p = p.withColumn("width", F.col("width_h").cast("long") * HOUR)
-    w = joins.lookback_join(p, trials(spark, sf_dir), ["user_id"], "onset", "ms", "width", max(WIDTHS) * HOUR)
-    w = w.withColumn("at", F.when(F.col("ms").isNotNull(), (F.col("ms") - F.col("onset")) / HOUR))
+    # one join with the widest window; a row counts in each width that holds it
+    w = joins.lookback_join(probes(spark, sf_dir), trials(spark, sf_dir), ["user_id"], "onset", "ms", max(WIDTHS) * HOUR, max(WIDTHS) * HOUR)
+    w = w.withColumn("width_h", F.explode(F.array(*map(F.lit, WIDTHS))))
+    inside = F.col("onset") - F.col("ms") <= F.col("width_h").cast("long") * HOUR
+    w = w.select("probe_id", "width_h", F.when(inside, (F.col("ms") - F.col("onset")) / HOUR).alias("at"), *[F.when(inside, F.col(c)).alias(c) for c in ("rt", "error", "omission")])
     f = aggregates.behaviour_features(w, ["probe_id", "width_h"], "at", "rt", "error", "omission")
     counts = ("trial_count", "error_count", "omission_count")
     return f.select("probe_id", "width_h", *[F.col(c) if c in counts else r6(c).alias(c) for c in f.columns[2:]])
@@ -103,7 +104,7 @@ def interval_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     phases = e.where(F.col("event_type").isin("error", "signup")).groupBy("user_id", F.col("event_type").alias("phase")).agg(
         F.min("ms").alias("lo"), F.max("ms").alias("hi"))
     points = e.where("event_type = 'click'").select("event_id", "user_id", "ms")
-    return joins.interval_lookup(points, phases, ["user_id"], "ms", "lo", "hi", "phase", "outside").select("event_id", "label")
+    return joins.interval_lookup(points, phases, ["user_id"], "ms", "lo", "hi", "phase", ["event_id"], "outside", span=24 * HOUR).select("event_id", "label")
 
 
 @query(f"""WITH {EVENTS_SQL}
@@ -191,7 +192,14 @@ def gap_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.coalesce(F.max("gap"), F.lit(0)).alias("longest"), F.coalesce(F.sum("gap"), F.lit(0)).alias("total"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, a AS (SELECT user_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ms) AS i FROM ev WHERE event_type = 'click'),
+b AS (SELECT user_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ms) AS j FROM ev WHERE event_type = 'view'),
+w AS (SELECT DISTINCT user_id, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, CAST(NULL AS BIGINT) AS gap FROM ev
+ UNION ALL SELECT w.user_id, CASE WHEN abs(b.ms - a.ms) <= {HOUR} OR b.ms - a.ms > 0 THEN w.i + 1 ELSE w.i END, CASE WHEN abs(b.ms - a.ms) <= {HOUR} OR b.ms - a.ms < 0 THEN w.j + 1 ELSE w.j END,
+  CASE WHEN abs(b.ms - a.ms) <= {HOUR} THEN abs(b.ms - a.ms) END FROM w JOIN a ON a.user_id = w.user_id AND a.i = w.i JOIN b ON b.user_id = w.user_id AND b.j = w.j),
+m AS (SELECT user_id, count(gap) AS n, avg(gap) / 1000 AS mae FROM w GROUP BY 1),
+c AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS r, count(*) FILTER (event_type = 'view') AS e FROM ev GROUP BY 1)
+SELECT user_id, n, {q6('mae')} AS mae, {q6('n / CAST(nullif(e, 0) AS DOUBLE)')} AS precision, {q6('n / CAST(nullif(r, 0) AS DOUBLE)')} AS recall, {q6('2 * n / CAST(nullif(e + r, 0) AS DOUBLE)')} AS f1 FROM m JOIN c USING (user_id)""")
 def monotone_match_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of clicks and views within an hour, in order and one to one, with precision, recall and F1 by user."""
     e = events(spark, sf_dir).select("user_id", "event_type", (F.col("ms") / 1000).alias("t"))

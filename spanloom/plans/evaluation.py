@@ -43,10 +43,9 @@ def confusion_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SCORED}, f AS (SELECT source AS held_out, printf('LOSO_%03d', CAST(dense_rank() OVER (ORDER BY source) AS INT)) AS fold_id FROM (SELECT DISTINCT source FROM sc))
 SELECT fold_id, held_out, count(*) FILTER (source <> held_out) AS n_train, count(*) FILTER (source = held_out) AS n_test FROM sc, f GROUP BY 1, 2""")
 def loso_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spanloom.operators.joins import fold_roles
+    from spanloom.operators.joins import fold_sizes
 
-    f = fold_roles(scored(spark, sf_dir).select("source", "doc_id"), "source")
-    return f.groupBy("fold_id", "held_out").agg(F.count_if(F.col("role") == "TRAIN").alias("n_train"), F.count_if(F.col("role") == "TEST").alias("n_test"))
+    return fold_sizes(scored(spark, sf_dir), "source")
 
 
 @query(f"""WITH {SCORED}, g AS (SELECT source, count(*) AS n, avg(y) AS rate FROM sc GROUP BY 1),
@@ -56,14 +55,27 @@ def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.group_folds(scored(spark, sf_dir), "source", "y")
 
 
-@query()
+def weights_sql(key: str, source: str, replicates: int, seed: int) -> str:
+    cases = " + ".join(f"CASE WHEN u >= {p} THEN 1 ELSE 0 END" for p in M.POISSON)
+    return f"""u AS (SELECT {key}, rep, CAST('0x' || substr(md5('{seed}-' || rep || '-' || {key}), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM (SELECT DISTINCT {key} FROM {source}), range({replicates}) t(rep)),
+wt AS (SELECT * FROM (SELECT {key}, rep, {cases} AS weight FROM u) WHERE weight > 0)"""
+
+
+@query(f"""WITH {weights_sql('user_id', 'events', 500, 20260826)}, s AS (SELECT user_id, sum(value) AS s, count(value) AS n FROM events GROUP BY 1),
+r AS (SELECT rep, sum(s * weight) / sum(n * weight) AS m FROM s JOIN wt USING (user_id) GROUP BY 1)
+SELECT (SELECT {q6('sum(s) / sum(n)')} FROM s) AS mean, {q6('quantile_cont(m, 0.025)')} AS low, {q6('quantile_cont(m, 0.975)')} AS high FROM r""")
 def cluster_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean event value with a bootstrap over users."""
     b = M.bootstrap_interval(events(spark, sf_dir), "user_id", "value", 500)
     return b.select(*[r6(c).alias(c) for c in b.columns])
 
 
-@query()
+@query(f"""WITH {SCORED}, {weights_sql('source', 'sc', 100, 20260824)}, z AS (SELECT -1 AS rep, 1 AS weight, y, doc_id % 100 / 100.0 AS a, p AS b FROM sc UNION ALL
+ SELECT rep, weight, y, doc_id % 100 / 100.0, p FROM sc JOIN wt USING (source)),
+l AS (SELECT rep, 'a' AS arm, a AS score, sum(y * weight) AS p, sum((1 - y) * weight) AS q FROM z GROUP BY 1, 2, 3 UNION ALL SELECT rep, 'b', b, sum(y * weight), sum((1 - y) * weight) FROM z GROUP BY 1, 2, 3),
+c AS (SELECT *, sum(q) OVER (PARTITION BY rep, arm ORDER BY score) - q / 2.0 AS below FROM l),
+x AS (SELECT rep, arm, sum(p * below) / nullif(CAST(sum(p) AS DOUBLE) * sum(q), 0) AS auc FROM c GROUP BY 1, 2), d AS (SELECT rep, max(auc) FILTER (arm = 'b') - max(auc) FILTER (arm = 'a') AS d FROM x GROUP BY 1)
+SELECT {q6('max(d) FILTER (rep = -1)')} AS delta, {q6('quantile_cont(d, 0.025) FILTER (rep >= 0)')} AS low, {q6('quantile_cont(d, 0.975) FILTER (rep >= 0)')} AS high FROM d""")
 def paired_bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference of the AUCs of two scores with a paired bootstrap over sources."""
     s = scored(spark, sf_dir).withColumn("other", F.col("doc_id") % 100 / 100)
@@ -78,3 +90,17 @@ def folded_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = s.join(F.broadcast(M.group_folds(s, "source", "y")), "source").select("doc_id", "fold", "y", "log_chars", "english")
     oof = M.out_of_fold_scores(rows, "fold", ["doc_id"], ["log_chars", "english"], "y")
     return M.roc_auc(oof, ["fold"], "y", "score").select("fold", "n", r6("auc").alias("auc"))
+
+
+@query(f"""WITH {weights_sql('user_id', 'events', 60, 20260826)}, e AS (SELECT user_id, value AS x, CAST(event_id % 97 AS BIGINT) AS y FROM events WHERE value IS NOT NULL),
+z AS (SELECT -1 AS rep, 1 AS weight, x, y FROM e UNION ALL SELECT rep, weight, x, y FROM e JOIN wt USING (user_id)),
+a AS (SELECT rep, x, sum(weight) AS n FROM z GROUP BY 1, 2), b AS (SELECT rep, y, sum(weight) AS n FROM z GROUP BY 1, 2),
+ra AS (SELECT rep, x, sum(n) OVER (PARTITION BY rep ORDER BY x) - n + (n + 1) / 2.0 AS r FROM a), rb AS (SELECT rep, y, sum(n) OVER (PARTITION BY rep ORDER BY y) - n + (n + 1) / 2.0 AS r FROM b),
+s AS (SELECT z.rep, CAST(sum(weight) AS DOUBLE) AS n, sum(weight * ra.r) AS a, sum(weight * rb.r) AS b, sum(weight * ra.r * ra.r) AS aa, sum(weight * rb.r * rb.r) AS bb, sum(weight * ra.r * rb.r) AS ab
+ FROM z JOIN ra ON ra.rep = z.rep AND ra.x = z.x JOIN rb ON rb.rep = z.rep AND rb.y = z.y GROUP BY 1),
+r AS (SELECT rep, (n * ab - a * b) / nullif(sqrt((n * aa - a * a) * (n * bb - b * b)), 0) AS rho FROM s)
+SELECT {q6('max(rho) FILTER (rep = -1)')} AS rho, {q6('quantile_cont(rho, 0.025) FILTER (rep >= 0)')} AS low, {q6('quantile_cont(rho, 0.975) FILTER (rep >= 0)')} AS high FROM r""")
+def bootstrap_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).select("user_id", F.col("value").alias("x"), (F.col("event_id") % 97).alias("y"))
+    b = M.bootstrap_spearman(e, "user_id", "x", "y", 60)
+    return b.select(*[r6(c).alias(c) for c in b.columns])
