@@ -17,6 +17,8 @@ LINE_END = r"[.!?;]+(?:[ \t\r\n]+|\z)|[\r\n]+"
 PARAGRAPH_END = r"[.!?;:]+(?:[ \t\r\n]+|\z)|\n[ \t\r]*\n[ \t\r\n]*"
 #: What marks a comment at the start of a line.
 LEADER = r"(^|\n)[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--+|>+)[ \t]*"
+#: What opens a sentence even without an end before it, as where a licence stands on one line.
+OPENING = r"[ \t\r\n]+(Permission to use|Permission is hereby granted|Permission is granted|Unless required by applicable law|Licensed under the|Redistribution and use in source)"
 TRIGGER = r"(?i)licen[cs]|permission|mpl was not|warrant|redistribut|liab|copyright|domain|reserved"
 SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+-]+)*)"
 SPDX_WORD = r"[ \t]+(?:OR|AND|WITH)[ \t]+"
@@ -187,7 +189,7 @@ def scan(docs: DataFrame) -> DataFrame:
     wanted = text.rlike(TRIGGER)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
         "doc_id", F.when(wanted, known_sentences(text, LINE_END)).otherwise(none).alias("by_line"),
-        F.when(wanted, known_sentences(F.regexp_replace(text, LEADER, "$1"), PARAGRAPH_END)).otherwise(none).alias("by_paragraph"),
+        F.when(wanted, known_sentences(F.regexp_replace(F.regexp_replace(text, LEADER, "$1"), OPENING, "; $1"), PARAGRAPH_END)).otherwise(none).alias("by_paragraph"),
         F.when(wanted, declared(text)).otherwise(F.array().cast("array<string>")).alias("declared"))
 
     def ids(column: str) -> Column:
@@ -214,7 +216,7 @@ def scan_sql() -> str:
     for family, licence, sequence in RULES:
         families.setdefault(family, []).append(f"WHEN regexp_matches(ids, {quoted(rule_pattern(sequence))}) THEN {quoted(licence)}")
     rules = ", ".join(f"CASE {' '.join(whens)} END" for whens in families.values())
-    leader = f"regexp_replace(t, {quoted(LEADER)}, '\\1', 'g')"
+    leader = f"regexp_replace(regexp_replace(t, {quoted(LEADER)}, '\\1', 'g'), {quoted(OPENING)}, '; \\1', 'g')"
     return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 r AS (SELECT doc_id, t, {reading('t', LINE_END)} AS a, {reading(leader, PARAGRAPH_END)} AS b FROM t),
 i AS (SELECT *, CASE WHEN len(b) > len(a) THEN b ELSE a END AS f,
