@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import broadcast_if_few, cut
+from spanloom.llm.common import broadcast_if_few, cut, stored
 from spanloom.llm.words import SPACED, Grams, words_of
 
 TOKEN = re.compile(
@@ -168,59 +168,56 @@ def parse(source: str | None) -> Page:
     return Page(found[kind], bool(kind), [t for k, blocks in found.items() if k != kind for t in blocks])
 
 
-def minimisers(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the least GRAM-token hash of every run of MIN_RUN tokens."""
-    hashes = Grams(tokens).every(GRAM)
-    width = MIN_RUN - GRAM + 1
-    if len(hashes) < width:
-        return np.zeros(0, np.int64), hashes[:0]
-    windows = np.lib.stride_tricks.sliding_window_view(hashes, width)
-    at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    return at, hashes[at]
+class Stream(NamedTuple):
+    """The token stream of some blocks as a sparse suffix array: suffixes at block starts and at minimiser positions."""
 
+    first: np.ndarray       # first token of each block, and the number of tokens
+    grams: Grams
+    blocks: np.ndarray      # key of each whole block
+    at: np.ndarray          # positions of the least GRAM-token hash of every run of MIN_RUN tokens
+    keys: np.ndarray
 
-def stream(blocks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse suffixes of a page's token stream: start, end, key; and the first token of each block.
 
-    A suffix is a whole block, or the gram at a minimiser position of the concatenated blocks.
-    """
-    hashes = [words_of(b, SPACED)[0] for b in blocks]
-    first = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int64)
-    tokens = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    grams = Grams(tokens)
-    at, key = minimisers(tokens)
-    return (np.concatenate([first[:-1], at]), np.concatenate([first[1:], at + GRAM]),
-            np.concatenate([grams.at(first[:-1], np.diff(first)) ^ np.uint64(1), key]), first)
+def stream(blocks: list[str]) -> Stream:
+    first = np.zeros(len(blocks) + 1, np.int64)
+    np.cumsum([b.count(" ") + 1 for b in blocks], out=first[1:])
+    grams = Grams(words_of("\n".join(blocks), SPACED)[0])
+    whole = grams.at(first[:-1], np.diff(first)) ^ np.uint64(1)
+    if first[-1] < MIN_RUN:
+        return Stream(first, grams, whole, first[:0], whole[:0])
+    hashes = grams.every(GRAM)
+    windows = np.lib.stride_tricks.sliding_window_view(hashes, MIN_RUN - GRAM + 1)
+    at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+    return Stream(first, grams, whole, at, hashes[at])
 
 
-def runs_near(blocks: list[str], repeated: set[int]) -> tuple[np.ndarray, np.ndarray]:
+def runs_near(found: Stream, repeated: set[int]) -> tuple[np.ndarray, np.ndarray]:
     """(start, key) of every run of MIN_RUN tokens around a repeated suffix."""
-    starts, _, keys, first = stream(blocks)
-    near = np.zeros(first[-1] + 1, np.int64)
-    for p, k in zip(starts[len(blocks):].tolist(), keys[len(blocks):].view(np.int64).tolist()):
+    n = found.first[-1]
+    near = np.zeros(n + 1, np.int64)
+    for p, k in zip(found.at.tolist(), found.keys.view(np.int64).tolist()):
         if k in repeated:
             near[max(0, p - MIN_RUN + GRAM)] += 1
-            near[min(first[-1], p + 1)] -= 1
-    tokens = [words_of(b, SPACED)[0] for b in blocks]
-    hashes = Grams(np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)).every(MIN_RUN)
+            near[min(n, p + 1)] -= 1
+    hashes = found.grams.every(MIN_RUN)
     at = np.flatnonzero(np.cumsum(near)[:len(hashes)] > 0)
     return at, hashes[at] ^ np.uint64(2)
 
 
 def unique_runs(page: Page, repeated: set[int]) -> list[str]:
     """The text blocks without what repeats on other pages of the host: runs of MIN_RUN tokens, and whole blocks of a page without article."""
-    starts, ends, keys, first = stream(page.text)
-    covered = np.zeros(first[-1] + 1, bool)
+    found = stream(page.text)
+    covered = np.zeros(found.first[-1] + 1, bool)
     if not page.closed:
-        for a, b, k in zip(starts[:len(page.text)], ends, keys.view(np.int64).tolist()):
+        for a, b, k in zip(found.first[:-1], found.first[1:], found.blocks.view(np.int64).tolist()):
             if k in repeated:
                 covered[a:b] = True
-    at, runs = runs_near(page.text, repeated)
+    at, runs = runs_near(found, repeated)
     for p, k in zip(at.tolist(), runs.view(np.int64).tolist()):
         if k in repeated:
             covered[p:p + MIN_RUN] = True
     out = []
-    for block, a, b in zip(page.text, first[:-1], first[1:]):
+    for block, a, b in zip(page.text, found.first[:-1], found.first[1:]):
         kept = [w for w, c in zip(block.split(" "), covered[a:b].tolist()) if not c] if covered[a:b].any() else [block]
         if kept:
             out.append(" ".join(kept))
@@ -231,15 +228,20 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-KEYED = "host string, page long, body long, framed boolean, closed boolean, key long"
+KEYED = "host string, page long, body long, framed boolean, closed boolean, whole boolean, key long"
+COLUMNS = [c.split()[0] for c in KEYED.split(", ")]
 
 
 def repeated_keys(keyed: DataFrame) -> DataFrame:
-    """The rows of `keyed` whose key is boilerplate: on at least PAGES pages of the host, in the frames of as many for text of an article."""
+    """The rows of `keyed` whose key is boilerplate: on at least PAGES pages of the host, in the frames of as many for text of an article.
+
+    Whole blocks of frames count for others, but lead nowhere themselves.
+    """
     counted = keyed.where("framed or not closed").groupBy("host", "key").agg(
         F.countDistinct("body").alias("pages"), F.countDistinct(F.when(F.col("framed"), F.col("body"))).alias("frames")).where(F.col("pages") >= PAGES)
     hit = F.col("framed") | ~F.col("closed") | (F.col("frames") >= PAGES)
-    return keyed.join(broadcast_if_few(cut(counted)), ["host", "key"]).where(hit).select("host", "page", "framed", "key")
+    sought = keyed.where("not (framed and whole)")
+    return sought.join(broadcast_if_few(cut(counted)), ["host", "key"]).where(hit).select("host", "page", "framed", "key")
 
 
 def listed(hits: DataFrame) -> DataFrame:
@@ -248,9 +250,11 @@ def listed(hits: DataFrame) -> DataFrame:
                                             F.collect_set(F.when(F.col("framed"), F.col("key"))).alias("frame_keys"))
 
 
-def rows_of(host: str, number: int, page: Page, framed: bool, keys: np.ndarray) -> list[tuple]:
+def rows_of(host: str, number: int, page: Page, framed: bool, whole: bool, keys: np.ndarray) -> list[tuple]:
+    if not len(keys):
+        return []
     body = xxhash.xxh64_intdigest("\n".join(page.text)) - (1 << 63)
-    return [(host, number, body, framed, page.closed, k) for k in np.unique(keys).view(np.int64).tolist()]
+    return [(host, number, body, framed, page.closed, whole, k) for k in set(keys.view(np.int64).tolist())]
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -265,18 +269,20 @@ def extract(pages: DataFrame) -> DataFrame:
             out = []
             for h, p, s in zip(batch["host"], batch["page"], batch["html"]):
                 page = parse(s)
-                # inside an article only long runs can go, so its blocks are no suffixes there
-                skipped = len(page.text) if page.closed else 0
-                out += rows_of(h, p, page, False, stream(page.text)[2][skipped:]) + rows_of(h, p, page, True, stream(page.frame)[2])
-            yield pd.DataFrame(out, columns=["host", "page", "body", "framed", "closed", "key"])
+                text, frame = stream(page.text), stream(page.frame)
+                out += rows_of(h, p, page, False, False, text.keys) + rows_of(h, p, page, True, False, frame.keys) + rows_of(h, p, page, True, True, frame.blocks)
+                if not page.closed:     # inside an article only long runs can go
+                    out += rows_of(h, p, page, False, True, text.blocks)
+            yield pd.DataFrame(out, columns=COLUMNS)
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for h, p, s, keys, frame_keys in zip(batch["host"], batch["page"], batch["html"], batch["keys"], batch["frame_keys"]):
                 page = parse(s)
-                out += rows_of(h, p, page, False, runs_near(page.text, set(keys))[1]) + rows_of(h, p, page, True, runs_near(page.frame, set(frame_keys))[1])
-            yield pd.DataFrame(out, columns=["host", "page", "body", "framed", "closed", "key"])
+                out += rows_of(h, p, page, False, False, runs_near(stream(page.text), set(keys))[1])
+                out += rows_of(h, p, page, True, False, runs_near(stream(page.frame), set(frame_keys))[1])
+            yield pd.DataFrame(out, columns=COLUMNS)
 
     @F.pandas_udf("string")
     def unique(sources: pd.Series, repeated: pd.Series) -> pd.Series:
@@ -286,10 +292,10 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns(
         {"host": host_of(F.col("url")), "page": F.xxhash64("url", "html")})
     sources = rows.select("host", "page", "html")
-    hits = cut(repeated_keys(sources.mapInPandas(suffixes, KEYED)))
+    hits = cut(repeated_keys(stored(sources.mapInPandas(suffixes, KEYED))))
     around = sources.join(broadcast_if_few(cut(listed(hits))), ["host", "page"])
     # a run counts by itself; of the suffixes only whole blocks are removed
-    hits = hits.union(repeated_keys(around.mapInPandas(runs, KEYED)))
+    hits = hits.union(repeated_keys(stored(around.mapInPandas(runs, KEYED))))
     gone = broadcast_if_few(cut(listed(hits).where("size(keys) > 0").select("host", "page", "keys")))
     text = rows.join(gone, ["host", "page"], "left").select("page_id", "url", unique("html", "keys").alias("text"))
     return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
