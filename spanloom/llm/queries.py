@@ -58,4 +58,4 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_license_scan, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_line_dedup, op6_language_id, op7_html_extraction,
     op8_secret_scan, op9_media_columns, op10_bpe_encode_decode)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.scan_sql(), "op8_secret_scan": secrets.digests_sql()}
