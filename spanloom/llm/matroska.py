@@ -22,6 +22,7 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 DOC_TYPE, TIMESTAMP_SCALE, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x4282, 0x2AD7B1, 0xE7, 0xA3, 0xA0, 0xA1
 REFERENCE_BLOCK = 0xFB
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1
+DEFAULT_DURATION = 0x23E383
 SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xB5, 0x9F, 0x6264
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, BLOCK_GROUP, TRACK_ENTRY, AUDIO, CUE_POINT, CUE_TRACK_POSITIONS}
@@ -88,7 +89,7 @@ def write_pcm(payload: bytes) -> bytes:
     audio = element(AUDIO, element(SAMPLING_FREQUENCY, np.array(RATE, ">f8").tobytes()) + unsigned(CHANNELS, 1)
                     + unsigned(BIT_DEPTH, 8))
     tracks = element(TRACKS, element(TRACK_ENTRY, unsigned(TRACK_NUMBER, 1) + unsigned(TRACK_UID, 1)
-                                     + unsigned(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
+                                     + unsigned(TRACK_TYPE, 2) + unsigned(DEFAULT_DURATION, FRAME * 1_000_000_000 // RATE) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
     parts, position, cues = [info, tracks], len(info) + len(tracks), []
     span = FRAME * LACE
     for low in range(0, len(payload), span * CLUSTER_BLOCKS):
@@ -121,6 +122,20 @@ def read_vint(data: bytes, at: int, keep_marker: bool = False) -> tuple[int | No
     return None if value == (1 << 7 * length) - 1 else value, at + length
 
 
+def cluster_end(data: bytes, at: int, high: int) -> int:
+    """Where a cluster of unknown size ends: at the next element of the top level, or with its parent."""
+    while at < high:
+        try:
+            ident, body = read_vint(data, at, keep_marker=True)
+            size, body = read_vint(data, body)
+        except ValueError:
+            return high
+        if ident in TOP_LEVEL:
+            return at
+        at = high if size is None else body + size
+    return high
+
+
 def elements(data: bytes, low: int, high: int) -> Iterator[tuple[int, int, int, int]]:
     """(id, start of the element, start and end of its body) of one level.
 
@@ -136,7 +151,7 @@ def elements(data: bytes, low: int, high: int) -> Iterator[tuple[int, int, int,
             return
         end = high if size is None else body + size
         if size is None and ident == CLUSTER:
-            end = next((s for i, s, _, _ in elements(data, body, high) if i in TOP_LEVEL), high)
+            end = cluster_end(data, body, high)
         if end > high and ident not in MASTERS:
             return
         yield ident, at, body, min(end, high)
@@ -198,7 +213,8 @@ def _segment(data: bytes, low: int, high: int, out: Parsed) -> None:
                     fields = {j: data[p:q] for j, _, p, q in elements(data, x, y)}
                     out.tracks.append({"number": int.from_bytes(fields.get(TRACK_NUMBER, b""), "big"),
                                        "type": int.from_bytes(fields.get(TRACK_TYPE, b""), "big"),
-                                       "codec": fields.get(CODEC_ID, b"").decode("ascii", "replace")})
+                                       "codec": fields.get(CODEC_ID, b"").decode("ascii", "replace"),
+                                       "frame_ns": int.from_bytes(fields.get(DEFAULT_DURATION, b""), "big")})
         elif ident == CUES:
             for i, _, x, y in elements(data, a, b):
                 time, places = 0, []
@@ -233,8 +249,10 @@ def _block(data: bytes, at: int, end: int, base: int, scale: int, key: bool | No
         sizes, at = lace_sizes(data, at + 3, end, flags >> 1 & 3)
     except (ValueError, IndexError):
         return
+    # frames of a lace follow one another by the track's default duration; without one all have the block's time
+    step = next((t["frame_ns"] for t in out.tracks if t["number"] == track), 0)
     for lace, size in enumerate(sizes):
-        out.packets.append(Packet(track or 0, (base + relative) * scale / 1e6, at, size,
+        out.packets.append(Packet(track or 0, ((base + relative) * scale + lace * step) / 1e6, at, size,
                                   bool(flags & 0x80) if key is None else key, lace, len(out.clusters) - 1))
         at += size
 
@@ -271,7 +289,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
     """(doc_id and FIELDS) for every row of `docs` (doc_id, text).
 
     The text is stored as a Matroska file, read back through the parser, and described. Null and
-    empty texts give 64 zero bytes; repeated rows give repeated results; other columns are not
+    empty texts give 64 zero bytes; a very long text is held three times over by its task; repeated rows give repeated results; other columns are not
     read; an empty table gives no rows. One pass, row by row, no shuffle: memory is a batch.
     """
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
