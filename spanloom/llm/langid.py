@@ -5,8 +5,9 @@ k(x, y) = |x & y| / sqrt(|x| |y|), over n-grams hashed into `BUCKETS` presence b
 from the training sample span the Nyström feature space; a ridge regression per language scores
 it. Whole batches are scored by two matrix products.
 
-The training sample is bounded: at most `PER_LANGUAGE` rows of each language, of at most
-`TRAIN_CHARS` characters, picked by the least hash of the text in each of as many hash buckets.
+The training sample is bounded: at most `PER_LANGUAGE` rows of each language, and of all languages
+`TRAIN_ROWS` (or one of each, if there are more languages), of at most
+`TRAIN_CHARS` characters, picked by the least hash of the text in each of as many hash buckets. Landmarks are bounded in the same way.
 Everything else covers all rows, and prediction reads whole texts.
 """
 
@@ -23,9 +24,10 @@ SPANS = (1, 2, 3)
 BUCKETS = 1 << 14
 PER_LANGUAGE = 160
 TRAIN_CHARS = 20_000
+TRAIN_ROWS = 8000
 LANDMARKS = 40          # of each language
+ALL_LANDMARKS = 2000
 RIDGE = 1e-2
-MAX_LANGUAGES = 500
 ROWS = 256              # of one matrix product
 
 
@@ -89,7 +91,8 @@ def fit(texts: list[str], labels: list[str]) -> Model:
         return Model([], np.zeros((0, BUCKETS // 8), np.uint8), np.zeros((1, 0)))
     labels = np.array(labels, object)
     x = presence(texts)
-    picked = np.concatenate([np.flatnonzero(labels == c)[:LANDMARKS] for c in languages])
+    each = max(1, min(LANDMARKS, ALL_LANDMARKS // len(languages)))
+    picked = np.concatenate([np.flatnonzero(labels == c)[:each] for c in languages])[:max(ALL_LANDMARKS, 1)]
     marks = x[picked]
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     keep = values > 1e-6 * values.max()
@@ -118,10 +121,11 @@ def train(docs: DataFrame) -> Model:
         ~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()
         & F.char_length("text").between(1, TRAIN_CHARS))
     least = rows.groupBy("lang", F.pmod("h", F.lit(PER_LANGUAGE)).alias("bucket")).agg(F.min("h").alias("h"))
-    chosen = least.limit(PER_LANGUAGE * MAX_LANGUAGES + 1).collect()
-    if len(chosen) > PER_LANGUAGE * MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} values of lang")
-    wanted = docs.sparkSession.createDataFrame([(r["lang"], r["h"]) for r in chosen], "lang string, h long")
+    chosen: dict[str, list[int]] = {}
+    for r in least.collect():
+        chosen.setdefault(r["lang"], []).append(r["h"])
+    each = max(1, min(PER_LANGUAGE, TRAIN_ROWS // max(1, len(chosen))))
+    wanted = docs.sparkSession.createDataFrame([(g, h) for g, hashes in chosen.items() for h in sorted(hashes)[:each]], "lang string, h long")
     sample = rows.join(F.broadcast(wanted), ["lang", "h"]).dropDuplicates(["lang", "h"]).collect()
     sample = sorted((r for r in sample if has_letter(r["text"])), key=lambda r: (r["lang"], r["h"]))
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
@@ -140,7 +144,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Null texts and texts without a letter are `und` with score 0; so is all if nothing is
     labelled. Equal texts get equal results, repeated rows repeated results. Columns besides these
-    three aren't read, and lang only in training. An empty table gives no rows. Two scans pick the
+    three aren't read, and lang only in training. A very long text is scored whole and never learned from; of equal
+    scores the first language by name wins. An empty table gives no rows. Two scans pick the
     sample (bounded, collected), one scores; no text is shuffled but the sample's.
     """
     predict = predictor(train(docs))
