@@ -21,7 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Words that a worker remembers, and bytes of one: longer words are encoded anew in each batch.
 KEPT_WORDS = 400_000
+KEPT_BYTES = 64
 
 
 def category_ranges(major: str, end: int) -> str:
@@ -195,7 +197,11 @@ class WordBpe:
         packed, cuts = ids.astype("<u4").tobytes(), (cuts * 4).tolist()
         memory.update((w, packed[a:b]) for w, a, b in zip(fresh, cuts, cuts[1:]))
         find = memory.__getitem__
-        return [np.frombuffer(b"".join(map(find, words)), "<u4") for words in split]
+        out = [np.frombuffer(b"".join(map(find, words)), "<u4") for words in split]
+        for w in fresh:
+            if len(w) > KEPT_BYTES:
+                del memory[w]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens joined by spaces, as a file without a decoder asks for."""
