@@ -32,34 +32,32 @@ def planes_of(fingerprints: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
 
 def near(queries: np.ndarray, word: np.ndarray, planes: np.ndarray, used: np.ndarray, radius: int = 3,
          step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
-    """For each (query, word) the lanes of the word within `radius` (at most 3) bits of the query.
+    """For each (query, word) the lanes of the word within `radius` bits of the query.
 
-    A carry-save counter of two bit planes and an overflow plane counts 64 distances at once, one
-    plane of the fingerprints at a time; after every 8 planes the words in which every lane has
+    A carry-save counter of as many bit planes as the radius has digits, and an overflow plane, count 64 distances at
+    once, one plane of the fingerprints at a time; after every 8 planes the words in which every lane has
     passed the radius are abandoned. Gives the indices of the words left and their lane masks.
     """
-    if not 0 <= radius <= 3:
-        raise ValueError("the counters hold a radius of 0 to 3")
+    digits = max(1, int(radius).bit_length())
     found_at, found = [], []
     for low in range(0, len(queries), step):
         at = np.arange(low, min(low + step, len(queries)))
         q, w = queries[at], word[at]
-        ones = np.zeros(len(at), np.uint64)
-        twos = np.zeros(len(at), np.uint64)
+        counts = [np.zeros(len(at), np.uint64) for _ in range(digits)]
         over = ~used[w]
         for k in range(64):
-            x = planes[k][w] ^ (np.uint64(0) - ((q >> np.uint64(k)) & _ONE))
-            carry = ones & x
-            ones ^= x
-            over |= twos & carry
-            twos ^= carry
+            carry = planes[k][w] ^ (np.uint64(0) - ((q >> np.uint64(k)) & _ONE))
+            for d in range(digits):
+                counts[d], carry = counts[d] ^ carry, counts[d] & carry
+            over |= carry
             if k % 8 == 7:
-                live = (over | beyond(ones, twos, radius)) != _ALL
+                live = (over | beyond(counts, radius)) != _ALL
                 if not live.all():
-                    at, q, w, ones, twos, over = (v[live] for v in (at, q, w, ones, twos, over))
+                    at, q, w, over = (v[live] for v in (at, q, w, over))
+                    counts = [c[live] for c in counts]
                     if not len(at):
                         break
-        lanes = ~(over | beyond(ones, twos, radius))
+        lanes = ~(over | beyond(counts, radius))
         found_at.append(at[lanes != 0])
         found.append(lanes[lanes != 0])
     if not found:
@@ -67,9 +65,26 @@ def near(queries: np.ndarray, word: np.ndarray, planes: np.ndarray, used: np.nda
     return np.concatenate(found_at), np.concatenate(found)
 
 
-def beyond(ones: np.ndarray, twos: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose two-bit count is over the radius."""
-    return (ones | twos, twos, ones & twos, np.zeros_like(ones))[radius]
+def beyond(counts: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose count, one bit plane for each digit, is over the radius."""
+    more, same = np.zeros_like(counts[0]), np.full_like(counts[0], _ALL)
+    for d in range(len(counts) - 1, -1, -1):
+        if radius >> d & 1:
+            same = same & counts[d]
+        else:
+            more |= same & counts[d]
+            same = same & ~counts[d]
+    return more
+
+
+def crossing(first: np.ndarray, second: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i of first, j of second) whose fingerprints are within the radius."""
+    planes, used, words = planes_of(second, np.array([0]))
+    query, word = np.repeat(np.arange(len(first)), words[-1]), np.tile(np.arange(words[-1]), len(first))
+    at, lanes = near(first[query], word, planes, used, radius)
+    hit = np.unpackbits(lanes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    row, lane = np.nonzero(hit)
+    return query[at][row], word[at][row] * LANES + lane
 
 
 def linked(fingerprints: np.ndarray, starts: np.ndarray, radius: int = 3) -> tuple[np.ndarray, np.ndarray]:

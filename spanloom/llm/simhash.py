@@ -18,12 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm import bitslice
-from spanloom.llm.common import connected_components, cut
+from spanloom.llm import bitslice, buckets
+from spanloom.llm.common import connected_components, cut, stored
+from spanloom.llm.words import mix
 
 RADIUS = 3
 SHINGLE = 3
@@ -117,13 +118,101 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+# Stages on texts: five-word shingles, and an exact check of their similarity.
+STAGE_SHINGLE = 5
+SIMILARITY = 80     # per cent
+#: Bits that fingerprints of similar texts may differ in: at similarity 0.8 they differ in 9.7 of 64 on average, with a deviation of 2.9.
+STAGE_RADIUS = 20
+#: Blocks that texts are compared in: bands of so many least shingle hashes; texts of similarity 0.8 share one with chance 0.991.
+STAGE_BLOCKS = 9
+STAGE_ROWS = 4
+STAGE_KEYS = [f"k{b}" for b in range(STAGE_BLOCKS)]
+SKETCH = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "size", "bits", *STAGE_KEYS)])
+
+
+def stage_shingles(text: str | None) -> np.ndarray:
+    """The different hashes of the five-word shingles of a text, sorted."""
+    return np.unique(shingle_hashes(text, STAGE_SHINGLE).view(">u8")[:, 0].astype(np.uint64)) if text else np.zeros(0, np.uint64)
+
+
+def sketch(text: str | None) -> list[int]:
+    """Columns SKETCH of a text: hash of its words, number of shingles, fingerprint, and block keys."""
+    h = stage_shingles(text)
+    words = xxhash.xxh3_64_intdigest(b" ".join((text or "").encode().lower().split()))
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    print_ = int(np.packbits(2 * bits > len(h), bitorder="little").view(np.int64)[0])
+    keys = [0] * STAGE_BLOCKS
+    if len(h):
+        turns = np.arange(1, STAGE_BLOCKS * STAGE_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        least = np.array([mix(h ^ t).min() for t in turns])
+        keys = [int(k) for k in np.bitwise_xor.reduce(mix(least.reshape(STAGE_BLOCKS, STAGE_ROWS) + turns.reshape(STAGE_BLOCKS, -1)), axis=1).view(np.int64)]
+    return [words - (1 << 63), len(h), print_, *keys]
+
+
+@F.pandas_udf(SKETCH)
+def sketch_udf(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([sketch(t) for t in texts], columns=SKETCH.names)
+
+
+def linked_texts(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is `SIMILARITY` per cent or more."""
+    if 100 * min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+        return False
+    return len(np.intersect1d(x, y, assume_unique=True)) * (100 + SIMILARITY) >= (len(x) + len(y)) * SIMILARITY
+
+
+@F.pandas_udf(T.BooleanType())
+def linked_udf(first: pd.Series, second: pd.Series) -> pd.Series:
+    return pd.Series([linked_texts(stage_shingles(a), stage_shingles(b)) for a, b in zip(first, second)], dtype=bool)
+
+
+def stage_alike(a: Column, b: Column) -> Column:
+    near = F.bit_count(a["bits"].bitwiseXOR(b["bits"])) <= STAGE_RADIUS
+    return near & (100 * F.least(a["size"], b["size"]) >= SIMILARITY * F.greatest(a["size"], b["size"]))
+
+
+def _open_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        a, b = [], []
+        for one, x, y in zip(batch["one"], batch["first"], batch["second"]):
+            x, y = (np.array([(v["id"], v["size"], v["bits"], v["label"]) for v in side], np.int64).reshape(-1, 4) for side in (x, y))
+            i, j = bitslice.crossing(*(np.ascontiguousarray(side[:, 2]).view(np.uint64) for side in (x, y)), STAGE_RADIUS)
+            u, v = x[i], y[j]
+            fit = (100 * np.minimum(u[:, 1], v[:, 1]) >= SIMILARITY * np.maximum(u[:, 1], v[:, 1])) & (u[:, 3] != v[:, 3]) & (~np.bool_(one) | (u[:, 0] < v[:, 0]))
+            a.append(np.minimum(u[fit, 0], v[fit, 0]))
+            b.append(np.maximum(u[fit, 0], v[fit, 0]))
+        if a:
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+
+
+def similar_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, group) for every row of `docs` (doc_id, text): rows of one group are linked by five-word shingles of similarity 0.8.
+
+    Texts of equal words are one node. Blocks are bands of least shingle hashes; inside a block fingerprints are
+    compared as bit planes, and pairs within the radius are checked on their whole shingle sets.
+    """
+    marked = stored(docs.select("doc_id", sketch_udf("text").alias("s")).select("doc_id", "s.*"))
+    nodes = marked.groupBy("id").agg(*[F.min(c).alias(c) for c in SKETCH.names[1:]])
+    texts = docs.select(sketch_udf("text")["id"].alias("id"), "text")
+
+    def compare(groups: DataFrame) -> DataFrame:
+        return groups.select((F.col("i") == F.col("j")).alias("one"), "first", "second").mapInPandas(_open_pairs, "a long, b long").distinct()
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return buckets.with_texts(pairs, texts).where(linked_udf("text_a", "text_b")).select("a", "b")
+
+    classes = buckets.similar_classes(nodes, STAGE_KEYS, stage_alike, checked, compare)
+    return marked.join(classes, marked["id"] == classes["node"], "left").select("doc_id", "size", F.coalesce("component", "id").alias("group"))
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id stands for its group; the columns stay as they are.
+    """The rows of `docs` whose doc_id is the least of its group of `similar_texts`; the columns stay as they are.
 
-    A row without doc_id stays if no row with one is near it. Rows that repeat a doc_id all stay
-    or all go.
+    A row without doc_id stays if no row with one is in its group. Rows that repeat a doc_id all stay
+    or all go. Texts without words are one group.
     """
-    groups = near_duplicates(docs)
-    gone = groups.where(F.coalesce(F.col("doc_id") != F.col("component_id"), F.col("component_id").isNotNull())).select(
+    groups = cut(similar_texts(docs))
+    least = groups.groupBy("group").agg(F.min("doc_id").alias("least"))
+    gone = groups.join(least, "group").where(F.coalesce(F.col("doc_id") != F.col("least"), F.col("least").isNotNull())).select(
         F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
