@@ -7,6 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.sources.sinks import table_exists
+
 
 class Stage(NamedTuple):
     name: str
@@ -38,11 +40,6 @@ def ordered(stages: Iterable[Stage], wanted: Iterable[str] | None = None) -> lis
     return done
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def execute(spark: SparkSession, stages: Iterable[Stage], out: str, inputs: dict[str, DataFrame], wanted: Iterable[str] | None = None,
             force: bool = False) -> dict[str, DataFrame]:
     """Run stages in order, each writing out/name and reading what it depends on from there."""
@@ -53,7 +50,7 @@ def execute(spark: SparkSession, stages: Iterable[Stage], out: str, inputs: dict
     tables = dict(inputs)
     for stage in plan:
         path = f"{out}/{stage.name}"
-        if force or not exists(spark, path):
+        if force or not table_exists(spark, path):
             stage.run(spark, {k: tables[k] for k in (*stage.after, *stage.inputs)}).write.mode("overwrite").parquet(path)
         tables[stage.name] = spark.read.parquet(path)
     return {s.name: tables[s.name] for s in plan}

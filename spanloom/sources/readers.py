@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.expressions import number
+from spanloom.operators.contracts import monotonic
 
 
 def csv_logs(spark: SparkSession, paths: str | Sequence[str], numeric: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
@@ -29,12 +30,16 @@ def trials(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return df.where(F.coalesce(F.col("is_probe"), F.lit(0)) != 1)
 
 
-def timestamps(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, frame_id, ts_ms) from headerless files: the third column, else the second; other rows go."""
+def timestamps(spark: SparkSession, path: str, rising: bool = False) -> DataFrame:
+    """(source_file, frame_id, ts_ms) from headerless files: the third column, else the second; other rows go.
+
+    With `rising` the job fails where the time of a file falls from one frame to the next.
+    """
     df = spark.read.schema("a string, b string, c string").csv(path).select(
         F.input_file_name().alias("source_file"), number("a", "double").cast("long").alias("frame_id"),
         F.coalesce(number("c"), number("b")).cast("long").alias("ts_ms"))
-    return df.where("frame_id is not null and ts_ms is not null")
+    known = df.where("frame_id is not null and ts_ms is not null")
+    return monotonic(known, ["frame_id"], "ts_ms", ["source_file"]) if rising else known
 
 
 def timestamp_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -59,6 +64,14 @@ def nested_windows(spark: SparkSession, path: str, schema: str, array: str = "wi
     return df.select(F.input_file_name().alias("source_file"), F.posexplode(array).alias("position", "w")).select("source_file", "position", "w.*")
 
 
+def manifests(spark: SparkSession, pattern: str) -> DataFrame:
+    """(source_file, name, stage, manifest) of the JSON manifests that a path pattern finds, one document a file, as a map of texts."""
+    text = spark.read.text(pattern, wholetext=True)
+    parsed = F.from_json("value", "map<string,string>")
+    rows = text.select(F.input_file_name().alias("source_file"), parsed.alias("manifest")).where("manifest is not null")
+    return rows.select("source_file", F.try_element_at("manifest", F.lit("name")).alias("name"), F.try_element_at("manifest", F.lit("stage")).alias("stage"), "manifest")
+
+
 def marker_edges(df: DataFrame, lines: Sequence[str], by: Sequence[str], order: str) -> DataFrame:
     """(by, order, code): rising edges of the byte that digital lines make, least line first."""
     code = sum((F.shiftleft((F.coalesce(F.col(c), F.lit(0)) > 0.5).cast("int"), i) for i, c in enumerate(lines)), F.lit(0))
@@ -68,7 +81,7 @@ def marker_edges(df: DataFrame, lines: Sequence[str], by: Sequence[str], order:
 
 
 def shard_index(spark: SparkSession, path: str) -> DataFrame:
-    """(path, shard, first_frame, n_frames) of .npz shards in order, read from array headers only."""
+    """(path, array, first_frame, n_frames) of .npz shards in order. Files are read whole, arrays aren't decoded; keep the table for later reads."""
     def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -86,18 +99,25 @@ def shard_index(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("first_frame", F.sum("n_frames").over(order) - F.col("n_frames"))
 
 
-def frames(spark: SparkSession, path: str, array: str, first: int, last: int) -> DataFrame:
-    """(frame, bin, channel, re, im) of the frames [first, last): only the shards that hold some are decoded."""
-    index = shard_index(spark, path).where((F.col("array") == array) & (F.col("first_frame") < last) & (F.col("first_frame") + F.col("n_frames") > first))
+def frames(spark: SparkSession, path: str, array: str, first: int, last: int, index: DataFrame | None = None) -> DataFrame:
+    """(frame, bin, channel, re, im) of the frames [first, last): only the shards that hold some are read and decoded.
+
+    `index` is a table of `shard_index`, made here if none is given. The paths of the shards in the range go to the driver.
+    """
+    index = shard_index(spark, path) if index is None else index
+    chosen = index.where((F.col("array") == array) & (F.col("first_frame") < last) & (F.col("first_frame") + F.col("n_frames") > first)).select("path", "first_frame").collect()
+    starts = {r["path"]: r["first_frame"] for r in chosen}
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content, start in zip(batch["content"], batch["first_frame"]):
+            for content, start in zip(batch["content"], batch["path"].map(starts)):
                 cube = np.load(io.BytesIO(content))[array]
                 lo, hi = max(0, first - start), min(len(cube), last - start)
                 f, b, c = np.indices(cube[lo:hi].shape)
                 part = cube[lo:hi].ravel().astype(np.complex128)
                 yield pd.DataFrame({"frame": f.ravel() + start + lo, "bin": b.ravel(), "channel": c.ravel(), "re": part.real, "im": part.imag})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content").join(F.broadcast(index.select("path", "first_frame")), "path")
-    return files.mapInPandas(decode, "frame long, bin int, channel int, re double, im double")
+    schema = "frame long, bin int, channel int, re double, im double"
+    if not starts:
+        return spark.createDataFrame([], schema)
+    return spark.read.format("binaryFile").load(list(starts)).select("path", "content").mapInPandas(decode, schema)

@@ -32,16 +32,20 @@ def lookback(probes: DataFrame, events: DataFrame, key: str, onset: str, time: s
     return p.join(e, F.expr(f"p.{key} = e.{key} AND e.{time} >= p.{onset} - INTERVAL {width} AND e.{time} < p.{onset}"))
 
 
-def anchors(stream: DataFrame, by: Sequence[str], order: str, value: str, confidence: str, keep: float = 0.8, least: float = 0.12) -> DataFrame:
+def anchors(stream: DataFrame, by: Sequence[str], order: str, value: str, confidence: str, keep: float = 0.8, least: float = 0.12,
+            idle_ms: int | None = None) -> DataFrame:
     """(by, order, anchor): the gated anchor of each key, its state kept between batches.
 
     Rows of a batch are taken in order; a later batch goes on from the state. Order across batches
-    is that of arrival.
+    is that of arrival. A key without rows for `idle_ms` loses its state, so ended sessions take no room.
     """
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], f"{order} {kinds[order]}", "anchor double"])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         anchor = state.get[0] if state.exists else None
         out = []
@@ -54,9 +58,11 @@ def anchors(stream: DataFrame, by: Sequence[str], order: str, value: str, confid
             out.append(anchor)
         if anchor is not None:
             state.update((anchor,))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         frame = rows[[*by, order]].copy()
         frame["anchor"] = pd.Series(out, index=frame.index, dtype="float64")
         yield frame
 
     return stream.select(*by, order, value, confidence).groupBy(*by).applyInPandasWithState(
-        step, schema, "anchor double", "append", GroupStateTimeout.NoTimeout)
+        step, schema, "anchor double", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import expressions as X
-from spanloom.operators import aggregates, contracts, joins, metrics, sets, windows
+from spanloom.operators import aggregates, contracts, joins, metrics, sets, signal, windows
 
 
 def test_window_is_right_open_and_the_legacy_one_closed(spark):
@@ -143,3 +143,78 @@ def test_empty_window_features(spark):
     d = spark.createDataFrame([(1, None, None, None, None)], "p int, at double, rt double, e int, o int")
     r = aggregates.behaviour_features(d, ["p"], "at", "rt", "e", "o").first()
     assert r.trial_count == 0 and r.error_count is None and r.rt_mean is None
+
+
+def test_displacement_has_no_jumps(spark):
+    import math
+
+    rows = [("a", i, (0.9 * i) % (2 * math.pi)) for i in range(40)]
+    got = signal.displacement(spark.createDataFrame(rows, "k string, i int, phi double"), ["k"], ["i"], "phi", 4 * math.pi).orderBy("i").collect()
+    assert all(abs(r.displacement - 0.9 * r.i) < 1e-9 for r in got)
+
+
+def test_band_pass_keeps_its_band_without_delay():
+    import numpy as np
+
+    t = np.arange(0, 60, 0.05)
+    inside, slow = np.sin(2 * np.pi * 1.2 * t), 5 * np.sin(2 * np.pi * 0.05 * t)
+    out = signal.bandpass(inside + slow + 3, 20.0, 0.8, 1.8)
+    middle = slice(200, -200)
+    assert np.corrcoef(out[middle], inside[middle])[0, 1] > 0.99 and 0.8 < out[middle].std() / inside[middle].std() < 1.1
+
+
+def test_alignment_and_beat_path_equal_every_choice():
+    import itertools
+
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(30):
+        a, b = (np.array([rng.randrange(10, 30) for _ in range(rng.randrange(1, 5))], float) for _ in range(2))
+
+        def cost(pairs):
+            if any(abs(a[i] - b[j]) > 6 for i, j in pairs):
+                return 1e9
+            return sum(abs(a[i] - b[j]) for i, j in pairs) + 4 * (len(a) + len(b) - 2 * len(pairs))
+
+        every = [list(zip(x, y)) for k in range(min(len(a), len(b)) + 1) for x in itertools.combinations(range(len(a)), k) for y in itertools.combinations(range(len(b)), k)]
+        assert abs(cost(signal.aligned_intervals(a, b, 6, 4)) - min(map(cost, every))) < 1e-9
+    s = np.zeros(400)
+    s[[60, 110, 161, 212]] = 1
+    assert [t for t in signal.beat_path(s, 50, 4) if s[t]] == [60, 110, 161, 212]
+
+
+def test_shape_and_temporal_contracts(spark):
+    with pytest.raises(Exception, match="n is not 3"):
+        contracts.expected(spark.createDataFrame([(2,)], "n long"), {"n": 3}).collect()
+
+
+def test_registered_functions(spark):
+    from spanloom.functions.registered import register
+
+    register(spark)
+    register(spark)
+    r = spark.sql("SELECT valid_rt(0, 1, 200D) AS a, decision_of(0.7D) AS b, clamped_sigmoid(1000D) AS c, block_windows(0L, 100L, 10L, 30L, 20L) AS d").first()
+    assert (r.a, r.b, r.c, list(r.d)) == (200.0, "positive", 1.0, [10, 30, 50])
+
+
+def test_newton_sums_equal_one_fit(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 2))
+    x[rng.random((120, 2)) < 0.1] = np.nan
+    y = (np.nan_to_num(x[:, 0]) + rng.normal(size=120) > 0).astype(int)
+    rows = [(i, int(i % 4), int(y[i]), *[None if np.isnan(v) else float(v) for v in x[i]]) for i in range(120)]
+    got = {r.i: r.score for r in metrics.out_of_fold_scores(spark.createDataFrame(rows, "i int, fold int, y int, a double, b double"), "fold", ["i"], ["a", "b"], "y").collect()}
+    for f in range(4):
+        train = np.arange(120) % 4 != f
+        z = np.where(np.isnan(x), np.nanmedian(x[train], axis=0), x)
+        z = (z - z[train].mean(axis=0)) / z[train].std(axis=0)
+        z = np.hstack([z, np.ones((120, 1))])
+        w = np.where(y == 1, 0.5 / y[train].mean(), 0.5 / (1 - y[train].mean()))
+        b, penalty = np.zeros(3), np.diag([1, 1, 1e-9])
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-z[train] @ b))
+            b = b + np.linalg.solve((z[train].T * (w[train] * p * (1 - p))) @ z[train] + penalty, z[train].T @ (w[train] * (y[train] - p)) - penalty @ b)
+        assert all(abs(got[i] - 1 / (1 + np.exp(-z[i] @ b))) < 1e-7 for i in range(120) if i % 4 == f)

@@ -18,6 +18,34 @@ def test_timestamps_fall_back_to_the_second_column(spark, tmp_path):
     assert [(r.frame_id, r.ts_ms) for r in got] == [(0, 11), (1, 20), (2, 31)]
 
 
+def test_timestamps_must_rise_where_asked(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("0,10,11\n1,20,21\n2,15,16\n")
+    assert readers.timestamps(spark, str(tmp_path / "t.csv")).count() == 3
+    with pytest.raises(Exception, match="monotonic"):
+        readers.timestamps(spark, str(tmp_path / "t.csv"), rising=True).collect()
+
+
+def test_manifests_nested_windows_and_markers(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "manifest.json").write_text('{"name": "x", "stage": "one",\n "rows": 3}')
+    (tmp_path / "b.json").write_text("no json")
+    got = readers.manifests(spark, str(tmp_path / "*" / "manifest.json")).collect()
+    assert [(r.name, r.stage, r.manifest["rows"]) for r in got] == [("x", "one", "3")]
+    (tmp_path / "w.json").write_text('{"windows": [{"t": 1, "v": 0.5},\n {"t": 2, "v": null}]}')
+    assert [(r.position, r.t, r.v) for r in readers.nested_windows(spark, str(tmp_path / "w.json"), "t: int, v: double").orderBy("t").collect()] == [(0, 1, 0.5), (1, 2, None)]
+    (tmp_path / "m.csv").write_text("event,detail,unix_ms\nstart,b1,10\nstop,b1,x\n")
+    assert [(r.event, r.unix_ms) for r in readers.markers(spark, str(tmp_path / "m.csv")).collect()] == [("start", 10)]
+
+
+def test_gzip_logs_and_chosen_columns(spark, tmp_path):
+    import gzip
+
+    with gzip.open(tmp_path / "g.csv.gz", "wt") as f:
+        f.write("unix_ms,x\n5,a\n6,b\n")
+    got = readers.csv_logs(spark, str(tmp_path / "g.csv.gz"), ["unix_ms"], ["unix_ms"])
+    assert sorted(r.unix_ms for r in got.collect()) == [5.0, 6.0] and "x" not in got.columns
+
+
 def test_timestamp_matrix_fails_on_a_falling_clock(spark, tmp_path):
     (tmp_path / "t.csv").write_text("0,10,60\n1,20,70\n")
     assert readers.timestamp_matrix(spark, str(tmp_path / "t.csv")).count() == 2
@@ -47,6 +75,9 @@ def test_frames_read_only_their_shards(spark, tmp_path):
     got = readers.frames(spark, str(tmp_path), "tx1", 2, 5).orderBy("frame", "bin").collect()
     whole = np.concatenate(cubes)[2:5, :, 0].ravel()
     assert np.allclose([r.re + 1j * r.im for r in got], whole)
+    table = readers.shard_index(spark, str(tmp_path)).persist()
+    assert readers.frames(spark, str(tmp_path), "tx1", 0, 2, table).select("frame").distinct().count() == 2
+    assert readers.frames(spark, str(tmp_path), "tx1", 50, 60, table).count() == 0
 
 
 def test_exclusive_and_restartable_sinks(spark, tmp_path):
@@ -61,6 +92,23 @@ def test_exclusive_and_restartable_sinks(spark, tmp_path):
     assert sinks.manifest(d, "m", {"d": d})["result"] == sinks.manifest(d.orderBy(F.desc("k")), "m", {})["result"]
 
 
+def test_unions_copies_models_and_marked_files(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, "x")], "k int, a string"), spark.createDataFrame([(2, 0.5)], "k int, b double")
+    sinks.write_union({"a": a, "b": b}, str(tmp_path / "u"))
+    got = spark.read.option("header", True).csv(str(tmp_path / "u"))
+    assert set(got.columns) == {"k", "a", "b", "source"} and got.count() == 2
+    sinks.write_new(a, str(tmp_path / "in" / "t"))
+    copied = sinks.copy_tables(spark, str(tmp_path / "in"), str(tmp_path / "out"), ["t"]).first()
+    assert copied.rows == 1 and copied.digest == sinks.content_digest(a)["digest"]
+    with pytest.raises(Exception):
+        sinks.copy_tables(spark, str(tmp_path / "in"), str(tmp_path / "out"), ["t"])
+    sinks.write_new(a, str(tmp_path / "m"), "csv", marked=True)
+    part = next((tmp_path / "m").glob("part-*.csv")).read_bytes()
+    assert part.startswith(b"\xef\xbb\xbfk,a")
+    sinks.write_models(spark.createDataFrame([("s1", 0.5, [1.0])], "subject string, intercept double, coef array<double>"), str(tmp_path / "models"), ["subject"])
+    assert spark.read.json(str(tmp_path / "models")).first().subject == "s1"
+
+
 def test_stages_run_in_order_and_skip_what_exists(spark, tmp_path):
     ran = []
 
@@ -121,6 +169,22 @@ def test_streamed_windows_equal_batch(spark, sf_dir, tmp_path):
     assert spark.table("windows_test").exceptAll(batch).count() == 0 and spark.table("windows_test").count() == batch.count()
 
 
+def test_streamed_sessions_repeats_and_lookback(spark, sf_dir, tmp_path):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    agg = [F.count("*").alias("n")]
+    drain(S.sessions(stream_of(spark, e, str(tmp_path / "s")), ["user_id"], "ts", "6 hours", agg, "100 days"), "sessions_test", "complete")
+    batch = e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(*agg)
+    assert spark.table("sessions_test").exceptAll(batch).count() == 0 and spark.table("sessions_test").count() == batch.count()
+    drain(S.once(stream_of(spark, e.union(e), str(tmp_path / "o")), ["event_id"], "ts", "100 days"), "once_test")
+    assert spark.table("once_test").count() == e.count()
+    probes = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("probe"), F.col("ts").alias("onset"))
+    others = e.where("event_type <> 'signup'").select("user_id", "event_id", "ts")
+    joined = S.lookback(stream_of(spark, probes, str(tmp_path / "p")), stream_of(spark, others, str(tmp_path / "q")), "user_id", "onset", "ts", "24 hours", "100 days")
+    drain(joined.select("probe", "event_id"), "lookback_test")
+    want = probes.join(others, "user_id").where("ts >= onset - interval 24 hours and ts < onset").select("probe", "event_id")
+    assert spark.table("lookback_test").exceptAll(want).count() == 0 and spark.table("lookback_test").count() == want.count() > 0
+
+
 def test_streamed_anchor_equals_batch(spark, tmp_path):
     d = spark.createDataFrame([(k, i, None if i == 0 else float(50 + i * 3 % 7), (i % 4) / 10) for k in "ab" for i in range(9)], "k string, o int, v double, c double")
     drain(S.anchors(stream_of(spark, d, str(tmp_path / "a")), ["k"], "o", "v", "c"), "anchors_test")
