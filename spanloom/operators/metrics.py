@@ -205,3 +205,34 @@ def fold_checks(rows: DataFrame, key: str, group: str, fold: str, label: str, fo
              "row_without_group": whole.select(F.col("b").alias("n")), "fold_of_one_class": classes, "fold_missing": whole.select(F.col("c").alias("n"))}
     parts = [df.select(F.lit(name).alias("check"), F.col("n").cast("long").alias("n")) for name, df in named.items()]
     return functools.reduce(DataFrame.union, parts)
+
+
+def fold_priors(rows: DataFrame, fold: str, label: str) -> DataFrame:
+    """(fold, n, prior): the label rate of all other folds, from the totals less the fold's own."""
+    own = rows.groupBy(fold).agg(F.count(label).alias("n"), F.sum(label).alias("__s"))
+    every = Window.partitionBy()    # over folds
+    return own.select(fold, "n", ((F.sum("__s").over(every) - F.col("__s")) / F.nullif(F.sum("n").over(every) - F.col("n"), F.lit(0))).alias("prior"))
+
+
+def out_of_fold_trees(df: DataFrame, fold: str, keys: Sequence[str], features: Sequence[str], label: str, kind: str = "forest", seed: int = 20260826) -> DataFrame:
+    """(keys, fold, label, score): every row scored by trees grown on all other folds, a random forest or boosted ("boosted").
+
+    One distributed fit for each fold; folds are a parameter of few values. A fold whose training rows have one class scores their rate.
+    """
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    ready = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="keep").transform(df.withColumn("__y", F.col(label).cast("double")))
+    make = RandomForestClassifier if kind == "forest" else GBTClassifier
+    parts = []
+    for r in df.groupBy(fold).agg(F.count("*")).collect():
+        mine = F.col(fold).eqNullSafe(F.lit(r[0]))
+        train, test = ready.where(~mine & F.col("__y").isNotNull()), ready.where(mine)
+        rate = train.agg(F.avg("__y")).first()[0]
+        if rate is None or not 0 < rate < 1:
+            parts.append(test.select(*keys, fold, label, F.lit(rate).cast("double").alias("score")))
+            continue
+        model = make(featuresCol="__x", labelCol="__y", probabilityCol="__p", seed=seed).fit(train)
+        parts.append(model.transform(test).select(*keys, fold, label, vector_to_array("__p")[1].alias("score")))
+    return functools.reduce(DataFrame.union, parts)

@@ -104,3 +104,56 @@ def bootstrap_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("user_id", F.col("value").alias("x"), (F.col("event_id") % 97).alias("y"))
     b = M.bootstrap_spearman(e, "user_id", "x", "y", 60)
     return b.select(*[r6(c).alias(c) for c in b.columns])
+
+
+@query(f"""WITH c AS (SELECT l_returnflag AS g, CAST(count(*) FILTER (l_quantity > 25 AND l_discount > 0.05) + 0.5 AS DOUBLE) AS a, CAST(count(*) FILTER (l_quantity > 25 AND l_discount <= 0.05) + 0.5 AS DOUBLE) AS b,
+ CAST(count(*) FILTER (l_quantity <= 25 AND l_discount > 0.05) + 0.5 AS DOUBLE) AS c, CAST(count(*) FILTER (l_quantity <= 25 AND l_discount <= 0.05) + 0.5 AS DOUBLE) AS d FROM lineitem GROUP BY 1),
+e AS (SELECT g, ln(a * d / (b * c)) AS beta, sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS se FROM c)
+SELECT g, {q6('exp(beta)')} AS odds, {q6('exp(beta - 1.96 * se)')} AS low, {q6('exp(beta + 1.96 * se)')} AS high, {q6('100 * (exp(beta) - 1)')} AS percent FROM e""")
+def effect_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.operators.audits import effect
+
+    large, dear = F.col("l_quantity") > 25, F.col("l_discount") > 0.05
+    cells = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("g")).agg(*[(F.count_if(rule) + F.lit(0.5).cast("double")).alias(n) for n, rule in (
+        ("a", large & dear), ("b", large & ~dear), ("c", ~large & dear), ("d", ~large & ~dear))])
+    a, b, c, d = (F.col(x) for x in "abcd")
+    odds, low, high = effect(F.log(a * d / (b * c)), F.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
+    return cells.select("g", r6(odds).alias("odds"), r6(low).alias("low"), r6(high).alias("high"), r6(100 * (odds - 1)).alias("percent"))
+
+
+@query(f"""WITH {SCORED}, g AS (SELECT source, count(*) AS n, count(DISTINCT y) AS classes, avg(p) AS p FROM sc GROUP BY 1),
+r AS (SELECT *, list_filter([CASE WHEN n < 10 THEN 'few_rows' END, CASE WHEN classes < 2 THEN 'one_class' END, CASE WHEN p > 0.9 THEN 'long_texts' END], lambda x: x IS NOT NULL) AS why FROM g)
+SELECT source, len(why) = 0 AS ready, array_to_string(why, '|') AS reasons FROM r""")
+def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.functions.expressions import reasons
+
+    g = scored(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("y").alias("classes"), F.avg("p").alias("p"))
+    why = reasons([(F.col("n") < 10, "few_rows"), (F.col("classes") < 2, "one_class"), (F.col("p") > 0.9, "long_texts")])
+    return g.select("source", (F.size(why) == 0).alias("ready"), F.array_join(why, "|").alias("reasons"))
+
+
+@query(f"""WITH {SCORED}, g AS (SELECT source, count(*) AS n, avg(y) AS rate FROM sc GROUP BY 1), o AS (SELECT source, row_number() OVER (ORDER BY n DESC, rate DESC, source) - 1 AS pos FROM g),
+f AS (SELECT source, CASE WHEN (pos // 5) % 2 = 0 THEN pos % 5 ELSE 4 - pos % 5 END AS fold FROM o), r AS (SELECT fold, y FROM sc JOIN f USING (source)), t AS (SELECT fold, count(*) AS n, sum(y) AS s FROM r GROUP BY 1)
+SELECT CAST(fold AS INT) AS fold, n, {q6('((SELECT sum(s) FROM t) - s) / CAST((SELECT sum(n) FROM t) - n AS DOUBLE)')} AS prior FROM t""")
+def folded_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored(spark, sf_dir)
+    rows = s.join(M.group_folds(s, "source", "y"), "source")
+    return M.fold_priors(rows, "fold", "y").select("fold", "n", r6("prior").alias("prior"))
+
+
+@query()
+def folded_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold scores of a random forest on the folds of `folded_logistic`, and their AUC by fold."""
+    s = scored(spark, sf_dir).withColumn("log_chars", F.log1p("n_chars")).withColumn("english", (F.col("lang") == "en").cast("double"))
+    rows = s.join(M.group_folds(s, "source", "y"), "source").select("doc_id", "fold", "y", "log_chars", "english").na.fill(0.0, ["english"])
+    oof = M.out_of_fold_trees(rows, "fold", ["doc_id"], ["log_chars", "english"], "y")
+    return M.roc_auc(oof, ["fold"], "y", "score").select("fold", "n", r6("auc").alias("auc"))
+
+
+@query()
+def left_out_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a logistic regression that leaves one language out at a time; a language of one class keeps its scores and has no AUC."""
+    s = scored(spark, sf_dir).where("lang is not null").withColumn("log_chars", F.log1p("n_chars"))
+    oof = M.out_of_fold_scores(s, "lang", ["doc_id"], ["log_chars"], "y")
+    brier = oof.groupBy("lang").agg(r6(F.avg((F.col("score") - F.col("y")) * (F.col("score") - F.col("y")))).alias("brier"))
+    return M.roc_auc(oof, ["lang"], "y", "score").join(brier, "lang").select("lang", "n", r6("auc").alias("auc"), "brier")

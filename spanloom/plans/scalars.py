@@ -288,3 +288,39 @@ def fold_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = d.withColumn("s", F.col("source")).join(sources.withColumnRenamed("source", "t"), F.col("s").eqNullSafe(F.col("t")), "left")
     return checks(rows.select("doc_id", "source", "y", "fold"), "doc_id", "source", "fold", "y", 5)
 
+
+
+@query("""WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS first_name, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey + 1 END AS second_name, o_orderkey % 100 AS i FROM orders)
+SELECT o_orderkey, coalesce(first_name, second_name) AS subject, printf('probe-%02d', CAST(i AS INT)) AS probe_id, coalesce(first_name, second_name) IS NULL AS refused FROM b""")
+def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    b = read(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 3 == 0, c).alias("first_name"), F.when(k % 2 == 0, c + 1).alias("second_name"), (k % 100).cast("int").alias("i"))
+    subject = joins.first_known("first_name", "second_name")
+    return b.select("o_orderkey", subject.alias("subject"), F.format_string("probe-%02d", "i").alias("probe_id"), subject.isNull().alias("refused"))
+
+
+@query(f"""WITH {EVENTS_SQL}, g AS (SELECT user_id, (ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms)) / {HOUR}.0 AS ibi, ms FROM ev), f AS (SELECT *, lag(ibi) OVER (PARTITION BY user_id ORDER BY ms) AS p FROM g),
+v AS (SELECT user_id, ibi, ibi BETWEEN 0.3 AND 40 AND coalesce(abs(ibi - p) / nullif(p, 0) <= 2, true) AS ok FROM f WHERE ibi IS NOT NULL)
+SELECT user_id, count(*) AS n, count(*) FILTER (ok) AS n_valid, count(*) FILTER (ok) >= 0.8 * count(*) AS eligible FROM v GROUP BY 1""")
+def reference_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ms")
+    g = events(spark, sf_dir).select("user_id", "ms", ((F.col("ms") - F.lag("ms").over(w)) / HOUR).alias("ibi"))
+    f = g.withColumn("p", F.lag("ibi").over(w)).where("ibi is not null")
+    steady = F.coalesce(F.abs(F.col("ibi") - F.col("p")) / F.nullif("p", F.lit(0.0)) <= 2, F.lit(True))
+    ok = F.col("ibi").between(0.3, 40) & steady
+    return f.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_valid"), (F.count_if(ok) >= 0.8 * F.count("*")).alias("eligible"))
+
+
+@query(f"""WITH {EVENTS_SQL}, s AS (SELECT user_id, max(ms) AS stop FROM ev WHERE event_type = 'purchase' GROUP BY 1)
+SELECT ev.user_id, count(*) AS n, max(ms) AS last_ms FROM ev JOIN s USING (user_id) WHERE ms <= stop GROUP BY 1""")
+def truncated_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    stops = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("ms").alias("stop"))
+    return e.join(stops, "user_id").where("ms <= stop").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ms").alias("last_ms"))
+
+
+@query("""SELECT unnest(['c_acctbal', 'hr_mean', 'rmssd', 'label', 'trial_count', 'sdnn_z', 'brand']) AS name, unnest([false, true, true, true, false, true, false]) AS forbidden""")
+def predictor_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["c_acctbal", "hr_mean", "rmssd", "label", "trial_count", "sdnn_z", "brand"]
+    bad = set(X.forbidden_predictors(names))
+    return spark.createDataFrame([(n, n in bad) for n in names], "name string, forbidden boolean")
