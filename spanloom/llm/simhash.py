@@ -106,7 +106,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest doc_id reachable. Null and wordless texts have fingerprint 0 and are linked like any
     other. Rows that share a doc_id stay separate rows of one component if their texts agree. A
     row without doc_id keeps a null id; its component is the smallest known id reachable, or null.
-    An empty table gives no rows; columns other than doc_id and text are not read.
+    A bit that is set in just half the hashes is 0. A very long text is one row of its task, its bits summed by blocks. An empty table gives no rows; columns other than doc_id and text are not read.
     """
     marked = cut(docs.select("doc_id", fingerprint_udf(F.col("text")).alias("fp")))
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
@@ -189,7 +189,8 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, size, group) for every row of `docs` (doc_id, text): rows of one group are linked by five-word shingles of similarity 0.8.
 
     Texts of equal words are one node. Blocks are bands of least shingle hashes; inside a block fingerprints are
-    compared as bit planes, and pairs within the radius are checked on their whole shingle sets.
+    compared as bit planes, and pairs within the radius are checked on their whole shingle sets. Null and wordless texts are
+    one group; a text of fewer than five words is one shingle; other columns aren't read; an empty table gives no rows.
     """
     marked = stored(docs.select("doc_id", sketch_udf("text").alias("s")).select("doc_id", "s.*"))
     nodes = marked.groupBy("id").agg(*[F.min(c).alias(c) for c in SKETCH.names[1:]])
