@@ -12,6 +12,7 @@ of its links, not the links. Components are found by distributed star contractio
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -127,7 +128,14 @@ STAGE_RADIUS = 20
 STAGE_BLOCKS = 9
 STAGE_ROWS = 4
 STAGE_KEYS = [f"k{b}" for b in range(STAGE_BLOCKS)]
-SKETCH = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "size", "bits", *STAGE_KEYS)])
+SKETCH = T.StructType([T.StructField(c, T.LongType()) for c in ("size", "bits", *STAGE_KEYS)])
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def words_id(text: Column) -> Column:
+    """Hash of the words of a text, the same for texts of equal words."""
+    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "[\\x09-\\x0D\\x20]+", " ")
+    return F.xxhash64(F.trim(plain))
 
 
 def stage_shingles(text: str | None) -> np.ndarray:
@@ -136,9 +144,8 @@ def stage_shingles(text: str | None) -> np.ndarray:
 
 
 def sketch(text: str | None) -> list[int]:
-    """Columns SKETCH of a text: hash of its words, number of shingles, fingerprint, and block keys."""
+    """Columns SKETCH of a text: number of shingles, fingerprint, and block keys."""
     h = stage_shingles(text)
-    words = xxhash.xxh3_64_intdigest(b" ".join((text or "").encode().lower().split()))
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     print_ = int(np.packbits(2 * bits > len(h), bitorder="little").view(np.int64)[0])
     keys = [0] * STAGE_BLOCKS
@@ -146,7 +153,7 @@ def sketch(text: str | None) -> list[int]:
         turns = np.arange(1, STAGE_BLOCKS * STAGE_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         least = np.array([mix(h ^ t).min() for t in turns])
         keys = [int(k) for k in np.bitwise_xor.reduce(mix(least.reshape(STAGE_BLOCKS, STAGE_ROWS) + turns.reshape(STAGE_BLOCKS, -1)), axis=1).view(np.int64)]
-    return [words - (1 << 63), len(h), print_, *keys]
+    return [len(h), print_, *keys]
 
 
 @F.pandas_udf(SKETCH)
@@ -163,7 +170,9 @@ def linked_texts(x: np.ndarray, y: np.ndarray) -> bool:
 
 @F.pandas_udf(T.BooleanType())
 def linked_udf(first: pd.Series, second: pd.Series) -> pd.Series:
-    return pd.Series([linked_texts(stage_shingles(a), stage_shingles(b)) for a, b in zip(first, second)], dtype=bool)
+    # a text of a large block comes with several partners
+    known = functools.lru_cache(256)(stage_shingles)
+    return pd.Series([linked_texts(known(a), known(b)) for a, b in zip(first, second)], dtype=bool)
 
 
 def stage_alike(a: Column, b: Column) -> Column:
@@ -188,13 +197,13 @@ def _open_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def similar_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, size, group) for every row of `docs` (doc_id, text): rows of one group are linked by five-word shingles of similarity 0.8.
 
-    Texts of equal words are one node. Blocks are bands of least shingle hashes; inside a block fingerprints are
+    Texts of equal words, told by a 64-bit hash, are one node. Blocks are bands of least shingle hashes; inside a block fingerprints are
     compared as bit planes, and pairs within the radius are checked on their whole shingle sets. Null and wordless texts are
     one group; a text of fewer than five words is one shingle; other columns aren't read; an empty table gives no rows.
     """
-    marked = stored(docs.select("doc_id", sketch_udf("text").alias("s")).select("doc_id", "s.*"))
-    nodes = marked.groupBy("id").agg(*[F.min(c).alias(c) for c in SKETCH.names[1:]])
-    texts = docs.select(sketch_udf("text")["id"].alias("id"), "text")
+    marked = stored(docs.select("doc_id", words_id(F.col("text")).alias("id"), sketch_udf("text").alias("s")).select("doc_id", "id", "s.*"))
+    nodes = marked.groupBy("id").agg(*[F.min(c).alias(c) for c in SKETCH.names])
+    texts = docs.select(words_id(F.col("text")).alias("id"), "text")
 
     def compare(groups: DataFrame) -> DataFrame:
         return groups.select((F.col("i") == F.col("j")).alias("one"), "first", "second").mapInPandas(_open_pairs, "a long, b long").distinct()
