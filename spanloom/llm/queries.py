@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontaminate, html_text, langid, licenses, lines, matroska, secrets, simhash, suffix_array
+from spanloom.llm import (alignment, bpe, decontaminate, html_text, langid, licenses, lines, matroska, quality, secrets, simhash, suffix_array,
+                          vector_codes)
 from spanloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,8 +55,21 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_license_scan, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_line_dedup, op6_language_id, op7_html_extraction,
-    op8_secret_scan, op9_media_columns, op10_bpe_encode_decode)}
+    op8_secret_scan, op9_media_columns, op10_bpe_encode_decode, op11_cross_tokenizer_alignment, op12_quality_classifier, op13_vector_code_compression)}
 
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.scan_sql(), "op8_secret_scan": secrets.digests_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.scan_sql(), "op8_secret_scan": secrets.digests_sql(),
+                              "op13_vector_code_compression": vector_codes.compress_sql()}

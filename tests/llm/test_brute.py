@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanloom.llm import bitslice, bpe, buckets, decontaminate, html_text, langid, licenses, lines, matroska, queries, secrets, simhash, suffix_array
+from spanloom.llm import alignment, bitslice, bpe, buckets, decontaminate, html_text, langid, licenses, lines, matroska, quality, queries, secrets, simhash, suffix_array, vector_codes
 from spanloom.llm.common import connected_components, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -840,3 +840,184 @@ def test_periodic_texts_over_many_pieces_equal_brute_force(spark, monkeypatch):
         rows.append((i, f"{side} {' '.join(['again', 'and'] * rng.randrange(10, 90))} {side} {'end ' * rng.randrange(20, 80)}"))
     monkeypatch.setattr(suffix_array, "GROUP", 30)
     assert passages_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == plain_passages(dict(rows))
+
+
+# -- cross-tokenizer alignment ---------------------------------------------------------------------
+
+
+class PlainTokenizers:
+    def __init__(self):
+        import sentencepiece
+        from tokenizers import Tokenizer
+
+        self.a = Tokenizer.from_file(bpe.vocabulary_path("byte_bpe_50k.json"))
+        self.a.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_file=bpe.vocabulary_path("piece_bpe_32k.model"))
+        self.raw = {c: bytes([i]) for i, c in enumerate(bpe.byte_symbols())}
+
+    def tokens(self, text):
+        """(id, bytes) of each token of both."""
+        a = [(i, b"".join(self.raw[c] for c in self.a.id_to_token(i))) for i in self.a.encode(" " + text, add_special_tokens=False).ids]
+        b = []
+        for i in self.b.encode(text):
+            piece = self.b.id_to_piece(i)
+            b.append((i, bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("\u2581", " ").encode()))
+        return a, b
+
+    def groups(self, text):
+        """[(a ids, b ids)] cut where byte offsets at which tokens end are equal, or None."""
+        if not text:
+            return None
+        a, b = self.tokens(text)
+        whole = (" " + text).encode()
+        if b"".join(t for _, t in a) != whole or b"".join(t for _, t in b) != whole:
+            return None
+        ends = []
+        for side in (a, b):
+            at, found = 0, []
+            for i, t in side:
+                at += len(t)
+                found.append((at, i))
+            ends.append(found)
+        common = sorted({e for e, _ in ends[0]} & {e for e, _ in ends[1]})
+        out, before = [], 0
+        for e in common:
+            out.append(tuple([i for at, i in side if before < at <= e] for side in ends))
+            before = e
+        return out
+
+
+ODD_TEXTS = ["", " lead", "a  b\n\n c \t x ", "trail ", "x\u2581 y", "\u2581 x", "a\u2581b c", "é ü naïve", "<|endoftext|> <s> </s> <0x0A> <unk>", "\x00 \x1c a", "a\xa0 b\u2003 c",
+             "a  b  c", "hello 'm s 's don't 12 345", "a\u180e b", "\u200b x", "日本 語🎉 x", "q" * 3000, " ", "\n", "x \n y", "w\x85 z", "e\u0301 f", None]
+
+
+@pytest.fixture(scope="module")
+def plain_tokenizers():
+    return PlainTokenizers()
+
+
+def plain_alignment(texts, plain):
+    groups = {i: plain.groups(t) for i, t in texts.items()}
+    links = {i: [(a[-1], b[-1]) for a, b in g] if g else [] for i, g in groups.items()}
+    counts = Counter(p for found in links.values() for p in found)
+    highest = defaultdict(int)
+    for (_, b), n in counts.items():
+        highest[b] = max(highest[b], n)
+    out = {}
+    for i, g in groups.items():
+        text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in g or [])
+        out[i] = (sum(len(a) for a, _ in g or []), sum(len(b) for _, b in g or []), len(g or []), len(links[i]), sum(counts[p] == highest[p[1]] for p in links[i]),
+                  sum(counts[p] for p in links[i]), hashlib.sha256(text.encode()).hexdigest() if g else "")
+    return out
+
+
+@pytest.mark.parametrize("slice_pairs", [alignment.SLICE_PAIRS, 700])
+def test_alignment_equals_common_offsets(spark, docs, texts, plain_tokenizers, slice_pairs):
+    rows = {**{i: t for i, t in texts.items() if i % 3 == 0}, **{-1 - k: t for k, t in enumerate(ODD_TEXTS)}}
+    d = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: tuple(r)[1:] for r in alignment.alignment(d, slice_pairs=slice_pairs).collect()}
+    assert got == plain_alignment(rows, plain_tokenizers)
+
+
+def test_groups_of_ids(spark, plain_tokenizers):
+    d = spark.createDataFrame([(1, "naïve words  here"), (2, ""), (3, "a\u2581b")], "doc_id long, text string")
+    got = {r.doc_id: r.groups and [(g.a, g.b) for g in r.groups] for r in alignment.align_groups(d).collect()}
+    assert got == {1: plain_tokenizers.groups("naïve words  here"), 2: None, 3: None}
+
+
+@given(st.lists(st.text("ab <s'\n\u2581é9\u00a0", max_size=30), max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_words_align_as_whole_texts(found):
+    pair = alignment.load(*alignment._paths(None, None))
+    assert [g for t, g in zip(found, pair.align_texts(found)) if t] == [pair.align_text(t) for t in found if t]
+
+
+def test_transducer_states_are_residuals():
+    t = alignment.Transducer([b"ab", b"c", b"abc", b"a"], [b"a", b"bc", b"abc", b"x", b"b"])
+    assert t.cuts([0, 1, 2], [0, 1, 2]) == ([2, 3], [2, 3])
+    assert t.cuts([3], [0]) == ([1], [1]) and t.cuts([], []) == ([], [])
+    assert t.cuts([0], [0]) is None and t.cuts([0], [3]) is None and t.cuts([3], [0, 4]) is None and t.cuts([0, 3], [0, 4]) is None
+    assert {rest for _, rest in t.states} == {b"", b"ab", b"b", b"c", b"abc", b"a"}
+
+
+# -- quality ---------------------------------------------------------------------------------------
+
+
+def test_quality_of_held_out_rows(spark):
+    d = "/root/testdata/sf0.01"
+    labels = table(spark, d, "labels")
+    got = quality.scored(table(spark, d, "documents"), labels).join(labels, "doc_id").where("quality is not null").toPandas()
+    assert all(got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]) and all(got.predicted == (got.score >= 0.3))
+    held = got[got.held_out]
+    assert len(held) > 50 and (held.predicted == held.quality).mean() >= 0.97
+    assert held.score.between(0, 1).all() and (held[held.quality == 1].predicted == 1).mean() >= 0.99
+
+
+def test_quality_does_not_read_labels_of_held_out_rows(spark, docs, texts):
+    labels = table(spark, "/root/testdata/sf0.001", "labels")
+    other = labels.withColumn("quality", F.when(langid.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    shuffled = docs.select("doc_id", "text", F.lit("xx").alias("lang"), F.lit("y").alias("source"))
+    a, b = (sorted((r.doc_id, r.score) for r in quality.scored(x, y).collect()) for x, y in ((docs, labels), (shuffled, other)))
+    assert a == b
+
+
+def test_tables_add_up_and_find_interactions():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.random((3000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    m = quality.fit(x, y)
+    assert m.pairs[0] == (0, 1) and ((m.score(x) > 0.5) == (y > 0.5)).mean() > 0.9
+    row = x[:1]
+    total = m.intercept + sum(t[(row[0, k] >= e).sum()] for k, (e, t) in enumerate(zip(m.edges, m.tables)))
+    total += sum(t[(row[0, i] >= m.pair_edges[i]).sum(), (row[0, j] >= m.pair_edges[j]).sum()] for (i, j), t in zip(m.pairs, m.pair_tables))
+    assert abs(m.score(row)[0] - 1 / (1 + np.exp(-total))) < 1e-12
+    assert all(abs(t[np.searchsorted(e, c, side="right")].mean()) < 1e-9 for c, e, t in zip(x.T, m.edges, m.tables))
+    assert (quality.fit(x, (x[:, 2] > 0.3).astype(float)).score(x).round() == (x[:, 2] > 0.3)).mean() > 0.98
+
+
+# -- vector codes ----------------------------------------------------------------------------------
+
+
+def plain_codes(rows):
+    import math
+
+    kept = sorted((i, v, g) for i, v, g in rows if v is not None and all(x is not None and math.isfinite(x) for x in v))
+    width = len(kept[0][1])
+    cuts = [width * k // 4 for k in range(5)]
+    vectors = [[math.floor(1024 * x) for x in v] for _, v, _ in kept]
+    books = [[v[a:b] for v in vectors[:256]] for a, b in zip(cuts, cuts[1:])]
+
+    def assign(v, p):
+        piece = v[cuts[p]:cuts[p + 1]]
+        return min((sum((x - c) ** 2 for x, c in zip(piece, e)), k) for k, e in enumerate(books[p]))
+
+    for _ in range(4):
+        for p in range(4):
+            groups = defaultdict(list)
+            for v in vectors:
+                groups[assign(v, p)[1]].append(v[cuts[p]:cuts[p + 1]])
+            books[p] = [[sum(c) // len(groups[k]) for c in zip(*groups[k])] if k in groups else e for k, e in enumerate(books[p])]
+    out, by_label = [], Counter()
+    for (i, _, g), v in zip(kept, vectors):
+        found = [assign(v, p) for p in range(4)]
+        out.append((i, g, "".join(f"{k:02x}" for _, k in found), sum(d for d, _ in found)))
+        by_label[g] += out[-1][3]
+    digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    return sorted((i, code, error, by_label[g], digest) for i, g, code, error in out)
+
+
+@given(st.lists(st.tuples(st.lists(st.one_of(st.sampled_from([0.25, -0.25, 1.0, float("nan")]), st.floats(-3, 3, width=32)), min_size=8, max_size=8), st.sampled_from([None, 0, 1])), min_size=1, max_size=40))
+@settings(max_examples=8, deadline=None)
+def test_codes_equal_plain_rounds(spark, found):
+    rows = [(k, v, g) for k, (v, g) in enumerate(found)] + [(10_000 + k, [k % 3 * 0.5] * 8, 2) for k in range(5)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    assert sorted(tuple(r) for r in vector_codes.compress(d).collect()) == plain_codes(rows)
+
+
+def test_codes_of_more_vectors_than_entries(spark):
+    rows = [(k, [((k * 37 + j * 11) % 101) / 40 - 1.2 for j in range(10)], k % 4) for k in range(400)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    plain = [(r.vec_id, r.embedding, r.label) for r in d.collect()]
+    assert sorted(tuple(r) for r in vector_codes.compress(d).collect()) == plain_codes(plain)

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanloom.llm import (bpe, decontaminate, html_text, langid, licenses, lines, matroska, queries, secrets, simhash,
-                          suffix_array)
+from spanloom.llm import (alignment, bpe, decontaminate, html_text, langid, licenses, lines, matroska, quality, queries, secrets, simhash,
+                          suffix_array, vector_codes)
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(12_000))
@@ -36,6 +36,7 @@ def clash(df):
 ROW_WISE = {
     "simhash": simhash.near_duplicates, "langid": langid.identify, "secrets": lambda d: secrets.digests(secrets.find(d)), "licenses": licenses.scan,
     "matroska": matroska.media_digests, "bpe": bpe.encode_decode, "lines": lines.line_report,
+    "alignment": alignment.alignment, "quality": lambda d: quality.scored(d, d.select("doc_id", (F.col("doc_id") % 2).alias("quality"))),
 }
 STAGES = {name: f for name, f in corpus_pipeline.STAGES}
 
@@ -128,9 +129,38 @@ def test_line_dedup_keeps_rows_and_null_texts(spark):
 
 
 def test_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
+def test_alignment_of_what_has_no_tokens(spark):
+    rows = [(1, None), (2, ""), (3, "a\u2581b"), (4, " "), (None, "a b"), (4, " ")]
+    got = {r.doc_id: r for r in alignment.alignment(clash(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all((got[i].n_a, got[i].n_b, got[i].n_groups, got[i].count_sum, got[i].groups_sha256) == (0, 0, 0, 0, "") for i in (1, 2, 3))
+    assert got[4].n_groups == 1 and got[4].count_sum == 2 and got[None].n_groups > 0
+
+
+def test_quality_without_labels(docs):
+    none = docs.select("doc_id", F.lit(None).cast("int").alias("quality"))
+    assert {(r.score, r.predicted) for r in quality.scored(docs, none).collect()} == {(0.5, 1)}
+    assert quality.keep_good(clash(docs), none).count() == len(ROWS)
+    ones = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert {r.predicted for r in quality.scored(docs, ones).collect()} == {1}
+
+
+def test_vectors_that_cannot_be_coded(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(5, [1.0, 2.0, 3.0, 4.0], 1), (5, [1.0, 2.0, 3.0, 4.0], 1), (3, [-1.0, 0.5, -0.0001, 9.0], None), (None, [1.0, 2.0, 3.0, 5.0], None), (1, None, 1), (2, [nan, 1.0, 1.0, 1.0], 1),
+            (7, [inf, 1.0, 1.0, 1.0], 1), (8, [1.0, None, 1.0, 1.0], 1), (9, [1.0, 2.0], 1), (10, [], 1)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = vector_codes.compress(d.withColumns({n: F.lit(1) for n in ("code", "error", "vector", "of", "label_error")})).collect()
+    assert sorted((r.vec_id or 0, r.code, r.error, r.label_error) for r in got) == [
+        (0, "01010101", 262144, 262144), (3, "00000000", 0, 262144), (5, "01010101", 262144, 524288), (5, "01010101", 262144, 524288)]
+    assert vector_codes.compress(d.limit(0)).count() == vector_codes.compress(d.where("vec_id in (1, 2)")).count() == 0
+    assert [(r.code, r.error) for r in vector_codes.compress(d.where("vec_id = 10")).collect()] == [("00000000", 0)]
+    with pytest.raises(Exception, match="beyond"):
+        vector_codes.compress(spark.createDataFrame([(1, [1e30] * 4, 1)], "vec_id long, embedding array<float>, label int")).count()
+
+
 def test_score_is_a_number(docs):
     assert not any(math.isnan(r.score) for r in langid.identify(docs).collect())
