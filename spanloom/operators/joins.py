@@ -126,19 +126,15 @@ def fold_roles(rows: DataFrame, group: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(folds)).withColumn("role", roles)
 
 
-def greedy_pairs(reference: np.ndarray, estimate: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
-    """Pairs of two sorted sequences: walk both, pair what is within the tolerance, else step the earlier side."""
-    i = j = 0
-    out = []
-    while i < len(reference) and j < len(estimate):
-        gap = estimate[j] - reference[i]
-        if abs(gap) <= tolerance:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif gap < 0:
-            j += 1
-        else:
-            i += 1
+def pairs_in_order(reference: np.ndarray, estimate: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
+    """Pairs of two sorted sequences: each reference in turn takes the first estimate within the tolerance that none before it took."""
+    first, end = np.searchsorted(estimate, reference - tolerance, "left"), np.searchsorted(estimate, reference + tolerance, "right")
+    free, out = 0, []
+    for i in np.flatnonzero(first < end).tolist():
+        at = max(free, int(first[i]))
+        if at < end[i]:
+            out.append((i, at))
+            free = at + 1
     return out
 
 
@@ -171,23 +167,34 @@ def matched_pieces(reference: DataFrame, estimate: DataFrame, by: Sequence[str],
 
 def monotone_match(reference: DataFrame, estimate: DataFrame, by: Sequence[str], time: str, tolerance: float) -> DataFrame:
     """(by, reference_time, estimate_time): matches of two time series of each key, in order and one to one."""
-    return matched_pieces(reference, estimate, by, time, tolerance, greedy_pairs)
+    return matched_pieces(reference, estimate, by, time, tolerance, pairs_in_order)
+
+
+def nearest_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Index of the nearest of the sorted `y` for each of `x`, the earlier of two as near."""
+    right = np.clip(np.searchsorted(y, x), 1, max(1, len(y) - 1))
+    return np.where(x - y[right - 1] <= y[np.minimum(right, len(y) - 1)] - x, right - 1, np.minimum(right, len(y) - 1))
 
 
 def nearest_pairs(reference: np.ndarray, estimate: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
-    """One-to-one pairs of the distinct values of two sorted sequences: the nearest of all first, ties by the earlier times."""
+    """One-to-one pairs of the distinct values of two sorted sequences, the nearest of all first, ties by the earlier times.
+
+    In rounds: values that are each other's nearest are paired and leave, as nothing nearer can come for either; those without a partner
+    within the tolerance leave too. A round pairs at least the two that are nearest of all.
+    """
     x, at = np.unique(reference, return_index=True)
     y, to = np.unique(estimate, return_index=True)
-    low, high = np.searchsorted(y, x - tolerance, side="left"), np.searchsorted(y, x + tolerance, side="right")
-    near = sorted((abs(float(y[j]) - float(x[i])), i, j) for i in range(len(x)) for j in range(low[i], high[i]))
-    used: tuple[set, set] = (set(), set())
     out = []
-    for _, i, j in near:
-        if i not in used[0] and j not in used[1]:
-            used[0].add(i)
-            used[1].add(j)
-            out.append((int(at[i]), int(to[j])))
-    return out
+    while len(x) and len(y):
+        there, back = nearest_of(x, y), nearest_of(y, x)
+        i = np.flatnonzero(back[there] == np.arange(len(x)))
+        i = i[np.abs(y[there[i]] - x[i]) <= tolerance]
+        if not len(i):
+            break
+        j = there[i]
+        out += zip(at[i].tolist(), to[j].tolist())
+        x, at, y, to = np.delete(x, i), np.delete(at, i), np.delete(y, j), np.delete(to, j)
+    return sorted(out)
 
 
 def clock_fit(pairs: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import expressions as X
-from spanloom.operators import audits, joins
+from spanloom.operators import audits, joins, rhythm
 from spanloom.operators import signal as S
 from spanloom.plans.registry import EVENTS_SQL, HOUR, events, q6, query, r6, read
 
@@ -254,16 +254,66 @@ def second_half_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("event_id", r6("score").alias("score"), "status")
 
 
-@query()
+ALIGN_WAYS = """CASE WHEN d - i < 0 OR d - i > len(b) THEN NULL WHEN i = 0 THEN {'c': d * 4.0::DOUBLE, 'n': 0, 's': 0.0::DOUBLE} WHEN d = i THEN {'c': i * 4.0::DOUBLE, 'n': 0, 's': 0.0::DOUBLE}
+ WHEN p2[i].c + CASE WHEN abs(a[i] - b[d - i]) <= 6 THEN abs(a[i] - b[d - i]) ELSE 9 END <= least(p1[i].c, p1[i + 1].c) + 4
+ THEN {'c': p2[i].c + CASE WHEN abs(a[i] - b[d - i]) <= 6 THEN abs(a[i] - b[d - i]) ELSE 9 END, 'n': p2[i].n + 1, 's': p2[i].s + abs(a[i] - b[d - i])}
+ WHEN p1[i].c <= p1[i + 1].c THEN {'c': p1[i].c + 4, 'n': p1[i].n, 's': p1[i].s} ELSE {'c': p1[i + 1].c + 4, 'n': p1[i + 1].n, 's': p1[i + 1].s} END"""
+
+
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, i AS (SELECT user_id, event_type, event_id, (ms - lag(ms) OVER (PARTITION BY user_id, event_type ORDER BY ms, event_id)) / {HOUR}.0::DOUBLE AS ibi FROM ev WHERE event_type IN ('click', 'view')),
+l AS (SELECT user_id, coalesce(list(ibi ORDER BY event_id) FILTER (event_type = 'click'), []::DOUBLE[]) AS a, coalesce(list(ibi ORDER BY event_id) FILTER (event_type = 'view'), []::DOUBLE[]) AS b FROM i WHERE ibi IS NOT NULL GROUP BY 1),
+w AS (SELECT user_id, a, b, 1 AS d, CAST(NULL AS STRUCT(c DOUBLE, n INT, s DOUBLE)[]) AS p2, list_transform(range(0, len(a) + 1), lambda i: CASE WHEN i = 0 THEN {{'c': 0.0::DOUBLE, 'n': 0, 's': 0.0::DOUBLE}} END) AS p1 FROM l
+ UNION ALL SELECT user_id, a, b, d + 1, p1, list_transform(range(0, len(a) + 1), lambda i: {ALIGN_WAYS}) FROM w WHERE d <= len(a) + len(b))
+SELECT user_id, CAST(p1[len(a) + 1].n AS BIGINT) AS n_pairs, len(a) AS n_reference, len(b) AS n_estimate, {q6('p1[len(a) + 1].s / nullif(p1[len(a) + 1].n, 0)')} AS mae FROM w WHERE d = len(a) + len(b) + 1""")
 def interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of clicks and of views of a user, aligned in order with a penalty for those left out."""
     order = Window.partitionBy("user_id", "event_type").orderBy("ms", "event_id")
     i = events(spark, sf_dir).where("event_type in ('click', 'view')").select("user_id", "event_type", "event_id", ((F.col("ms") - F.lag("ms").over(order)) / HOUR).alias("ibi")).where("ibi is not null")
     a, b = (i.where(F.col("event_type") == k) for k in ("click", "view"))
-    out = S.interval_alignment(a, b, ["user_id"], "event_id", "ibi", 6.0, 4.0)
+    out = rhythm.interval_alignment(a, b, ["user_id"], "event_id", "ibi", 6.0, 4.0)
     return out.select("user_id", "n_pairs", "n_reference", "n_estimate", r6("mae").alias("mae"))
 
 
+SAMPLES = f"""{EVENTS_SQL}, x AS (SELECT user_id, CAST(row_number() {ORDER} AS INT) AS i, value AS v FROM ev WHERE value IS NOT NULL),
+pk AS (SELECT user_id, i FROM (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY i) AS b, lead(v) OVER (PARTITION BY user_id ORDER BY i) AS a FROM x) WHERE v > b AND v >= a),
+sp AS (SELECT user_id, min(i) AS lo, max(i) AS hi FROM x GROUP BY 1), ip AS (SELECT pk.user_id, pk.i AS p, lo, hi, pk.i - lag(pk.i) OVER (PARTITION BY pk.user_id ORDER BY pk.i) AS d FROM pk JOIN sp USING (user_id) WHERE pk.i BETWEEN lo + 1 AND hi),
+rh AS (SELECT user_id, CAST(round_even(median(d), 0) AS INT) AS mean, stddev_pop(d) AS deviation, greatest(4, CAST(round_even(median(d), 0) AS INT) // 2) AS half FROM ip GROUP BY 1 HAVING count(*) >= 5),
+cy AS (SELECT ip.user_id, p, half, i - p AS o, CASE WHEN stddev_pop(v) OVER c > 0 THEN (v - avg(v) OVER c) / stddev_pop(v) OVER c ELSE 0 END AS z FROM ip JOIN rh USING (user_id) JOIN x ON x.user_id = ip.user_id AND x.i BETWEEN p - half AND p + half
+ WHERE p - half >= lo AND p + half <= hi WINDOW c AS (PARTITION BY ip.user_id, p)),
+tm AS (SELECT user_id, half, o, median(z) AS m FROM cy GROUP BY 1, 2, 3 HAVING count(*) >= 5),
+sm AS (SELECT x.user_id, x.i, corr(y.v, m) AS r, count(*) AS n, any_value(half) AS half FROM x JOIN tm ON tm.user_id = x.user_id JOIN x y ON y.user_id = x.user_id AND y.i = x.i + o GROUP BY 1, 2),
+sy AS (SELECT x.user_id, x.i, CASE WHEN n = 2 * half + 1 THEN CASE WHEN isfinite(r) THEN r ELSE 0 END END AS s FROM x JOIN sm USING (user_id, i))"""
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Values of each user in order, numbered, and the numbers of local peaks."""
+    order = Window.partitionBy("user_id").orderBy("ms", "event_id")
+    x = events(spark, sf_dir).where("value is not null").select("user_id", F.row_number().over(order).alias("i"), F.col("value").alias("v"))
+    return x, S.local_peaks(x, ["user_id"], "i", "v").select("user_id", "i")
+
+
+@query(f"WITH {SAMPLES} SELECT user_id, i, {q6('s')} AS similarity FROM sy")
+def template_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much the values around each event look like the median cycle around the user's peaks."""
+    x, peaks = _samples(spark, sf_dir)
+    t = rhythm.cycle_templates(x, peaks, ["user_id"], "i", "v", 4)
+    return rhythm.template_similarity(x, t, ["user_id"], "i", "v", 101).select("user_id", "i", r6("similarity").alias("similarity"))
+
+
+@query(f"""WITH RECURSIVE {SAMPLES}, r AS (SELECT user_id, mean, greatest(deviation, 2) AS sd, greatest(3, CAST(round_even(mean - 3 * greatest(deviation, 2), 0) AS INT)) AS lo, least(20, CAST(round_even(mean + 3 * greatest(deviation, 2), 0) AS INT)) AS hi FROM rh WHERE deviation IS NOT NULL),
+l AS (SELECT user_id, any_value(mean) AS mean, any_value(sd) AS sd, any_value(lo) AS lo, any_value(hi) AS hi, list(s ORDER BY i) AS s FROM sy JOIN r USING (user_id) GROUP BY 1),
+w AS (SELECT *, 0 AS t, []::STRUCT(c DOUBLE, n INT)[] AS best FROM l UNION ALL SELECT user_id, mean, sd, lo, hi, s, t + 1, list_append(best, CASE WHEN s[t + 1] IS NULL OR t < greatest(1, lo) THEN NULL ELSE (SELECT {{'c': s[t + 1] + coalesce(max(q.c), 0), 'n': 1 + coalesce(arg_min(q.n, (-q.c, q.k)), 0)}}
+  FROM (SELECT unnest(list_transform(list_filter(range(greatest(0, t - hi), t - lo + 1), lambda k: best[k + 1] IS NOT NULL), lambda k: {{'c': best[k + 1].c - 0.25 * pow((t - k - mean) / sd, 2), 'n': best[k + 1].n, 'k': k}})) AS q)) END) FROM w WHERE t < len(s)),
+f AS (SELECT user_id, unnest(list_filter(best, lambda b: b IS NOT NULL)) AS b FROM w WHERE t = len(s))
+SELECT user_id, CAST(arg_max(b.n, b.c) AS BIGINT) AS beats FROM f GROUP BY 1""")
+def beat_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of beats on the best path through each user's similarities."""
+    x, peaks = _samples(spark, sf_dir)
+    t = rhythm.cycle_templates(x, peaks, ["user_id"], "i", "v", 4)
+    like = rhythm.template_similarity(x, t, ["user_id"], "i", "v", 101)
+    return rhythm.beat_paths(like, t, ["user_id"], "i", "similarity", 3, 20).groupBy("user_id").agg(F.count("*").alias("beats"))
+
+
 @query()
 def bandpassed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power of each user's values, in order, inside a band of frequencies."""

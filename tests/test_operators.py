@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import expressions as X
-from spanloom.operators import aggregates, contracts, joins, metrics, sets, signal, windows
+from spanloom.operators import aggregates, contracts, joins, metrics, rhythm, sets, signal, windows
 
 
 def test_window_is_right_open_and_the_legacy_one_closed(spark):
@@ -178,10 +178,58 @@ def test_alignment_and_beat_path_equal_every_choice():
             return sum(abs(a[i] - b[j]) for i, j in pairs) + 4 * (len(a) + len(b) - 2 * len(pairs))
 
         every = [list(zip(x, y)) for k in range(min(len(a), len(b)) + 1) for x in itertools.combinations(range(len(a)), k) for y in itertools.combinations(range(len(b)), k)]
-        assert abs(cost(signal.aligned_intervals(a, b, 6, 4)) - min(map(cost, every))) < 1e-9
+        best = min(every, key=cost)
+        pairs, total, cheapest = rhythm.interval_costs(a, b, 6, 4)
+        assert abs(cheapest - cost(best)) < 1e-9 and abs(total + 4 * (len(a) + len(b) - 2 * pairs) - cheapest) < 1e-9
     s = np.zeros(400)
     s[[60, 110, 161, 212]] = 1
-    assert [t for t in signal.beat_path(s, 50, 4) if s[t]] == [60, 110, 161, 212]
+    other = np.zeros(400)
+    other[[50, 101]] = 1
+    paths = rhythm.best_paths(np.stack([s, other]), np.array([50.0, 50.0]), np.array([4.0, 4.0]), 30, 200)
+    assert [[t for t in p if v[t]] for p, v in zip(paths, (s, other))] == [[60, 110, 161, 212], [50, 101]]
+
+
+def test_best_path_equals_every_path():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (4, 9, 12):
+        s = rng.normal(size=n)
+        s[n // 2] = np.nan
+        mean, spread, low, high = 3.0, 2.0, 2, 5
+
+        def worth(path):
+            return sum(s[t] for t in path) - sum(0.25 * ((b - a - mean) / spread) ** 2 for a, b in zip(path, path[1:]))
+
+        able = [t for t in range(low, n) if np.isfinite(s[t])]
+        # a beat that can follow another one does, so a path begins where none comes before
+        paths = [p for k in range(1, n) for p in itertools.combinations(able, k)
+                 if all(low <= b - a <= high for a, b in zip(p, p[1:])) and not any(low <= p[0] - t <= high for t in able)]
+        found = rhythm.best_paths(s[None], np.array([mean]), np.array([1.0]), low, high)[0]
+        assert abs(worth(found) - max(map(worth, paths))) < 1e-9
+
+
+def test_pairs_of_two_series_equal_plain_walks():
+    import numpy as np
+
+    rng = random.Random(11)
+    for _ in range(200):
+        x, y = (np.sort(np.array([rng.randrange(0, 30) for _ in range(rng.randrange(0, 9))], float)) for _ in range(2))
+        tolerance = rng.randrange(0, 5)
+        taken, plain = set(), []
+        for i, a in enumerate(x):
+            j = next((j for j, b in enumerate(y) if abs(a - b) <= tolerance and j not in taken and all(j > k for k in taken)), None)
+            if j is not None:
+                taken.add(j)
+                plain.append((i, j))
+        assert joins.pairs_in_order(x, y, tolerance) == plain
+        u, v, near = np.unique(x), np.unique(y), []
+        for _, i, j in sorted((abs(a - b), i, j) for i, a in enumerate(u) for j, b in enumerate(v) if abs(a - b) <= tolerance):
+            if i not in {p for p, _ in near} and j not in {q for _, q in near}:
+                near.append((i, j))
+        assert [(x[i], y[j]) for i, j in joins.nearest_pairs(x, y, tolerance)] == sorted((u[i], v[j]) for i, j in near)
 
 
 def test_shape_and_temporal_contracts(spark):
