@@ -312,12 +312,3 @@ def beat_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = rhythm.cycle_templates(x, peaks, ["user_id"], "i", "v", 4)
     like = rhythm.template_similarity(x, t, ["user_id"], "i", "v", 101)
     return rhythm.beat_paths(like, t, ["user_id"], "i", "similarity", 3, 20).groupBy("user_id").agg(F.count("*").alias("beats"))
-
-
-@query()
-def bandpassed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Power of each user's values, in order, inside a band of frequencies."""
-    order = Window.partitionBy("user_id").orderBy("ms", "event_id")
-    e = events(spark, sf_dir).where("value is not null").select("user_id", F.row_number().over(order).alias("i"), "value")
-    f = S.bandpassed(e, ["user_id"], "i", "value", 1.0, 0.1, 0.3)
-    return f.groupBy("user_id").agg(F.count("*").alias("n"), r6(F.avg(F.col("filtered") * F.col("filtered"))).alias("power"))
