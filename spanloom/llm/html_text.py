@@ -92,14 +92,26 @@ def dropped(tag: str, attrs: dict[str, str], in_zone: bool) -> bool:
     return bool(words & COMMENTS) or bool(words & MARKS) and not words & (FRAMES - {"content", "container", "wrapper", "body"})
 
 
-def close(stack: list[tuple], tag: str, stops: frozenset[str]) -> None:
-    """Pop the stack up to the last open `tag`, unless one of `stops` stands before it; nothing if it isn't open."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] == tag:
-            del stack[i:]
+class Open:
+    """The open elements of a page, and where the last of each tag stands, so that nothing is searched for."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, str]] = []     # tag, dropped, zone
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, gone: bool, zone: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, gone, zone))
+
+    def close(self, tag: str, stops: frozenset[str]) -> None:
+        """Pop the stack up to the last open `tag`, unless one of `stops` stands before it; nothing if it isn't open."""
+        if not self.places.get(tag):
             return
-        if stack[i][0] in stops:
+        at = self.places[tag][-1]
+        if any(self.places[s][-1] > at for s in stops if self.places.get(s)):
             return
+        while len(self.stack) > at:
+            self.places[self.stack.pop()[0]].pop()
 
 
 class Page(NamedTuple):
@@ -117,7 +129,8 @@ def parse(source: str | None) -> Page:
     """
     source = source or ""
     found: dict[str, list[str]] = {"article": [], "main": [], "": [], "frame": []}
-    stack: list[tuple[str, bool, str]] = []     # tag, dropped, zone
+    elements = Open()
+    stack = elements.stack
     parts: dict[bool, list[str]] = {False: [], True: []}
     state = (False, "")
 
@@ -144,24 +157,24 @@ def parse(source: str | None) -> Page:
         elif tag not in INLINE:
             flush()
         if closing:
-            close(stack, tag, STOPS if tag in INLINE else frozenset())
+            elements.close(tag, STOPS if tag in INLINE else frozenset())
         elif tag in RAW:
             if not rest.rstrip().endswith("/"):
                 over = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
                 at = over.start() if over else len(source)
         elif tag not in VOID and end:
             if tag not in INLINE:
-                close(stack, "p", STOPS)
+                elements.close("p", STOPS)
             if tag in ENDED_BY_NEXT:
                 for other in ENDED_BY_NEXT[tag]:
-                    close(stack, other, LISTS)
+                    elements.close(other, LISTS)
             gone, zone = (stack[-1][1], stack[-1][2]) if stack else (False, "")
             attrs = attributes(rest) if rest.strip() else {}
             gone = gone or dropped(tag, attrs, bool(zone))
             role = attrs.get("role")
             if tag == "article" or not zone and (tag == "main" or role in ZONES):
                 zone = "article" if "article" in (tag, role) else "main"
-            stack.append((tag, gone, zone))
+            elements.push(tag, gone, zone)
         state = (stack[-1][1], stack[-1][2]) if stack else (False, "")
     flush()
     kind = next((z for z in ZONES if found[z]), "")

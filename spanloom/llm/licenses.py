@@ -19,9 +19,30 @@ PARAGRAPH_END = r"[.!?;:]+(?:[ \t\r\n]+|\z)|\n[ \t\r]*\n[ \t\r\n]*"
 LEADER = r"(^|\n)[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--+|>+)[ \t]*"
 #: What opens a sentence even without an end before it, as where a licence stands on one line.
 OPENING = r"[ \t\r\n]+(Permission to use|Permission is hereby granted|Permission is granted|Unless required by applicable law|Licensed under the|Redistribution and use in source)"
-TRIGGER = r"(?i)licen[cs]|permission|mpl was not|warrant|redistribut|liab|copyright|domain|reserved"
-SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+-]+)*)"
-SPDX_WORD = r"[ \t]+(?:OR|AND|WITH)[ \t]+"
+TRIGGER = r"(?i)licen[cs]|permission|mpl was not|warrant|redistribut|liab|copyright|domain|reserved|endorse|advertising"
+#: Repeats are possessive, so that no length of tag is matched by recursion.
+SPDX = r"SPDX-License-Identifier:[ \t]*[(]*([A-Za-z0-9.+-]++(?:[ \t()]++(?:OR|AND|WITH)[ \t()]++[A-Za-z0-9.+-]++)*+)"
+SPDX_WORD = r"[ \t()]+(?:OR|AND|WITH)[ \t()]+"
+# Sentences of which a part differs from text to text, normalised as below, and their identifiers.
+PATTERNS = {
+    r"^neither the names? of .* may be used to endorse or promote products derived from this software without specific prior written permission$": "bsd_names",
+    r"^the names? of .* may not be used to endorse or promote products derived from this software without specific prior written permission$": "bsd_names",
+    r"^all advertising materials mentioning features or use of this software must display the following acknowledge?ment": "bsd_advert",
+    r"^redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd_binary",
+    r"^apache license version 2 0 january 2004": "apache2_title",
+    r"^(?:the asf|the apache software foundation) licenses this file to you under the apache license version 2 0": "apache2_asf",
+    r"^gnu general public license version 3 29 june 2007": "gpl3_title",
+    r"^gnu general public license version 2 june 1991": "gpl2_title",
+    r"^gnu lesser general public license version 3 29 june 2007": "lgpl3_title",
+    r"^gnu lesser general public license version 2 1 february 1999": "lgpl21_title",
+    r"^gnu affero general public license version 3 19 november 2007": "agpl3_title",
+    r"under the terms of (?:the )?gnu general public license version 2 (?:only )?as published by the free software foundation$": "gpl2_only",
+    r"under the terms of (?:the )?gnu general public license version 3 (?:only )?as published by the free software foundation$": "gpl3_only",
+    r"^everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed$": "wtfpl_grant",
+    r"^(?:this work is )?licensed under (?:a )?(?:cc by 3 0|creative commons attribution 3 0)": "ccby3_ref",
+}
+#: What a sentence of `PATTERNS` holds at least.
+PATTERN_WORDS = r"licen[cs]e|endorse|advertising|redistributions"
 
 # Normalised sentences (lower case, anything but a-z and 0-9 one space) and their identifiers.
 SENTENCES = {
@@ -35,6 +56,7 @@ SENTENCES = {
     "released under the mit license": "mit_ref",
     "licensed under the mit license": "mit_ref",
     "this project is licensed under the mit license": "mit_ref",
+    "licensed under mit": "mit_ref",
     "mit license": "mit_title",
     "the mit license": "mit_title",
     "the mit license mit": "mit_title",
@@ -113,23 +135,35 @@ RULES = (
     ("Apache", "Apache-2.0", ("apache2_ref", "apache2_use", "apache2_copy")),
     ("Apache", "Apache-2.0", ("apache2_ref",)),
     ("Apache", "Apache-2.0", ("apache2_use", "apache2_copy", "apache2_asis", "apache2_see")),
+    ("Apache", "Apache-2.0", ("apache2_asf",)),
+    ("Apache", "Apache-2.0", ("apache2_title",)),
     ("AGPL", "AGPL-3.0-or-later", ("agpl3_grant",)),
     ("AGPL", "AGPL-3.0", ("agpl3_ref",)),
+    ("AGPL", "AGPL-3.0", ("agpl3_title",)),
     ("LGPL", "LGPL-2.1-or-later", ("lgpl_grant", "lgpl21_later")),
     ("LGPL", "LGPL-3.0-or-later", ("lgpl3_grant",)),
     ("LGPL", "LGPL-3.0", ("lgpl3_ref",)),
     ("LGPL", "LGPL-2.1", ("lgpl21_ref",)),
+    ("LGPL", "LGPL-3.0", ("lgpl3_title",)),
+    ("LGPL", "LGPL-2.1", ("lgpl21_title",)),
     ("GPL", "GPL-3.0-or-later", ("gpl_grant", "gpl3_later", "gpl_hope")),
     ("GPL", "GPL-3.0-or-later", ("gpl3_grant",)),
     ("GPL", "GPL-2.0-or-later", ("gpl_grant", "gpl2_later", "gpl_hope")),
     ("GPL", "GPL-2.0-or-later", ("gpl2_grant",)),
+    ("GPL", "GPL-2.0-only", ("gpl2_only",)),
+    ("GPL", "GPL-3.0-only", ("gpl3_only",)),
     ("GPL", "GPL-3.0", ("gpl3_ref",)),
     ("GPL", "GPL-2.0", ("gpl2_ref",)),
+    ("GPL", "GPL-3.0", ("gpl3_title",)),
+    ("GPL", "GPL-2.0", ("gpl2_title",)),
     ("CC0", "CC0-1.0", ("cc0_grant",)),
     ("CC0", "CC0-1.0", ("cc0_ref",)),
     ("CC", "CC-BY-NC-4.0", ("ccbync4_ref",)),
     ("CC", "CC-BY-SA-4.0", ("ccbysa4_ref",)),
     ("CC", "CC-BY-4.0", ("ccby4_ref",)),
+    ("CC", "CC-BY-3.0", ("ccby3_ref",)),
+    ("WTFPL", "WTFPL", ("wtfpl_grant",)),
+    ("BSD", "BSD-4-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_advert")),
     ("BSD", "BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_names")),
     ("BSD", "BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
     ("Unlicense", "Unlicense", ("unlicense_grant",)),
@@ -156,8 +190,15 @@ def known_sentences(text: Column, end: str) -> Column:
     """(at, id) of the known sentences of a text, in order, each with its number in the text (from 0)."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     sentences = F.filter(F.transform(F.split(text, end, -1), normalised), lambda s: s != "")
+
+    def named(s: Column) -> Column:
+        other = F.lit(None).cast("string")
+        for pattern, ident in reversed(PATTERNS.items()):
+            other = F.when(s.rlike(pattern), ident).otherwise(other)
+        return F.coalesce(F.try_element_at(known, s), F.when(s.rlike(PATTERN_WORDS), other))
+
     return F.filter(
-        F.transform(sentences, lambda s, i: F.struct(i.alias("at"), F.when(s.rlike(TRIGGER), F.try_element_at(known, s)).alias("id"))),
+        F.transform(sentences, lambda s, i: F.struct(i.alias("at"), F.when(s.rlike(TRIGGER), named(s)).alias("id"))),
         lambda x: x["id"].isNotNull())
 
 
@@ -204,13 +245,14 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def scan_sql() -> str:
-    """DuckDB SQL for `scan` over documents."""
+    """DuckDB SQL for `scan` over documents; its dialect knows no possessive repeats."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     known = f"map([{', '.join(map(quoted, SENTENCES))}], [{', '.join(map(quoted, SENTENCES.values()))}])"
 
     def reading(source: str, end: str) -> str:
         pieces = f"list_filter(list_transform(string_split_regex({source}, {quoted(end)}), lambda s: trim(lower(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g')))), lambda s: s <> '')"
-        return f"list_filter(list_transform({pieces}, lambda s, i: {{'at': i - 1, 'id': ({known})[s]}}), lambda x: x.id IS NOT NULL)"
+        named = " ".join(f"WHEN regexp_matches(s, {quoted(p)}) THEN {quoted(i)}" for p, i in PATTERNS.items())
+        return f"list_filter(list_transform({pieces}, lambda s, i: {{'at': i - 1, 'id': coalesce(({known})[s], CASE {named} END)}}), lambda x: x.id IS NOT NULL)"
 
     families: dict[str, list[str]] = {}
     for family, licence, sequence in RULES:
@@ -221,7 +263,7 @@ def scan_sql() -> str:
 r AS (SELECT doc_id, t, {reading('t', LINE_END)} AS a, {reading(leader, PARAGRAPH_END)} AS b FROM t),
 i AS (SELECT *, CASE WHEN len(b) > len(a) THEN b ELSE a END AS f,
  ',' || array_to_string(list_transform(a, lambda x: x.id), ',') || ',;,' || array_to_string(list_transform(b, lambda x: x.id), ',') || ',' AS ids,
- flatten(list_transform(regexp_extract_all(t, {quoted(SPDX)}, 1), lambda x: string_split_regex(x, {quoted(SPDX_WORD)}))) AS tags FROM r)
+ flatten(list_transform(regexp_extract_all(t, {quoted(SPDX.replace('++', '+').replace('*+', '*'))}, 1), lambda x: string_split_regex(x, {quoted(SPDX_WORD)}))) AS tags FROM r)
 SELECT doc_id, len(f) AS n_known, array_to_string(list_transform(f, lambda x: x.at || ':' || x.id), ',') AS sentences,
  array_to_string(list_sort(list_distinct(list_concat(list_filter([{rules}], lambda x: x IS NOT NULL),
   list_filter(list_transform(tags, lambda x: regexp_replace(x, '[.]+\\z', '')), lambda x: x <> '')))), ',') AS licences FROM i"""

@@ -39,7 +39,8 @@ ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)0123456789|1234567890|abcdefghij|(.)\1{5}",
     r"(?i)example|placeholder|changeme|dummy|your_?(?:key|token|secret)",
-    r"^(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/=](?:[A-Za-z]+|[0-9]{1,4}))+$",
+    # possessive, so that no length of candidate is matched by recursion
+    r"^(?:[A-Za-z]++|[0-9]{1,4}+)(?:[-_/=](?:[A-Za-z]++|[0-9]{1,4}+))++$",
 )
 
 
@@ -119,7 +120,9 @@ def entropy_ranges(value: Column) -> Column:
 
 def entropy_spans(text: Column) -> Column:
     def wanted(value: Column, _: Column) -> Column:
-        ok = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+        # no threshold is reached by seven different characters; only long candidates are worth counting them
+        varied = F.when(F.char_length(value) > 4 * WINDOW, F.size(F.array_distinct(F.split(value, ""))) > 7).otherwise(F.lit(True))
+        ok = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & varied
         for pattern in ALLOW:
             ok &= ~value.rlike(pattern)
         return ok
@@ -173,10 +176,10 @@ def digests_sql() -> str:
     """DuckDB SQL for `digests` of `find` over documents: offsets from the pieces between matches, entropy of every window counted anew."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
-    # this dialect folds more than A-Z and knows no back references
+    # this dialect folds more than A-Z and knows no back references or possessive repeats
     assign = ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key"))))
     repeated = "|".join(f"(?:{either(c.lower()) if c.isalpha() else '[' + c + ']'}){{6}}" for c in ALPHABET if not c.isupper())
-    allowed = [p.replace("(.)\\1{5}", repeated) for p in ALLOW]
+    allowed = [p.replace("(.)\\1{5}", repeated).replace("++", "+").replace("}+", "}") for p in ALLOW]
     kinds = ((assign, 2, 6), (ACCESS, 0, 20), (HEX, 0, 24), (CANDIDATE, 0, 20))
     found = " UNION ALL ".join(
         f"SELECT doc_id, rid, {k} AS kind, string_split_regex(t, {quoted(p)}) AS gaps, regexp_extract_all(t, {quoted(p)}) AS alls, regexp_extract_all(t, {quoted(p)}, {g}) AS vals, {n} AS least FROM t"

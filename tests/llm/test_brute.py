@@ -258,21 +258,36 @@ WHOLE = {"MIT": MIT, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD3, "Apache-2.0": AP
          "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
          "CC0-1.0": ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."],
          "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
-         "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."]}
+         "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+         "GPL-2.0-only": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", HOPE],
+         "CC-BY-3.0": ["This work is licensed under a Creative Commons Attribution 3.0 Unported License."],
+         "WTFPL": ["Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."]}
+#: More texts of licences that `WHOLE` has.
+MORE = [("BSD-3-Clause", [*BSD, "3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]),
+        ("BSD-3-Clause", [*BSD, "3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission."]),
+        ("BSD-4-Clause", [*BSD, "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the University.",
+                          "4. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]),
+        ("Apache-2.0", ["Apache License", "Version 2.0, January 2004", "http://www.apache.org/licenses/"]),
+        ("Apache-2.0", ["Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright "
+                        "ownership. The ASF licenses this file to You under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."]),
+        ("GPL-3.0", ["GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"]), ("GPL-2.0", ["GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991"]), ("LGPL-2.1", ["GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999"]),
+        ("MIT", ["Licensed under MIT."])]
 
 
 def test_whole_licences_wrapped_commented_and_on_one_line(spark):
     import textwrap
 
     rows, want = [], {}
-    for name, paragraphs in WHOLE.items():
+    for name, paragraphs in [*WHOLE.items(), *MORE]:
+        if name == "Apache-2.0" and paragraphs[0] == "Apache License":      # a heading of three lines
+            paragraphs = ["\n".join(paragraphs)]
         wrapped = "\n\n".join(textwrap.fill(p, 72) for p in paragraphs)
         forms = ["\n\n".join(paragraphs), wrapped, " ".join(paragraphs), *[textwrap.indent(wrapped, lead, lambda line: True) for lead in ("# ", "// ", " * ", "-- ")],
                  "int x = 1;\n/*\n" + textwrap.indent(wrapped, " * ", lambda line: True) + "\n */\nint main() {}", wrapped.replace("\n", "\r\n")]
         for form in forms:
             want[len(rows)] = name
             rows.append((len(rows), form))
-    tags = {"# SPDX-License-Identifier: MIT\nx": "MIT", "SPDX-License-Identifier: GPL-2.0-only OR BSD-3-Clause.": "BSD-3-Clause,GPL-2.0-only", "MIT License\n" + GRANT.replace("free", "three"): ""}
+    tags = {"# SPDX-License-Identifier: MIT\nx": "MIT", "SPDX-License-Identifier: GPL-2.0-only OR BSD-3-Clause.": "BSD-3-Clause,GPL-2.0-only", "SPDX-License-Identifier: (MIT OR Apache-2.0)": "Apache-2.0,MIT", "MIT License\n" + GRANT.replace("free", "three"): ""}
     for text, name in tags.items():
         want[len(rows)] = name
         rows.append((len(rows), text))

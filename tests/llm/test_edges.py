@@ -128,6 +128,16 @@ def test_line_dedup_keeps_rows_and_null_texts(spark):
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got) and len(got) == len(rows)
 
 
+def test_long_runs_neither_fail_nor_hang(spark):
+    """Candidates, tags and pages of a megabyte that a pattern with recursion or a walk over all open elements would choke on."""
+    path, tag = "a/1/" * 250_000 + " " + "ab/12/" * 1000 + "ab", "SPDX-License-Identifier: MIT" + " OR MIT" * 100_000
+    d = spark.createDataFrame([(1, path), (2, tag), (3, "ISC OR " * 1000 + tag)], "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in secrets.digests(secrets.find(d)).collect()} == {1: "", 2: "", 3: ""}
+    assert {r.doc_id: r.licences for r in licenses.scan(d).collect()} == {1: "", 2: "MIT", 3: "MIT"}
+    for page in ("<x>" * 300_000, "<p><table>" + "<x>" * 300_000, "<p><font>" * 100_000, "<ul>" + "<li><b>" * 150_000):
+        assert html_text.parse(page + "end").text == ["end"]
+
+
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
