@@ -1,13 +1,9 @@
-"""Scans: event logs, timestamp files, marker logs, nested JSON, sharded frame arrays."""
+"""Scans: event logs, timestamp files, marker logs, nested JSON."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +17,7 @@ def csv_logs(spark: SparkSession, paths: str | Sequence[str], numeric: Sequence[
     df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
     if columns:
         df = df.select(*columns)
-    return df.withColumns({c: number(c) for c in numeric if c in df.columns}).withColumn("source_file", F.input_file_name())
+    return df.withColumns({c: number(c) for c in numeric if c in df.columns}).withColumn("source_file", F.col("_metadata.file_path"))
 
 
 def trials(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -36,7 +32,7 @@ def timestamps(spark: SparkSession, path: str, rising: bool = False) -> DataFram
     With `rising` the job fails where the time of a file falls from one frame to the next.
     """
     df = spark.read.schema("a string, b string, c string").csv(path).select(
-        F.input_file_name().alias("source_file"), number("a", "double").cast("long").alias("frame_id"),
+        F.col("_metadata.file_path").alias("source_file"), number("a", "double").cast("long").alias("frame_id"),
         F.coalesce(number("c"), number("b")).cast("long").alias("ts_ms"))
     known = df.where("frame_id is not null and ts_ms is not null")
     return monotonic(known, ["frame_id"], "ts_ms", ["source_file"]) if rising else known
@@ -45,7 +41,7 @@ def timestamps(spark: SparkSession, path: str, rising: bool = False) -> DataFram
 def timestamp_matrix(spark: SparkSession, path: str) -> DataFrame:
     """As `timestamps` with both clocks; fails on a row without three numbers and on a receive clock that falls."""
     bad = F.raise_error(F.lit("a row hasn't three numbers")).cast("bigint")
-    df = spark.read.schema("a string, b string, c string").csv(path).select(F.input_file_name().alias("source_file"), *[
+    df = spark.read.schema("a string, b string, c string").csv(path).select(F.col("_metadata.file_path").alias("source_file"), *[
         F.coalesce(number(c).cast("long"), bad).alias(n) for c, n in (("a", "frame_id"), ("b", "ts_receive_ms"), ("c", "ts_process_ms"))])
     last = F.lag("ts_receive_ms").over(Window.partitionBy("source_file").orderBy("frame_id"))
     falls = F.raise_error(F.lit("the receive clock falls")).cast("boolean")
@@ -61,14 +57,14 @@ def markers(spark: SparkSession, path: str) -> DataFrame:
 def nested_windows(spark: SparkSession, path: str, schema: str, array: str = "windows") -> DataFrame:
     """Rows of an array of structs in JSON documents, one file each."""
     df = spark.read.schema(f"{array} array<struct<{schema}>>").option("multiLine", True).json(path)
-    return df.select(F.input_file_name().alias("source_file"), F.posexplode(array).alias("position", "w")).select("source_file", "position", "w.*")
+    return df.select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(array).alias("position", "w")).select("source_file", "position", "w.*")
 
 
 def manifests(spark: SparkSession, pattern: str) -> DataFrame:
     """(source_file, name, stage, manifest) of the JSON manifests that a path pattern finds, one document a file, as a map of texts."""
     text = spark.read.text(pattern, wholetext=True)
     parsed = F.from_json("value", "map<string,string>")
-    rows = text.select(F.input_file_name().alias("source_file"), parsed.alias("manifest")).where("manifest is not null")
+    rows = text.select(F.col("_metadata.file_path").alias("source_file"), parsed.alias("manifest")).where("manifest is not null")
     return rows.select("source_file", F.try_element_at("manifest", F.lit("name")).alias("name"), F.try_element_at("manifest", F.lit("stage")).alias("stage"), "manifest")
 
 
@@ -78,46 +74,3 @@ def marker_edges(df: DataFrame, lines: Sequence[str], by: Sequence[str], order:
     rows = df.select(*by, order, code.alias("code"))
     last = F.lag("code", 1, 0).over(Window.partitionBy(*by).orderBy(order))
     return rows.withColumn("__last", last).where("code > 0 AND __last = 0").drop("__last")
-
-
-def shard_index(spark: SparkSession, path: str) -> DataFrame:
-    """(path, array, first_frame, n_frames) of .npz shards in order. Files are read whole, arrays aren't decoded; keep the table for later reads."""
-    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for p, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in sorted(n for n in z.namelist() if n.startswith("tx")):
-                        with z.open(name) as f:
-                            version = np.lib.format.read_magic(f)
-                            shape = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)[0]
-                        rows.append((p, name.removesuffix(".npy"), int(shape[0])))
-            yield pd.DataFrame(rows, columns=["path", "array", "n_frames"])
-
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(headers, "path string, array string, n_frames long")
-    order = Window.partitionBy("array", F.regexp_extract("path", "^(.*)/", 1)).orderBy("path")
-    return found.withColumn("first_frame", F.sum("n_frames").over(order) - F.col("n_frames"))
-
-
-def frames(spark: SparkSession, path: str, array: str, first: int, last: int, index: DataFrame | None = None) -> DataFrame:
-    """(frame, bin, channel, re, im) of the frames [first, last): only the shards that hold some are read and decoded.
-
-    `index` is a table of `shard_index`, made here if none is given. The paths of the shards in the range go to the driver.
-    """
-    index = shard_index(spark, path) if index is None else index
-    chosen = index.where((F.col("array") == array) & (F.col("first_frame") < last) & (F.col("first_frame") + F.col("n_frames") > first)).select("path", "first_frame").collect()
-    starts = {r["path"]: r["first_frame"] for r in chosen}
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content, start in zip(batch["content"], batch["path"].map(starts)):
-                cube = np.load(io.BytesIO(content))[array]
-                lo, hi = max(0, first - start), min(len(cube), last - start)
-                f, b, c = np.indices(cube[lo:hi].shape)
-                part = cube[lo:hi].ravel().astype(np.complex128)
-                yield pd.DataFrame({"frame": f.ravel() + start + lo, "bin": b.ravel(), "channel": c.ravel(), "re": part.real, "im": part.imag})
-
-    schema = "frame long, bin int, channel int, re double, im double"
-    if not starts:
-        return spark.createDataFrame([], schema)
-    return spark.read.format("binaryFile").load(list(starts)).select("path", "content").mapInPandas(decode, schema)

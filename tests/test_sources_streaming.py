@@ -1,5 +1,7 @@
 """Sources, sinks, stages, kernels and the streaming forms, each on small inputs."""
 
+import io
+import json
 import math
 
 import numpy as np
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import signal, windows
 from spanloom.plans.stages import Stage, execute, ordered
-from spanloom.sources import readers, sinks
+from spanloom.sources import readers, shards, sinks
 from spanloom.streaming import operators as S
 
 
@@ -65,19 +67,63 @@ def test_marker_edges(spark):
     assert [(r.i, r.code) for r in readers.marker_edges(d, ["a", "b"], ["s"], "i").orderBy("i").collect()] == [(1, 1), (4, 3)]
 
 
+class Counted(io.FileIO):
+    """A file that counts the bytes read from it."""
+
+    total = 0
+
+    def readinto(self, buffer):
+        n = super().readinto(buffer)
+        self.total += n or 0
+        return n
+
+    def read(self, size=-1):
+        data = super().read(size)
+        self.total += len(data)
+        return data
+
+
+def test_headers_and_ranges_read_few_bytes(tmp_path):
+    cube = np.arange(4000 * 8 * 4, dtype=np.float32).reshape(4000, 8, 4).astype(np.complex64)
+    np.savez(tmp_path / "a.npz", tx1=cube, tx2=cube[:5], other=cube[:1])
+    size = (tmp_path / "a.npz").stat().st_size
+    with Counted(tmp_path / "a.npz") as f:
+        assert [(h.name, h.shape) for h in shards.headers(f)] == [("tx1", (4000, 8, 4)), ("tx2", (5, 8, 4))]
+        assert f.total < size / 100
+    with Counted(tmp_path / "a.npz") as f:
+        got = list(shards.read_frames(f, "tx1", 1000, 1600))
+        assert [at for at, _ in got] == [1000, 1256, 1512] and np.array_equal(np.concatenate([c for _, c in got]), cube[1000:1600])
+        assert f.total < cube[:600].nbytes + size / 100
+
+
+def test_conditions_reach_the_shard_source(spark, tmp_path):
+    cubes = [np.full((n, 2, 1), n + 1j, np.complex64) for n in (3, 4, 5)]
+    for i, c in enumerate(cubes):
+        np.savez_compressed(tmp_path / f"part{i}.npz", tx1=c, tx2=-c)
+    table = shards.shard_index(spark, str(tmp_path))
+    entries = json.dumps([[r.path, r.array, r.first_frame, r.n_frames] for r in table.collect()])
+    source = spark.read.format("npz_frames").option("index", entries).load()
+    assert source.count() == 2 * 2 * 12 and source.rdd.getNumPartitions() == 3
+    part = source.where("array = 'tx2' and frame > 2 and frame <= 4 and channel = 0")
+    assert part.rdd.getNumPartitions() == 1 and sorted((r.frame, r.bin, r.re) for r in part.collect()) == [(3, 0, -4), (3, 1, -4), (4, 0, -4), (4, 1, -4)]
+    assert source.where("array = 'tx3'").count() == 0 and source.where("frame = 7").select("array", "re").distinct().count() == 2
+    chunks = shards.frame_chunks(spark, str(tmp_path), "tx1", 1, 11, 4, table).select("frame", "chunk").distinct().collect()
+    assert sorted((r.frame, r.chunk) for r in chunks) == [(f, (f - 1) // 4) for f in range(1, 11)]
+
+
 def test_frames_read_only_their_shards(spark, tmp_path):
     rng = np.random.default_rng(0)
     cubes = [(rng.normal(size=(n, 2, 1)) + 1j).astype(np.complex64) for n in (3, 4)]
     for i, c in enumerate(cubes):
         np.savez(tmp_path / f"part{i}.npz", tx1=c)
-    index = readers.shard_index(spark, str(tmp_path)).orderBy("path").collect()
+    index = shards.shard_index(spark, str(tmp_path)).orderBy("path").collect()
     assert [(r.first_frame, r.n_frames) for r in index] == [(0, 3), (3, 4)]
-    got = readers.frames(spark, str(tmp_path), "tx1", 2, 5).orderBy("frame", "bin").collect()
+    got = shards.frames(spark, str(tmp_path), "tx1", 2, 5).orderBy("frame", "bin").collect()
     whole = np.concatenate(cubes)[2:5, :, 0].ravel()
     assert np.allclose([r.re + 1j * r.im for r in got], whole)
-    table = readers.shard_index(spark, str(tmp_path)).persist()
-    assert readers.frames(spark, str(tmp_path), "tx1", 0, 2, table).select("frame").distinct().count() == 2
-    assert readers.frames(spark, str(tmp_path), "tx1", 50, 60, table).count() == 0
+    table = shards.shard_index(spark, str(tmp_path)).persist()
+    assert shards.frames(spark, str(tmp_path), "tx1", 0, 2, table).select("frame").distinct().count() == 2
+    assert shards.frames(spark, str(tmp_path), "tx1", 50, 60, table).count() == 0
 
 
 def test_exclusive_and_restartable_sinks(spark, tmp_path):
