@@ -115,16 +115,31 @@ def moving_mean_zero_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", r6(W.moving_mean(["user_id"], ["ms", "event_id"], "value")).alias("m"))
 
 
-@query(f"""WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT user_id, event_id, value AS v, (event_id % 100) / 100.0 AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM ev),
+ANCHOR_SQL = f"""WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT user_id, event_id, value AS v, (event_id % 100) / 100.0 AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM ev),
 f AS (SELECT user_id, event_id, rn, v AS anchor FROM o WHERE rn = 1 UNION ALL
  SELECT o.user_id, o.event_id, o.rn, CASE WHEN f.anchor IS NULL THEN o.v WHEN o.v IS NOT NULL AND o.c >= 0.12 THEN f.anchor * 0.8 + o.v * (1 - 0.8) ELSE f.anchor END
  FROM f JOIN o ON o.user_id = f.user_id AND o.rn = f.rn + 1)
-SELECT user_id, event_id, {q6('anchor')} AS anchor FROM f""")
+SELECT user_id, event_id, {q6('anchor')} AS anchor FROM f"""
+
+
+@query(ANCHOR_SQL)
 def ewma_gated_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).withColumn("c", (F.col("event_id") % 100) / 100)
     return W.gated_anchor(e, ["user_id"], "event_id", "value", "c").select("user_id", "event_id", r6("anchor").alias("anchor"))
 
 
+@query(ANCHOR_SQL)
+def anchor_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anchors of `ewma_gated_anchor` by the registered table function."""
+    from spanloom.functions.registered import register
+
+    register(spark)
+    rows = events(spark, sf_dir).select(F.col("user_id").alias("session"), F.col("event_id").alias("step"), "value", (F.col("event_id") % 100 / 100).alias("confidence"))
+    found = spark.sql("SELECT session, step, anchor FROM gated_anchor(TABLE({rows}))", rows=rows)
+    return found.select(F.col("session").alias("user_id"), F.col("step").alias("event_id"), r6("anchor").alias("anchor"))
+
+
+
 @query(f"""WITH x AS (SELECT user_id, value AS x, CAST(event_id % 97 AS DOUBLE) AS y FROM events WHERE value IS NOT NULL),
 s AS (SELECT user_id, count(*) OVER w - 1 AS n, sum(x) OVER w - x AS sx, sum(y) OVER w - y AS sy, sum(x * x) OVER w - x * x AS sxx, sum(y * y) OVER w - y * y AS syy, sum(x * y) OVER w - x * y AS sxy FROM x WINDOW w AS (PARTITION BY user_id))
 SELECT user_id, {q6('min((n * sxy - sx * sy) / (sqrt(n * sxx - sx * sx) * sqrt(n * syy - sy * sy)))')} AS low,

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
 def windowed(stream: DataFrame, by: Sequence[str], time: str, aggregates: Sequence[Column], width: str, step: str | None = None,
@@ -32,37 +32,56 @@ def lookback(probes: DataFrame, events: DataFrame, key: str, onset: str, time: s
     return p.join(e, F.expr(f"p.{key} = e.{key} AND e.{time} >= p.{onset} - INTERVAL {width} AND e.{time} < p.{onset}"))
 
 
+class Anchor(StatefulProcessor):
+    """One number for each key, with a timer that drops it when the key has been idle."""
+
+    def __init__(self, columns: Sequence[str], order: str, value: str, confidence: str, keep: float, least: float, idle_ms: int | None) -> None:
+        self.columns, self.order, self.value, self.confidence = list(columns), order, value, confidence
+        self.keep, self.least, self.idle_ms = keep, least, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.anchor = handle.getValueState("anchor", "anchor double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = self.anchor.get()[0] if self.anchor.exists() else None
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        usable = batch[self.value].notna()
+        trusted = usable & (batch[self.confidence] >= self.least)
+        found = []
+        for v, known, moves in zip(batch[self.value], usable, trusted):
+            if held is None:
+                held = float(v) if known else None
+            elif moves:
+                held += (1 - self.keep) * (float(v) - held)
+            found.append(held)
+        if held is not None:
+            self.anchor.update((held,))
+            if self.idle_ms is not None:
+                for timer in self.handle.listTimers():
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield batch[self.columns].assign(anchor=pd.Series(found, index=batch.index, dtype="float64"))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.anchor.clear()
+        return iter(())
+
+    def close(self) -> None:
+        """Nothing is held outside the state."""
+
+
 def anchors(stream: DataFrame, by: Sequence[str], order: str, value: str, confidence: str, keep: float = 0.8, least: float = 0.12,
             idle_ms: int | None = None) -> DataFrame:
     """(by, order, anchor): the gated anchor of each key, its state kept between batches.
 
-    Rows of a batch are taken in order; a later batch goes on from the state. Order across batches
-    is that of arrival. A key without rows for `idle_ms` loses its state, so ended sessions take no room.
+    Rows of a key in one batch are taken in order; a later batch goes on from the state. Order across batches
+    is that of arrival. A key without rows for `idle_ms` loses its state by a timer, so ended sessions take no room. The session's state store
+    becomes RocksDB, which this kind of state needs and which keeps it out of the executors' heap.
     """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], f"{order} {kinds[order]}", "anchor double"])
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        anchor = state.get[0] if state.exists else None
-        out = []
-        for v, c in zip(rows[value], rows[confidence]):
-            if pd.notna(v):
-                if anchor is None:
-                    anchor = float(v)
-                elif pd.notna(c) and c >= least:
-                    anchor = keep * anchor + (1 - keep) * float(v)
-            out.append(anchor)
-        if anchor is not None:
-            state.update((anchor,))
-            if idle_ms is not None:
-                state.setTimeoutDuration(idle_ms)
-        frame = rows[[*by, order]].copy()
-        frame["anchor"] = pd.Series(out, index=frame.index, dtype="float64")
-        yield frame
-
-    return stream.select(*by, order, value, confidence).groupBy(*by).applyInPandasWithState(
-        step, schema, "anchor double", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in (*by, order)], "anchor double"])
+    processor = Anchor([*by, order], order, value, confidence, keep, least, idle_ms)
+    return stream.select(*by, order, value, confidence).groupBy(*by).transformWithStateInPandas(
+        processor, schema, "append", "none" if idle_ms is None else "processingTime")

@@ -3,6 +3,7 @@
 import io
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -237,3 +238,37 @@ def test_streamed_anchor_equals_batch(spark, tmp_path):
     want = {(r.k, r.o): r.anchor for r in windows.gated_anchor(d, ["k"], "o", "v", "c").collect()}
     got = {(r.k, r.o): r.anchor for r in spark.table("anchors_test").collect()}
     assert {k: None if v is None or math.isnan(v) else round(v, 9) for k, v in got.items()} == {k: None if v is None else round(v, 9) for k, v in want.items()}
+
+
+def test_idle_anchors_expire(spark, tmp_path):
+    """A key that has been idle begins anew with its next value; without a limit it goes on."""
+    parts = [[("a", 1, 50.0, 1.0), ("b", 1, 10.0, 1.0)], [("b", 2, 20.0, 1.0)], [("a", 2, 100.0, 1.0), ("b", 3, 30.0, 1.0)]]
+    for name, idle, want in (("short", 1, {("a", 2): 100.0}), ("long", None, {("a", 2): 60.0, ("b", 2): 12.0, ("b", 3): 15.6})):
+        folder = tmp_path / name
+        folder.mkdir()
+        schema = "k string, o int, v double, c double"
+        spark.createDataFrame([], schema).write.parquet(str(folder / "in" / "none"))
+        stream = spark.readStream.schema(schema).parquet(str(folder / "in" / "*"))
+        q = S.anchors(stream, ["k"], "o", "v", "c", idle_ms=idle).writeStream.format("memory").queryName(f"idle_{name}").trigger(processingTime="200 milliseconds").start()
+        try:
+            for n in range(len(parts)):
+                spark.createDataFrame(parts[n], schema).coalesce(1).write.parquet(str(folder / "in" / str(n)))
+                until = time.time() + 40
+                while spark.table(f"idle_{name}").count() < sum(map(len, parts[:n + 1])) and time.time() < until:
+                    time.sleep(0.3)
+                time.sleep(3)       # for the timers
+        finally:
+            q.stop()
+        got = {(r.k, r.o): r.anchor for r in spark.table(f"idle_{name}").collect()}
+        assert len(got) == 5 and got[("a", 1)] == 50 and all(abs(got[k] - v) < 1e-9 for k, v in want.items()), (name, got)
+
+
+def test_table_function_asks_for_its_columns(spark):
+    from spanloom.functions.registered import register
+
+    register(spark)
+    d = spark.createDataFrame([("x", 2, 20.0, 0.1), ("x", 1, 10.0, 0.0), ("x", 3, 20.0, 0.5), ("x", 4, None, 0.5), ("y", 1, None, 1.0), ("y", 2, 5.0, None)], "session string, step int, value double, confidence double")
+    got = {(r.session, r.step): r.anchor for r in spark.sql("SELECT * FROM gated_anchor(TABLE({d}))", d=d.repartition(3)).collect()}
+    assert got == {("x", 1): 10.0, ("x", 2): 10.0, ("x", 3): 12.0, ("x", 4): 12.0, ("y", 1): None, ("y", 2): 5.0}
+    with pytest.raises(Exception, match="takes a table"):
+        spark.sql("SELECT * FROM gated_anchor(TABLE({d}))", d=d.drop("value")).collect()
