@@ -214,20 +214,35 @@ def window_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("user_id", "day", r6(F.when(low, v * 2).otherwise(v)).alias("rate"), F.coalesce(low, F.lit(False)).alias("doubled"), X.first_match(rules, "usable").alias("verdict"))
 
 
+def _normal_p(z: str) -> str:
+    x = f"(abs({z}) / {math.sqrt(2)})"
+    poly = "0.0"
+    for a in reversed(audits.ERF):
+        poly = f"({poly} + {a}) * (1 / (1 + 0.3275911 * {x}))"
+    return f"({poly}) * exp(-{x} * {x})"
+
+
+def _simpson(top: str) -> str:
+    return f"{top} / 2000 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END::DOUBLE * ({top} * i / 2000) * pow(sin({math.pi / 2} * ({top} * i / 2000) * ({top} * i / 2000)), freedom - 1)))"
+
+
 @query(f"""WITH d AS (SELECT o_orderpriority AS g, o_orderstatus = 'F' AS one, o_totalprice AS v FROM orders), r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY v) + (count(*) OVER (PARTITION BY g, v) - 1) / 2.0 AS r FROM d),
-s AS (SELECT g, CAST(count(*) FILTER (one) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT one) AS DOUBLE) AS n2, avg(v) FILTER (one) - avg(v) FILTER (NOT one) AS d, var_samp(v) FILTER (one) AS v1, var_samp(v) FILTER (NOT one) AS v2, sum(r) FILTER (one) AS w FROM r GROUP BY 1)
-SELECT g, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, {q6('d / nullif(sqrt(v1 / n1 + v2 / n2), 0)')} AS t, {q6('(w - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / nullif(sqrt(n1 * n2 * (n1 + n2 + 1) / 12), 0)')} AS mann_whitney_z FROM s""")
+s AS (SELECT g, CAST(count(*) FILTER (one) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT one) AS DOUBLE) AS n2, avg(v) FILTER (one) - avg(v) FILTER (NOT one) AS d, var_samp(v) FILTER (one) AS v1, var_samp(v) FILTER (NOT one) AS v2, sum(r) FILTER (one) AS w FROM r GROUP BY 1),
+x AS (SELECT *, d / nullif(sqrt(v1 / n1 + v2 / n2), 0) AS t, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS freedom, (w - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / nullif(sqrt(n1 * n2 * (n1 + n2 + 1) / 12), 0) AS z FROM s),
+y AS (SELECT *, sqrt(1 - {2 / math.pi} * atan(abs(t) / sqrt(freedom))) AS edge, 1.0::DOUBLE AS whole FROM x)
+SELECT g, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, {q6('t')} AS t, round(freedom, 3) AS freedom, {q6(f"CASE WHEN freedom > 5000 THEN {_normal_p('t')} ELSE ({_simpson('edge')}) / ({_simpson('whole')}) END")} AS t_p, {q6('z')} AS mann_whitney_z, {q6(_normal_p('z'))} AS mann_whitney_p FROM y""")
 def two_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), "o_orderstatus", F.col("o_totalprice").alias("v"))
     t = audits.two_samples(d, ["g"], F.col("o_orderstatus") == "F", "v")
-    return t.select("g", "n1", "n2", r6("t").alias("t"), r6("mann_whitney_z").alias("mann_whitney_z"))
+    return t.select("g", "n1", "n2", F.round("freedom", 3).alias("freedom"), *[r6(c).alias(c) for c in ("t", "t_p", "mann_whitney_z", "mann_whitney_p")])
 
 
 @query(f"""WITH c AS (SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY 1, 2), w AS (SELECT user_id FROM c WHERE v IS NOT NULL GROUP BY 1 HAVING count(*) = 5),
-r AS (SELECT event_type, rank() OVER (PARTITION BY user_id ORDER BY v) + (count(*) OVER (PARTITION BY user_id, v) - 1) / 2.0 AS r FROM c JOIN w USING (user_id)), s AS (SELECT sum(r) AS s, count(*) AS n FROM r GROUP BY event_type)
-SELECT max(n) AS n, {q6('12.0 / (max(n) * 5 * 6) * sum(s * s) - 3 * max(n) * 6')} AS chi2 FROM s""")
+r AS (SELECT event_type, rank() OVER (PARTITION BY user_id ORDER BY v) + (count(*) OVER (PARTITION BY user_id, v) - 1) / 2.0 AS r FROM c JOIN w USING (user_id)), s AS (SELECT sum(r) AS s, count(*) AS n FROM r GROUP BY event_type),
+x AS (SELECT max(n) AS n, 12.0 / (max(n) * 5 * 6) * sum(s * s) - 3 * max(n) * 6 AS chi2 FROM s)
+SELECT n, {q6('chi2')} AS chi2, {q6('exp(-chi2 / 2) * (1 + chi2 / 2)')} AS p FROM x""")
 def friedman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audits.friedman(events(spark, sf_dir), "user_id", "event_type", "value", 5).select("n", r6("chi2").alias("chi2"))
+    return audits.friedman(events(spark, sf_dir), "user_id", "event_type", "value", 5).select("n", r6("chi2").alias("chi2"), r6("p").alias("p"))
 
 
 HALF = f"""{EVENTS_SQL}, o AS (SELECT event_id, user_id, value AS x, CAST(event_type IN ('click', 'purchase') AS INT) AS y, row_number() {ORDER} <= greatest(1, count(*) OVER (PARTITION BY user_id) // 2) AS f FROM ev),

@@ -265,12 +265,16 @@ def session_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user_id", "n", status.alias("status"))
 
 
-LEAKS = [("rt_before", -30, 0), ("rt_after", 0, 5), ("accuracy_block", -600, -1), ("late_probe", -10, 1)]
-
-
-@query("""SELECT * FROM (VALUES ('rt_before', -30, 0, false), ('rt_after', 0, 5, true), ('accuracy_block', -600, -1, false), ('late_probe', -10, 1, true)) t(feature, start_s, end_s, leaks)""")
+@query(f"""WITH {EVENTS_SQL}, o AS (SELECT user_id, max(ms) AS onset FROM ev WHERE event_type = 'purchase' GROUP BY 1),
+w AS (SELECT user_id, event_type AS feature, min(ms - onset) AS start_ms, max(ms - onset) AS end_ms FROM ev JOIN o USING (user_id) WHERE event_type <> 'purchase' GROUP BY 1, 2)
+SELECT user_id, feature, start_ms, end_ms, end_ms > 0 OR start_ms >= end_ms AS leaks FROM w""")
 def temporal_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contracts.temporal_leaks(spark.createDataFrame(LEAKS, "feature string, start_s int, end_s int"), "start_s", "end_s")
+    """The span of each kind of a user's events about the last purchase, as a feature's window: whether it reads past that."""
+    e = events(spark, sf_dir)
+    onset = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("ms").alias("onset"))
+    t = F.col("ms") - F.col("onset")
+    spans = e.where("event_type <> 'purchase'").join(onset, "user_id").groupBy("user_id", F.col("event_type").alias("feature")).agg(F.min(t).alias("start_ms"), F.max(t).alias("end_ms"))
+    return contracts.temporal_leaks(spans, "start_ms", "end_ms")
 
 
 @query(f"""WITH d AS (SELECT source, doc_id, quality AS y FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
@@ -319,8 +323,11 @@ def truncated_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(stops, "user_id").where("ms <= stop").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ms").alias("last_ms"))
 
 
-@query("""SELECT unnest(['c_acctbal', 'hr_mean', 'rmssd', 'label', 'trial_count', 'sdnn_z', 'brand']) AS name, unnest([false, true, true, true, false, true, false]) AS forbidden""")
+@query(f"""WITH n AS (SELECT DISTINCT lower(regexp_replace(p_type, '[^A-Za-z]+', '_', 'g')) || '_' || m AS name FROM part, (SELECT unnest(['hr', 'rmssd', 'count', 'label', 'share']) AS m))
+SELECT name, regexp_matches(lower(name), '{X.FORBIDDEN.pattern}') AS forbidden FROM n""")
 def predictor_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["c_acctbal", "hr_mean", "rmssd", "label", "trial_count", "sdnn_z", "brand"]
-    bad = set(X.forbidden_predictors(names))
-    return spark.createDataFrame([(n, n in bad) for n in names], "name string, forbidden boolean")
+    """Names of features of every type of part in five measures: which of them a predictor may not have."""
+    measures = F.array(*map(F.lit, ("hr", "rmssd", "count", "label", "share")))
+    kind = F.lower(F.regexp_replace("p_type", "[^A-Za-z]+", "_"))
+    names = read(spark, sf_dir, "part").select(F.explode(F.transform(measures, lambda m: F.concat_ws("_", kind, m))).alias("name")).distinct()
+    return names.withColumn("forbidden", F.lower("name").rlike(X.FORBIDDEN.pattern))

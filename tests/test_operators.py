@@ -1,12 +1,13 @@
 """Edge cases of the operators on small literals."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import expressions as X
-from spanloom.operators import aggregates, contracts, joins, metrics, rhythm, sets, signal, windows
+from spanloom.operators import aggregates, audits, contracts, joins, metrics, rhythm, sets, signal, windows
 
 
 def test_window_is_right_open_and_the_legacy_one_closed(spark):
@@ -222,6 +223,21 @@ def test_pairs_of_two_series_equal_plain_walks():
         assert [(x[i], y[j]) for i, j in joins.nearest_pairs(x, y, tolerance)] == sorted((u[i], v[j]) for i, j in near)
 
 
+def test_p_values_equal_closed_forms(spark):
+    d = spark.createDataFrame([(t,) for t in (0.0, 0.5, 2.0, -6.0)], "t double")
+    for freedom, plain in ((1.0, lambda t: 1 - 2 / math.pi * math.atan(abs(t))), (2.0, lambda t: 1 - abs(t) / math.sqrt(2 + t * t)),
+                           (4.0, lambda t: 1 - abs(t) * (6 + t * t) / (4 + t * t) ** 1.5)):
+        for r in d.select("t", audits.student_p(F.col("t"), F.lit(freedom)).alias("p")).collect():
+            assert abs(r.p - plain(r.t)) < 1e-9
+    near = d.select("t", audits.student_p(F.col("t"), F.lit(4999.0)).alias("p"), audits.student_p(F.col("t"), F.lit(5001.0)).alias("q")).collect()
+    assert all(abs(r.p - r.q) < 1e-4 for r in near)
+    x = 3.7
+    found = spark.range(1).select(*[audits.chi2_p(F.lit(x), k).alias(f"k{k}") for k in (1, 2, 3, 4)]).first()
+    tail = math.erfc(math.sqrt(x / 2))
+    plain = (tail, math.exp(-x / 2), tail + math.sqrt(2 * x / math.pi) * math.exp(-x / 2), math.exp(-x / 2) * (1 + x / 2))
+    assert all(abs(a - b) < 1e-6 for a, b in zip(found, plain))
+
+
 def test_shape_and_temporal_contracts(spark):
     with pytest.raises(Exception, match="n is not 3"):
         contracts.expected(spark.createDataFrame([(2,)], "n long"), {"n": 3}).collect()
