@@ -165,7 +165,7 @@ def test_vectors_that_cannot_be_coded(spark):
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = vector_codes.compress(d.withColumns({n: F.lit(1) for n in ("code", "error", "vector", "of", "label_error")})).collect()
     assert sorted((r.vec_id or 0, r.code, r.error, r.label_error) for r in got) == [
-        (0, "01010101", 262144, 262144), (3, "00000000", 0, 262144), (5, "01010101", 262144, 524288), (5, "01010101", 262144, 524288)]
+        (0, "01010101", 0, 0), (3, "00000000", 0, 0), (5, "01010102", 0, 0), (5, "01010102", 0, 0)]      # equal seeds part where a round moves one of them
     assert vector_codes.compress(d.limit(0)).count() == vector_codes.compress(d.where("vec_id in (1, 2)")).count() == 0
     assert [(r.code, r.error) for r in vector_codes.compress(d.where("vec_id = 10")).collect()] == [("00000000", 0)]
     with pytest.raises(Exception, match="beyond"):
