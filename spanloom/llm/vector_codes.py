@@ -46,7 +46,7 @@ def integers(vectors: pd.Series | list, width: int) -> np.ndarray:
     flat = np.floor(np.concatenate([np.zeros(0), *vectors]).astype(np.float64) * SCALE)
     if len(flat) and np.abs(flat).max() > LARGEST * SCALE:
         raise ValueError(f"components beyond {LARGEST} can't be coded exactly")
-    return flat.astype(np.int64).reshape(-1, width)
+    return flat.astype(np.int64).reshape(len(vectors), width)
 
 
 def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
