@@ -69,7 +69,7 @@ def test_beat_match_identity():
     import numpy as np
 
     x = np.arange(4.0)
-    assert joins.greedy_pairs(x, x, 0.1) == [(i, i) for i in range(4)]
+    assert joins.pairs_in_order(x, x, 0.1) == [(i, i) for i in range(4)]
 
 
 def test_table_difference(spark):
