@@ -134,14 +134,17 @@ def fold_leaks(rows: DataFrame, group: str, fold: str) -> DataFrame:
 
 
 def out_of_fold_scores(df: DataFrame, fold: str, keys: Sequence[str], features: Sequence[str], label: str, weight: str | None = None,
-                       l2: float = 1.0, steps: int = 30) -> DataFrame:
+                       l2: float = 1.0, steps: int = 30, indicators: bool = False) -> DataFrame:
     """(keys, fold, label, score): every row scored by a model of all other folds.
 
     Ridge logistic regression by Newton steps, the intercept free, classes weighed to balance. Missing features
-    take the median of the training rows; features are standardised on them. Rows stay where
+    take the median of the training rows, and with `indicators` whether each is missing is a feature too; features are standardised on them. Rows stay where
     they are: every step is one aggregation of gradient and curvature by fold, of which the driver
     gets a few numbers for each fold. Folds are a parameter of few values.
     """
+    if indicators:
+        gone = {f"__{c}_missing": (F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("double") for c in features}
+        df, features = df.withColumns(gone), [*features, *gone]
     d = len(features)
     names = [r[0] for r in df.select(fold).distinct().collect()]
     rows = df.select(*keys, fold, F.col(label).cast("double").alias("__y"), label, F.array(*[F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in features]).alias("__x"),

@@ -87,8 +87,9 @@ def paired_bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def folded_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold scores of a ridge logistic regression, folds disjoint by source, and their AUC by fold."""
     s = scored(spark, sf_dir).withColumn("log_chars", F.log1p("n_chars")).withColumn("english", (F.col("lang") == "en").cast("double"))
-    rows = s.join(F.broadcast(M.group_folds(s, "source", "y")), "source").select("doc_id", "fold", "y", "log_chars", "english")
-    oof = M.out_of_fold_scores(rows, "fold", ["doc_id"], ["log_chars", "english"], "y")
+    own = s.groupBy("source").agg((1 / F.count("*")).alias("weight"))      # every source weighs the same
+    rows = s.join(M.group_folds(s, "source", "y"), "source").join(own, "source").select("doc_id", "fold", "y", "log_chars", "english", "weight")
+    oof = M.out_of_fold_scores(rows, "fold", ["doc_id"], ["log_chars", "english"], "y", "weight", indicators=True)
     return M.roc_auc(oof, ["fold"], "y", "score").select("fold", "n", r6("auc").alias("auc"))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import models
+from spanloom.operators import metrics, models
 
 RNG = np.random.default_rng(7)
 SIZES = [1, 2, 3, 5, 8, 13, 40, 4, 6, 9, 7, 30]
@@ -220,3 +220,40 @@ def test_lbfgs_finds_the_bottom_of_a_valley():
         return (1 - a) ** 2 + 100 * (b - a * a) ** 2, np.array([-2 * (1 - a) - 400 * a * (b - a * a), 200 * (b - a * a)])
 
     np.testing.assert_allclose(models.lbfgs(valley, np.array([-1.2, 1.0]), steps=300, tolerance=1e-9), [1, 1], atol=1e-6)
+
+
+# -- folds ----------------------------------------------------------------------------------------------
+
+
+def plain_fold_scores(x, y, w, fold):
+    """Ridge logistic regression by Newton steps on all other folds: medians for missing values, indicators, standardised, balanced classes."""
+    out = np.zeros(len(y))
+    for f in np.unique(fold):
+        train = fold != f
+        gone = np.isnan(x).astype(float)
+        full = np.column_stack([np.where(np.isnan(x), np.nanmedian(x[train], axis=0), x), gone])
+        spread = full[train].std(axis=0)
+        z = np.column_stack([(full - full[train].mean(axis=0)) / np.where(spread == 0, 1, spread), np.ones(len(y))])
+        rate = y[train].mean()
+        v = w * np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate))
+        penalty = np.diag([1.0] * full.shape[1] + [1e-9])
+        b = np.zeros(z.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-z[train] @ b))
+            h = (z[train] * (v[train] * p * (1 - p))[:, None]).T @ z[train] + penalty
+            b = b + np.linalg.solve(h, z[train].T @ (v[train] * (y[train] - p)) - penalty @ b)
+        out[~train] = 1 / (1 + np.exp(-z[~train] @ b))
+    return out
+
+
+def test_scores_out_of_fold_equal_whole_fits(spark):
+    rng = np.random.default_rng(5)
+    n = 90
+    x = rng.normal(size=(n, 2))
+    y = (rng.random(n) < 1 / (1 + np.exp(-x[:, 0]))).astype(int)
+    x[rng.random(n) < 0.2, 0] = np.nan
+    w, fold = 1.0 + np.arange(n) % 4, np.arange(n) % 3
+    rows = [(k, int(fold[k]), int(y[k]), None if np.isnan(x[k, 0]) else float(x[k, 0]), float(x[k, 1]), float(w[k])) for k in range(n)]
+    d = spark.createDataFrame(rows, "id long, fold int, y int, a double, b double, w double").repartition(3)
+    got = {r.id: r.score for r in metrics.out_of_fold_scores(d, "fold", ["id"], ["a", "b"], "y", "w", indicators=True).collect()}
+    np.testing.assert_allclose([got[k] for k in range(n)], plain_fold_scores(x, y, w, fold), atol=1e-7)
