@@ -210,3 +210,21 @@ def monotone_match_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = n.join(m, "user_id", "left").na.fill(0, ["n"])
     return j.select("user_id", "n", r6("mae").alias("mae"), r6(F.col("n") / F.nullif("n_est", F.lit(0))).alias("precision"),
                     r6(F.col("n") / F.nullif("n_ref", F.lit(0))).alias("recall"), r6(2 * F.col("n") / F.nullif(F.col("n_est") + F.col("n_ref"), F.lit(0))).alias("f1"))
+
+
+LAGS = [-6, -3, 0, 3, 6]
+
+
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, a AS (SELECT user_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ms) AS i FROM ev WHERE event_type = 'click'),
+b AS (SELECT user_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ms) AS j FROM ev WHERE event_type = 'view'), l AS (SELECT unnest({LAGS}) * {HOUR} AS lag),
+w AS (SELECT DISTINCT user_id, lag, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, false AS hit FROM ev, l
+ UNION ALL SELECT w.user_id, w.lag, CASE WHEN abs(b.ms - lag - a.ms) <= {HOUR} OR b.ms - lag - a.ms > 0 THEN w.i + 1 ELSE w.i END, CASE WHEN abs(b.ms - lag - a.ms) <= {HOUR} OR b.ms - lag - a.ms < 0 THEN w.j + 1 ELSE w.j END,
+  abs(b.ms - lag - a.ms) <= {HOUR} FROM w JOIN a ON a.user_id = w.user_id AND a.i = w.i JOIN b ON b.user_id = w.user_id AND b.j = w.j)
+SELECT user_id, CAST(lag AS BIGINT) AS lag, count(*) FILTER (hit) AS n FROM w GROUP BY 1, 2 HAVING count(*) FILTER (hit) > 0""")
+def lag_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of clicks and views within an hour, in order and one to one, as the views are moved by some hours."""
+    from spanloom.operators.signal import lag_sweep as sweep
+
+    e = events(spark, sf_dir).select("user_id", "event_type", "ms")
+    a, b = (e.where(F.col("event_type") == kind).select("user_id", "ms") for kind in ("click", "view"))
+    return sweep(a, b, ["user_id"], "ms", HOUR, [k * HOUR for k in LAGS]).select("user_id", F.col("lag").cast("long").alias("lag"), "n")
