@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
+import json
 import os
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -36,6 +37,8 @@ KEPT_STATES = 1_000_000
 SLICE_PAIRS = 2_000_000
 LINKS = 4_000_000
 
+#: Characters of texts aligned together, whose new words are in memory at once.
+SLICE_CHARS = 1 << 20
 #: Characters of words encoded as one text.
 BLOCK = 8192
 #: Characters beside which a text isn't cut, besides white space: what older tables take for it, and the sign that a piece has for a space.
@@ -144,6 +147,7 @@ class Pair:
         self.a.no_padding()
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+        self.quick = quick_encoder(byte_path)
         raw = {s: i for i, s in enumerate(byte_symbols())}
         size = self.a.get_vocab_size()
         special = {i: t.content for i, t in self.a.get_added_tokens_decoder().items()}
@@ -163,7 +167,12 @@ class Pair:
         self.decimals = [np.array([f"{i}{after}" for i in range(max(size, self.width))], object) for after in ",|;"]
         self.kept, self.older = Kept(), Kept()
 
-    def align(self, texts: list[str], sizes: list[int]) -> list[tuple[bytes, bytes, int]] | None:
+    def a_ids(self, texts: list[str], quick: bool) -> list[list[int]]:
+        if quick and self.quick:
+            return [self.quick(t) for t in texts]
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def align(self, texts: list[str], sizes: list[int], quick: bool = False) -> list[tuple[bytes, bytes, int]] | None:
         """Aligns each text, with a space before it, and gives the results of its stretches, whose bytes are `sizes` in order.
 
         All texts go through the transducer as one sequence, as each ends a group. None if a text isn't
@@ -172,7 +181,7 @@ class Pair:
         full = [" " + t for t in texts]
         data = b"".join([t.encode() for t in full])
         flat, spelled = [], []
-        for side, found in enumerate(([e.ids for e in self.a.encode_batch_fast(full, add_special_tokens=False)], self.b.encode(texts, num_threads=1))):
+        for side, found in enumerate((self.a_ids(full, quick), self.b.encode(texts, num_threads=1))):
             flat.append(list(itertools.chain.from_iterable(found)))
             tokens = self.transducer.tokens[side]
             if b"".join([tokens[i] for i in flat[side]]) != data:
@@ -199,8 +208,8 @@ class Pair:
             i, j, g = k, m, h
         return out
 
-    def align_words(self, words: list[str]) -> list[tuple[bytes, bytes, int]]:
-        """Results of words that begin and end with characters at which texts are cut; blocks of them are encoded as one text."""
+    def align_words(self, words: list[str], quick: bool) -> list[tuple[bytes, bytes, int]]:
+        """Results of words that begin and end with characters at which texts are cut; blocks of them are encoded as one text, `quick` if they are short and ASCII."""
         blocks, sizes, size = [[]], [len(w.encode()) + 1 for w in words], 0
         for word, n in zip(words, sizes):
             if size > BLOCK:
@@ -208,7 +217,7 @@ class Pair:
                 size = 0
             blocks[-1].append(word)
             size += n
-        found = self.align([" ".join(b) for b in blocks], sizes) if words else []
+        found = self.align([" ".join(b) for b in blocks], sizes, quick) if words else []
         if found is None:
             found = [(self.align([w], [n]) or [(b"", b"", MISSPELLED)])[0] for w, n in zip(words, sizes)]
         return found
@@ -233,8 +242,11 @@ class Pair:
             if not ok:
                 kept.add(w, (b"", b"", IRREGULAR))
         words = list(itertools.compress(fresh, joined))
-        for w, result in zip(words, self.align_words(words)):
-            kept.add(w, result)
+        plain = [w.isascii() and len(w) <= KEPT_CHARS for w in words]
+        for quick in (True, False):
+            part = [w for w, p in zip(words, plain) if p == quick]
+            for w, result in zip(part, self.align_words(part, quick)):
+                kept.add(w, result)
         groups, links, counts = (column.__getitem__ for column in kept.results)
         find, out = kept.index.__getitem__, []
         for text, words in zip(texts, split):
@@ -251,6 +263,29 @@ class Pair:
         return out
 
 
+def quick_encoder(byte_path: str):
+    """A function from ASCII text to the ids of A, by the file's own ranks; None if the file parts words otherwise or its ids aren't in the order of its merges.
+
+    On ASCII both libraries part words alike, as their tables of letters and digits agree there.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    with open(byte_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = spec["pre_tokenizer"] or {}
+    if spec["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    model = spec["model"]
+    raw = {s: i for i, s in enumerate(byte_symbols())}
+    made = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    vocab = model["vocab"]
+    if any(vocab[a + b] != 256 + k for k, (a, b) in enumerate(made)) or any(vocab[c] >= 256 for c in raw):
+        return None
+    ranks = {bytes(raw[c] for c in token): i for token, i in vocab.items() if i < 256 + len(made)}
+    return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 @functools.lru_cache(maxsize=1)
 def load(byte_path: str, piece_path: str) -> Pair:
     return Pair(byte_path, piece_path)
@@ -269,7 +304,7 @@ def align_groups(docs: DataFrame, byte_path: str | None = None, piece_path: str
         ids = lambda s: [int(x) for x in s.split(",")]
         for batch in batches:
             groups = []
-            for texts in _slices([t or "" for t in batch["text"]]):
+            for texts in _slices([t or "" for t in batch["text"]], SLICE_CHARS):
                 for text, got in zip(texts, pair.align_texts(texts)):
                     groups.append([dict(zip(("a", "b"), map(ids, g.split("|")))) for g in got.groups.decode().split(";")] if text and got else None)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "groups": pd.Series(groups, dtype=object)})
@@ -285,7 +320,7 @@ def linked(docs: DataFrame, byte_path: str | None = None, piece_path: str | None
         pair = load(*paths)
         for batch in batches:
             ids, at = batch["doc_id"].astype("Int64").array, 0
-            for texts in _slices([t or "" for t in batch["text"]]):
+            for texts in _slices([t or "" for t in batch["text"]], SLICE_CHARS):
                 out = [(g.n_a, g.n_b, len(g.links) // 4, hashlib.sha256(g.groups).hexdigest(), g.links) if t and g else (0, 0, 0, "", b"")
                        for t, g in zip(texts, pair.align_texts(texts))]
                 out = pd.DataFrame(out, columns=["n_a", "n_b", "n_groups", "groups_sha256", "links"])
