@@ -46,4 +46,4 @@ EVENTS_SQL = "ev AS (SELECT event_id, user_id, event_type, value, CAST(epoch_us(
 HOUR = 3_600_000
 
 
-from spanloom.plans import analytic, audits, behaviour, evaluation, grouped, kernels, models, relational, scalars, spectral, vitals  # noqa: E402,F401
+from spanloom.plans import analytic, audits, behaviour, evaluation, grouped, kernels, models, phase, relational, scalars, spectral, vitals  # noqa: E402,F401
