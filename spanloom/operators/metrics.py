@@ -10,15 +10,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.windows import average_rank
-
 
 def roc_auc(df: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
-    """(by, n, auc): rank-sum AUC, ties half; null where a class is missing."""
-    ranked = df.select(*by, F.col(label).cast("double").alias("y"), average_rank(by, score).alias("r"))
-    pos, n = F.sum("y"), F.count("*")
-    return ranked.groupBy(*by).agg(n.alias("n"), ((F.sum(F.col("y") * F.col("r")) - pos * (pos + 1) / 2)
-                                                  / F.nullif(pos * (n - pos), F.lit(0.0))).alias("auc"))
+    """(by, n, auc): rank-sum AUC, ties half; null where a class is missing.
+
+    Rows are first counted by score, so the window runs over the distinct scores of a key.
+    """
+    cells = df.select(*by, F.col(score).alias("__s"), F.col(label).cast("double").alias("__y")).groupBy(*by, "__s").agg(
+        F.sum("__y").alias("__p"), F.count("*").alias("__n"))
+    rank = F.sum("__n").over(Window.partitionBy(*by).orderBy("__s")) - (F.col("__n") - 1) / 2
+    pos, n = F.sum("__p"), F.sum("__n")
+    return cells.withColumn("__r", rank).groupBy(*by).agg(n.alias("n"), ((F.sum(F.col("__p") * F.col("__r")) - pos * (pos + 1) / 2)
+                                                                         / F.nullif(pos * (n - pos), F.lit(0.0))).alias("auc"))
 
 
 def average_precision(df: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
@@ -77,11 +80,13 @@ def bootstrap_spearman(df: DataFrame, cluster: str, x: str, y: str, replicates:
     """(rho, low, high): Spearman's correlation with the 95 % interval of a cluster bootstrap.
 
     In a replicate a row counts as often as its cluster is drawn: ranks are weighted mean ranks, from sums over the
-    distinct values, and the correlation is that of the weighted ranks.
+    distinct values, and the correlation is that of the weighted ranks. Rows are counted by cluster and values before
+    they meet the replicates.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(cluster, F.col(x).alias("x"), F.col(y).alias("y"))
-    drawn = rows.join(bootstrap_weights(rows, cluster, replicates, seed), cluster).select("rep", "weight", "x", "y")
-    every = rows.select(F.lit(-1).alias("rep"), F.lit(1).alias("weight"), "x", "y").union(drawn)
+    cells = rows.groupBy(cluster, "x", "y").agg(F.count("*").alias("n"))
+    drawn = cells.join(bootstrap_weights(cells, cluster, replicates, seed), cluster).select("rep", (F.col("weight") * F.col("n")).alias("weight"), "x", "y")
+    every = cells.select(F.lit(-1).alias("rep"), F.col("n").alias("weight"), "x", "y").union(drawn)
 
     def ranks(column: str) -> DataFrame:
         steps = every.groupBy("rep", column).agg(F.sum("weight").alias("n"))
@@ -103,13 +108,15 @@ def paired_bootstrap_auc(df: DataFrame, cluster: str, label: str, first: str, se
     """(delta, low, high): difference of the AUCs of two scores, with a paired cluster bootstrap.
 
     A replicate weighs rows by the draws of their cluster. AUC with weights: the share of weighted
-    positive-negative pairs in order, ties half.
+    positive-negative pairs in order, ties half. Rows are summed by cluster and score before they meet
+    the replicates.
     """
     rows = df.select(cluster, F.col(label).cast("double").alias("y"), F.col(first).alias("__a"), F.col(second).alias("__b"))
-    drawn = rows.join(bootstrap_weights(rows, cluster, replicates, seed), cluster)
-    every = rows.withColumn("rep", F.lit(-1)).withColumn("weight", F.lit(1))
-    long = every.select(*drawn.columns).union(drawn).unpivot(["rep", "y", "weight"], ["__a", "__b"], "arm", "score")
-    steps = long.groupBy("rep", "arm", "score").agg(F.sum(F.col("y") * F.col("weight")).alias("p"), F.sum((1 - F.col("y")) * F.col("weight")).alias("q"))
+    cells = rows.unpivot([cluster, "y"], ["__a", "__b"], "arm", "score").groupBy(cluster, "arm", "score").agg(
+        F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    drawn = cells.join(bootstrap_weights(cells, cluster, replicates, seed), cluster)
+    every = cells.withColumn("rep", F.lit(-1)).withColumn("weight", F.lit(1)).select(*drawn.columns).union(drawn)
+    steps = every.groupBy("rep", "arm", "score").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in "pq"])
     below = F.sum("q").over(Window.partitionBy("rep", "arm").orderBy("score")) - F.col("q") / 2
     auc = steps.withColumn("__s", F.col("p") * below).groupBy("rep", "arm").agg(
         (F.sum("__s") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0.0))).alias("auc"))

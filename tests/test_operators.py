@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,32 @@ def test_paired_bootstrap_of_one_score_is_zero(spark):
     assert (got.delta, got.low, got.high) == (0, 0, 0)
 
 
+def test_bootstraps_against_drawn_rows(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("abcd"), rng.randrange(2), rng.randrange(5), rng.choice([None, 1, 2, 3]), rng.randrange(4)) for _ in range(70)]
+    d = spark.createDataFrame(rows, "c string, y int, p int, x int, q int")
+    draws = {(r[0], r.rep): r.weight for r in metrics.bootstrap_weights(d, "c", 15, 5).collect()}
+
+    def drawn(rep):
+        return [r for r in rows for _ in range(1 if rep < 0 else draws.get((r[0], rep), 0))]
+
+    def auc(sample, at):
+        pos, neg = ([r[at] for r in sample if r[1] == k] for k in (1, 0))
+        return sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+
+    def rho(sample):
+        x, q = zip(*[(r[3], r[4]) for r in sample if r[3] is not None])
+        ranks = [[sum(b < a for b in v) + (sum(b == a for b in v) + 1) / 2 for a in v] for v in (x, q)]
+        return np.corrcoef(*ranks)[0, 1]
+
+    got = metrics.paired_bootstrap_auc(d, "c", "y", "p", "q", 15, 5).first()
+    deltas = [auc(drawn(i), 4) - auc(drawn(i), 2) for i in range(-1, 15)]
+    assert tuple(got) == pytest.approx((deltas[0], *np.percentile(deltas[1:], [2.5, 97.5])))
+    got = metrics.bootstrap_spearman(d, "c", "x", "q", 15, 5).first()
+    rhos = [rho(drawn(i)) for i in range(-1, 15)]
+    assert tuple(got) == pytest.approx((rhos[0], *np.percentile(rhos[1:], [2.5, 97.5])))
+
+
 def test_folds_are_disjoint(spark):
     d = spark.createDataFrame([(i % 13, i % 2) for i in range(100)], "g int, y int")
     rows = d.join(metrics.group_folds(d, "g", "y"), "g")
