@@ -224,10 +224,13 @@ def inside_fences(df: DataFrame, by: Sequence[str], value: str, reach: float = 1
 
 
 def jump_mask(by: Sequence[str], order: Sequence[str], value: str, share: float = 0.2) -> tuple[Column, Column]:
-    """Whether a row jumps from the one before, or the next jumps from it, by over a share of the earlier value."""
+    """Whether a row jumps from the one before, or the next jumps from it, by over a share of the earlier value. Any step from 0 is a jump."""
     w = Window.partitionBy(*by).orderBy(*order)
-    here = F.abs(F.col(value) - F.lag(value).over(w)) / F.lag(value).over(w) > share
-    ahead = F.abs(F.lead(value).over(w) - F.col(value)) / F.col(value) > share
+
+    def jumps(earlier: Column, later: Column) -> Column:
+        return F.when(earlier == 0, later != 0).otherwise(F.abs(later - earlier) / earlier > share)
+
+    here, ahead = jumps(F.lag(value).over(w), F.col(value)), jumps(F.col(value), F.lead(value).over(w))
     return F.coalesce(here, F.lit(False)), F.coalesce(ahead, F.lit(False))
 
 

@@ -299,3 +299,11 @@ def test_newton_sums_equal_one_fit(spark):
             p = 1 / (1 + np.exp(-z[train] @ b))
             b = b + np.linalg.solve((z[train].T * (w[train] * p * (1 - p))) @ z[train] + penalty, z[train].T @ (w[train] * (y[train] - p)) - penalty @ b)
         assert all(abs(got[i] - 1 / (1 + np.exp(-z[i] @ b))) < 1e-7 for i in range(120) if i % 4 == f)
+
+
+def test_any_step_from_zero_is_a_jump(spark):
+    d = spark.createDataFrame([("a", i, v) for i, v in enumerate((0.0, 0.0, 5.0, 5.5, 0.0, None, 3.0))], "k string, i int, v double")
+    here, ahead = windows.jump_mask(["k"], ["i"], "v")
+    got = d.select("i", here.alias("here"), ahead.alias("ahead")).orderBy("i").collect()
+    assert [r.here for r in got] == [False, False, True, False, True, False, False]
+    assert [r.ahead for r in got] == [False, True, False, True, False, False, False]
