@@ -135,10 +135,11 @@ def best_and_margin(df: DataFrame, by: Sequence[str], value: str, label: str) ->
 
 def benjamini_hochberg(df: DataFrame, by: Sequence[str], p: str, tie: str) -> DataFrame:
     """`df` with q: adjusted p-values within the group, ordered by p, then `tie`."""
-    w = Window.partitionBy(*by).orderBy(p, tie)
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last(p), tie)
     raw = F.col(p) * F.count(F.lit(1)).over(Window.partitionBy(*by)) / F.row_number().over(w)
     marked = df.withColumn("__raw", raw)
-    suffix = w.rowsBetween(0, Window.unboundedFollowing)
+    # Spark walks all later rows anew for each row of a frame up to the last one; the reverse order's frame runs on
+    suffix = Window.partitionBy(*by).orderBy(F.desc_nulls_first(p), F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
     return marked.withColumn("q", F.least(F.min("__raw").over(suffix), F.lit(1.0))).drop("__raw")
 
 
