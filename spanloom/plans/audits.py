@@ -145,7 +145,9 @@ def artifact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, CASE WHEN v / 2 BETWEEN 10 AND 200 AND abs(v / 2 - m) <= 0.2 * m THEN {q6('v / 2')} WHEN v * 2 BETWEEN 10 AND 200 AND abs(v * 2 - m) <= 0.2 * m THEN {q6('v * 2')}
  ELSE {q6('v')} END AS rate, coalesce(v / 2 BETWEEN 10 AND 200 AND abs(v / 2 - m) <= 0.2 * m OR v * 2 BETWEEN 10 AND 200 AND abs(v * 2 - m) <= 0.2 * m, false) AS folded FROM a""")
 def harmonic_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = events(spark, sf_dir).select("event_id", F.col("value").alias("v"), F.avg("value").over(Window.partitionBy("user_id")).alias("m"))
+    # summed in the order of ids: at the very edge of the share the last bit of the mean decides, whatever order a shuffle brings
+    whole = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    a = events(spark, sf_dir).select("event_id", F.col("value").alias("v"), F.avg("value").over(whole).alias("m"))
     rate, folded = A.harmonic_fold(F.col("v"), F.col("m"), 10, 200)
     return a.select("event_id", r6(rate).alias("rate"), folded.alias("folded"))
 
