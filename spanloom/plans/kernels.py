@@ -206,8 +206,11 @@ def interval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, day, {q6('CASE WHEN v < 45 AND v * 2 <= 95 THEN v * 2 ELSE v END')} AS rate, coalesce(v < 45 AND v * 2 <= 95, false) AS doubled,
  CASE WHEN n < 2 THEN 'too_few' WHEN v / nullif(sd, 0) < 1 THEN 'weak' WHEN span < {2 * HOUR} THEN 'static' WHEN v IS NULL THEN 'missing' ELSE 'usable' END AS verdict FROM w""")
 def window_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = events(spark, sf_dir).groupBy("user_id", F.expr(f"ms div {24 * HOUR}").alias("day")).agg(
-        F.avg("value").alias("v"), F.stddev_samp("value").alias("sd"), F.count("*").alias("n"), (F.max("ms") - F.min("ms")).alias("span"))
+    # a day's mean is summed in order, so that one of exactly 45 doesn't hang on the order that a shuffle brings
+    e = events(spark, sf_dir).withColumn("day", F.expr(f"ms div {24 * HOUR}"))
+    whole = Window.partitionBy("user_id", "day").orderBy("ms", "event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = e.withColumn("v", F.avg("value").over(whole)).groupBy("user_id", "day").agg(
+        F.first("v").alias("v"), F.stddev_samp("value").alias("sd"), F.count("*").alias("n"), (F.max("ms") - F.min("ms")).alias("span"))
     v = F.col("v")
     low = (v < 45) & (v * 2 <= 95)
     rules = [(F.col("n") < 2, "too_few"), (v / F.nullif("sd", F.lit(0.0)) < 1, "weak"), (F.col("span") < 2 * HOUR, "static"), (v.isNull(), "missing")]
