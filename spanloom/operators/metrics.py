@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,23 +56,37 @@ def confusion_suite(df: DataFrame, by: Sequence[str], label: str, score: str, th
 POISSON = [round(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)), 12) for k in range(9)]
 
 
-def bootstrap_weights(clusters: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """(key, rep, weight): how often each cluster is drawn in each replicate, 0 left out.
+def drawn_rows(rows: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
+    """`rows` once for each replicate that draws their cluster, with rep and weight: how often it is drawn there. Rows without a cluster are never drawn.
 
     Weights are Poisson variables of mean 1 whose chance is the digest of seed, replicate and key, so
     the same draws come again on any cluster and for both arms of a comparison, and no cluster has to be
-    numbered or counted: every row makes its own.
+    numbered, counted or joined to its draws: every row makes its own. (Spark takes an exploded table for as small as what it was exploded from, and
+    would send a table of draws to every executor by way of the driver.)
     """
-    drawn = clusters.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    u = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "rep", key).cast("binary")), 1, 12), 16, 10).cast("long") / float(1 << 48)
-    weight = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
-    return drawn.select(key, "rep", weight.alias("weight")).where("weight > 0")
+    @F.pandas_udf("array<tinyint>")
+    def weights(keys: pd.Series) -> pd.Series:
+        at, names = pd.factorize(keys)
+        heads = (int.from_bytes(hashlib.md5(f"{seed}-{rep}-{name}".encode()).digest()[:6], "big") for name in names for rep in range(replicates))
+        chances = np.fromiter(heads, np.int64, len(names) * replicates).reshape(len(names), replicates) / float(1 << 48)
+        return pd.Series(list(np.searchsorted(POISSON, chances, "right").astype(np.int8)[at]))
+
+    # grouped rows are few bytes, which adaptive execution would gather in one task
+    spread = rows.where(F.col(key).isNotNull()).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    # the outer form: of the plain one Spark infers a filter on the array, which it pushes below the grouping, where every row would make its draws
+    drawn = spread.withColumn("__w", weights(F.col(key).cast("string"))).select(*rows.columns, F.posexplode_outer("__w").alias("rep", "weight"))
+    return drawn.where("weight > 0").withColumn("weight", F.col("weight").cast("int"))
+
+
+def bootstrap_weights(clusters: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
+    """(key, rep, weight): how often each cluster is drawn in each replicate, 0 left out."""
+    return drawn_rows(clusters.select(key).distinct(), key, replicates, seed)
 
 
 def bootstrap_interval(df: DataFrame, cluster: str, value: str, replicates: int = 1000, seed: int = 20260826) -> DataFrame:
     """(mean, low, high): a mean with the 95 % interval of a cluster bootstrap."""
     sums = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    reps = sums.join(bootstrap_weights(sums, cluster, replicates, seed), cluster).groupBy("rep").agg(
+    reps = drawn_rows(sums, cluster, replicates, seed).groupBy("rep").agg(
         (F.sum(F.col("s") * F.col("weight")) / F.sum(F.col("n") * F.col("weight"))).alias("m"))
     q = reps.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return sums.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(q).select("mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
@@ -85,7 +101,7 @@ def bootstrap_spearman(df: DataFrame, cluster: str, x: str, y: str, replicates:
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(cluster, F.col(x).alias("x"), F.col(y).alias("y"))
     cells = rows.groupBy(cluster, "x", "y").agg(F.count("*").alias("n"))
-    drawn = cells.join(bootstrap_weights(cells, cluster, replicates, seed), cluster).select("rep", (F.col("weight") * F.col("n")).alias("weight"), "x", "y")
+    drawn = drawn_rows(cells, cluster, replicates, seed).select("rep", (F.col("weight") * F.col("n")).alias("weight"), "x", "y")
     every = cells.select(F.lit(-1).alias("rep"), F.col("n").alias("weight"), "x", "y").union(drawn)
 
     def ranks(column: str) -> DataFrame:
@@ -114,7 +130,7 @@ def paired_bootstrap_auc(df: DataFrame, cluster: str, label: str, first: str, se
     rows = df.select(cluster, F.col(label).cast("double").alias("y"), F.col(first).alias("__a"), F.col(second).alias("__b"))
     cells = rows.unpivot([cluster, "y"], ["__a", "__b"], "arm", "score").groupBy(cluster, "arm", "score").agg(
         F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    drawn = cells.join(bootstrap_weights(cells, cluster, replicates, seed), cluster)
+    drawn = drawn_rows(cells, cluster, replicates, seed)
     every = cells.withColumn("rep", F.lit(-1)).withColumn("weight", F.lit(1)).select(*drawn.columns).union(drawn)
     steps = every.groupBy("rep", "arm", "score").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in "pq"])
     below = F.sum("q").over(Window.partitionBy("rep", "arm").orderBy("score")) - F.col("q") / 2
