@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,23 +65,76 @@ def crosstab_shares(df: DataFrame, row: str, column: str, values: Sequence) -> D
     return wide.select(row, *[(F.col(f"`{v}`") / total).alias(f"share_{v}") for v in values])
 
 
-def error_metrics(estimate: str, reference: str) -> list[Column]:
-    """n, MAE, median AE, bias, RMSE, P90 and largest AE, within 5, 10 and 20, Pearson, coverage."""
+#: Equal widths that the values of a group are cut into to find the rows near a percentile.
+WIDTHS = 1 << 14
+
+
+def percentiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(by, percentiles): exact interpolated percentiles of few and large groups, an array in the order of `shares`; groups without a value have no row.
+
+    Rows are counted in equal widths between a group's ends; only the rows of the widths that hold the wanted ranks are then
+    counted by value, so no task gathers a group's values. Null keys are a group.
+    """
+    rows = df.select(*by, F.col(value).cast("double").alias("__v")).where("__v is not null")
+    ends = rows.groupBy(*by).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.count("*").alias("__all"))
+    keys = [F.col(c).alias(f"__k{k}") for k, c in enumerate(by)]
+
+    def beside(left: DataFrame, right: DataFrame, *extra: Column) -> DataFrame:
+        same = [F.col(c).eqNullSafe(F.col(f"__k{k}")) for k, c in enumerate(by)]
+        return left.join(F.broadcast(right), functools.reduce(lambda x, y: x & y, [*same, *extra])).drop(*[f"__k{k}" for k in range(len(by))])
+
+    part = (F.col("__v") - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0)) * WIDTHS
+    width = F.least(F.floor(F.nanvl(F.coalesce(part, F.lit(0.0)), F.lit(0.0))), F.lit(WIDTHS - 1))
+    cut = beside(rows, ends.select(*keys, "__low", "__high")).select(*by, "__v", width.alias("__w"))
+    places = ends.select(*by, F.posexplode(F.array(*[(F.col("__all") - 1) * F.lit(float(p)) for p in shares])).alias("__p", "__at"))
+    places = places.withColumns({"__first": F.floor("__at"), "__second": F.ceil("__at")})
+
+    def reached(rank: str) -> Column:
+        return (F.col(rank) >= F.col("__before")) & (F.col(rank) < F.col("__before") + F.col("__n"))
+
+    counts = cut.groupBy(*by, "__w").agg(F.count("*").alias("__n"))
+    counts = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(*by).orderBy("__w")) - F.col("__n"))
+    wanted = beside(counts, places.select(*keys, "__first", "__second"), reached("__first") | reached("__second")).select(*by, "__w", "__before").distinct()
+    near = beside(cut, wanted.select(*keys, F.col("__w").alias("__x"), "__before"), F.col("__w") == F.col("__x")).groupBy(*by, "__w", "__before", "__v").agg(F.count("*").alias("__n"))
+    ahead = F.sum("__n").over(Window.partitionBy(*by, "__w").orderBy("__v")) - F.col("__n")
+    near = near.withColumn("__before", F.col("__before") + ahead)
+    found = beside(near, places.select(*keys, "__p", "__at", "__first", "__second"), reached("__first") | reached("__second"))
+    first, second = F.max(F.when(reached("__first"), F.col("__v"))), F.max(F.when(reached("__second"), F.col("__v")))
+    share = F.col("__at") - F.col("__first")
+    one = found.groupBy(*by, "__p", "__at", "__first").agg(first.alias("__f"), second.alias("__s"))
+    one = one.select(*by, "__p", F.when(F.col("__f") == F.col("__s"), F.col("__f")).otherwise((1 - share) * F.col("__f") + share * F.col("__s")).alias("__v"))
+    return one.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__p", "__v"))).getField("__v").alias("percentiles"))
+
+
+def with_percentiles(grouped: DataFrame, df: DataFrame, by: Sequence[str], value: str, names: dict[str, float]) -> DataFrame:
+    """`grouped`, one row for each group of `df`, with percentiles of a value under `names`."""
+    found = percentiles(df, by, value, list(names.values())).select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(by)], "percentiles")
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__k{k}")) for k, c in enumerate(by)])
+    return grouped.join(F.broadcast(found), same, "left").select(*grouped.columns, *[F.col("percentiles")[k].alias(n) for k, n in enumerate(names)])
+
+
+def error_metrics(df: DataFrame, by: Sequence[str], estimate: str, reference: str) -> DataFrame:
+    """(by, n, MAE, median AE, bias, RMSE, P90 and largest AE, within 5, 10 and 20, Pearson, coverage), for few and large groups."""
     e = F.col(estimate) - F.col(reference)
     ae = F.abs(e)
-    return [F.count(e).alias("n"), F.avg(ae).alias("mae"), F.median(ae).alias("median_ae"), F.avg(e).alias("bias"),
-            F.sqrt(F.avg(e * e)).alias("rmse"), F.percentile(ae, 0.9).alias("p90_ae"), F.max(ae).alias("max_ae"),
+    sums = df.groupBy(*by).agg(F.count(e).alias("n"), F.avg(ae).alias("mae"), F.avg(e).alias("bias"),
+            F.sqrt(F.avg(e * e)).alias("rmse"), F.max(ae).alias("max_ae"),
             F.count_if(ae <= 5).alias("within_5"), F.count_if(ae <= 10).alias("within_10"), F.count_if(ae <= 20).alias("within_20"),
-            F.corr(estimate, reference).alias("pearson"), (F.count(e) / F.count("*")).alias("coverage")]
+            F.corr(estimate, reference).alias("pearson"), (F.count(e) / F.count("*")).alias("coverage"))
+    sums = with_percentiles(sums, df.withColumn("__ae", ae), by, "__ae", {"median_ae": 0.5, "p90_ae": 0.9})
+    return sums.select(*by, "n", "mae", "median_ae", "bias", "rmse", "p90_ae", "max_ae", "within_5", "within_10", "within_20", "pearson", "coverage")
 
 
 def paired_delta(df: DataFrame, by: Sequence[str], first: str, second: str, reference: str, tolerance: float = 1e-9) -> DataFrame:
-    """Mean and median of |second - ref| - |first - ref|, and how often the second is better, tied, worse."""
+    """Mean and median of |second - ref| - |first - ref|, and how often the second is better, tied, worse, for few and large groups."""
     delta = F.abs(F.col(second) - F.col(reference)) - F.abs(F.col(first) - F.col(reference))
-    return df.where(delta.isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(delta).alias("mean_delta"), F.median(delta).alias("median_delta"),
-        F.count_if(delta < -tolerance).alias("better"), F.count_if(F.abs(delta) <= tolerance).alias("tied"),
-        F.count_if(delta > tolerance).alias("worse"))
+    rows = df.withColumn("__d", delta).where("__d is not null")
+    sums = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg("__d").alias("mean_delta"),
+        F.count_if(F.col("__d") < -tolerance).alias("better"), F.count_if(F.abs("__d") <= tolerance).alias("tied"),
+        F.count_if(F.col("__d") > tolerance).alias("worse"))
+    found = with_percentiles(sums, rows, by, "__d", {"median_delta": 0.5})
+    return found.select(*by, "n", "mean_delta", "median_delta", "better", "tied", "worse")
 
 
 def bias_shares(df: DataFrame, by: str, error: str) -> DataFrame:

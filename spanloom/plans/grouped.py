@@ -70,7 +70,7 @@ def crosstab_row_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
  count(*) FILTER (abs(fused - ref) <= 20) AS within_20, {q6('corr(fused, ref)')} AS pearson, {q6('1.0')} AS coverage FROM es GROUP BY 1""")
 def band_error_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = estimates(spark, sf_dir).withColumn("band", X.band(F.col("l_quantity"), BANDS, closed_last=True))
-    m = e.groupBy("band").agg(*A.error_metrics("fused", "ref"))
+    m = A.error_metrics(e, ["band"], "fused", "ref")
     whole = ("band", "n", "within_5", "within_10", "within_20")
     return m.select(*[F.col(c) if c in whole else r6(c).alias(c) for c in m.columns])
 

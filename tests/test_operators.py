@@ -354,3 +354,18 @@ def test_adjusted_p_values_use_running_frames(spark):
     assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower().replace("unboundedpreceding$(), unboundedfollowing$()", "")
     got = {r.i: r.q for r in out.collect()}
     assert [got[i] and round(got[i], 6) for i in range(6)] == [0.06, 0.006, 1.0, 0.06, 0.06, 1.0]
+
+
+def test_percentiles_of_large_groups_are_exact_and_gathered_by_no_task(spark):
+    rng = np.random.default_rng(3)
+    values = {"a": rng.normal(size=2001), "b": rng.exponential(size=500) ** 9, None: np.repeat([2.0, 3.0], [7, 4]), "d": np.array([5.0]), "e": np.array([-1.0, float("inf"), 4.0]), "f": np.array([])}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("f", None)]
+    d = spark.createDataFrame(rows, "k string, v double")
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.k: r.percentiles for r in aggregates.percentiles(d, ["k"], "v", shares).collect()}
+    want = {r.k: r.q for r in d.where("v is not null").groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect()}
+    assert got == want
+    e = d.where("k = 'a'").withColumn("ref", F.lit(0.0))
+    for made in (aggregates.error_metrics(e, ["k"], "v", "ref"), aggregates.paired_delta(e, ["k"], "v", "ref", "ref")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "percentile(" not in plan and "median(" not in plan
