@@ -34,9 +34,9 @@ def behaviour_features(windows: DataFrame, keys: Sequence[str], time: str, rt: s
 
 
 def describe(df: DataFrame, by: Sequence[str], value: str, person: str) -> DataFrame:
-    """n, distinct persons, mean, sd and median of each group; null keys are a group."""
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct(person).alias("n_people"), F.avg(value).alias("mean"),
-                               F.stddev_samp(value).alias("sd"), F.median(value).alias("median"))
+    """n, distinct persons, mean, sd and median of few and large groups; null keys are a group."""
+    sums = df.groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct(person).alias("n_people"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    return with_percentiles(sums, df, by, value, {"median": 0.5})
 
 
 def with_total(df: DataFrame, by: str, aggregates: Sequence[Column], label: str = "all") -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.aggregates import percentiles
+
 
 def position_share(by: Sequence[str], order: Sequence[str]) -> Column:
     """Zero-based position over the last position of the group; 0 for a single row."""
@@ -218,8 +220,8 @@ def jackknife_correlation(df: DataFrame, by: Sequence[str], x: str, y: str) -> D
 
 
 def inside_fences(df: DataFrame, by: Sequence[str], value: str, reach: float = 1.5) -> DataFrame:
-    """Rows within reach * IQR of the quartiles of their group."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
+    """Rows within reach * IQR of the quartiles of their group, for few and large groups."""
+    q = percentiles(df, by, value, (0.25, 0.75)).withColumnRenamed("percentiles", "__q")
     lo, hi = F.col("__q")[0], F.col("__q")[1]
     return df.join(q, list(by)).where(F.col(value).between(lo - reach * (hi - lo), hi + reach * (hi - lo))).drop("__q")
 

@@ -125,8 +125,9 @@ def equal_width_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT event_type, {', '.join(f"{q6(f'quantile_cont(value, {q})')} AS q{int(q * 100)}" for q in (0.25, 0.5, 0.75))} FROM events GROUP BY 1""")
 def quantile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = events(spark, sf_dir).groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return q.select("event_type", *[r6(F.col("q")[i]).alias(f"q{p}") for i, p in enumerate((25, 50, 75))])
+    e = events(spark, sf_dir)
+    q = A.with_percentiles(e.select("event_type").distinct(), e, ["event_type"], "value", {f"q{p}": p / 100 for p in (25, 50, 75)})
+    return q.select("event_type", *[r6(f"q{p}").alias(f"q{p}") for p in (25, 50, 75)])
 
 
 @query(f"""WITH {EVENTS_SQL}, g AS (SELECT user_id, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) AS gap FROM ev)

@@ -366,7 +366,7 @@ def test_percentiles_of_large_groups_are_exact_and_gathered_by_no_task(spark):
     want = {r.k: r.q for r in d.where("v is not null").groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect()}
     assert got == want
     e = d.where("k = 'a'").withColumn("ref", F.lit(0.0))
-    for made in (aggregates.error_metrics(e, ["k"], "v", "ref"), aggregates.paired_delta(e, ["k"], "v", "ref", "ref")):
+    for made in (aggregates.error_metrics(e, ["k"], "v", "ref"), aggregates.paired_delta(e, ["k"], "v", "ref", "ref"), aggregates.describe(e, ["k"], "v", "ref"), windows.inside_fences(e, ["k"], "v")):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "percentile(" not in plan and "median(" not in plan
 
