@@ -584,6 +584,23 @@ def test_a_large_family_takes_few_checks(spark):
     assert {r.component for r in classes.collect()} == {min(r.id for r in rows.collect())} and classes.count() == 600
 
 
+def test_lines_run_no_python_and_make_no_row_of_a_pair_that_is_not_similar(spark):
+    d = spark.createDataFrame([(1, "one line of some length\nshort"), (2, "one line of some length!")], "doc_id long, text string")
+    rows = lines.lines_of(d)
+    assert "Python" not in lines.with_signatures(rows)._jdf.queryExecution().toString()
+    rng = random.Random(37)
+    base = [rng.choice("abcdefghijklmnop") for _ in range(300)]
+    # any two copies are alike by their sizes and bits, but only those of one number are similar
+    texts = ["".join(c if k % 60 != i % 60 else rng.choice("qrstuvwxyz") for k, c in enumerate(base)) + "~" * (i // 60) for i in range(120)]
+    sets = [shingle_set(t) for t in texts]
+    item = "struct<id:long,size:long,bits:long,label:long,text:string>"
+    items = [(i, len(x), 0, i, t) for i, (x, t) in enumerate(zip(sets, texts))]
+    groups = spark.createDataFrame([(1, 0, 0, items, items)], f"key long, i int, j int, first array<{item}>, second array<{item}>")
+    got = {tuple(r) for r in buckets.open_links(groups, lines.alike, lines.shingle_hashes, lines.similar).collect()}
+    want = {(a, b) for a in range(120) for b in range(a + 1, 120) if lines.linked(frozenset(sets[a]), frozenset(sets[b]))}
+    assert got == want and want
+
+
 def test_lines_of_one_hash_are_told_apart(spark, monkeypatch):
     texts = ["the first of two lines that clash", "another line altogether, of that hash", "the first of two lines that clash", "the first of two lines that clash!"]
     plain = lines.lines_of
