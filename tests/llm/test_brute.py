@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanloom.llm import alignment, bitslice, bpe, buckets, decontaminate, html_text, langid, licenses, lines, matroska, quality, queries, secrets, simhash, suffix_array, vector_codes
+from spanloom.llm import alignment, bitslice, bpe, buckets, common, decontaminate, html_text, langid, licenses, lines, matroska, quality, queries, secrets, simhash, suffix_array, vector_codes
 from spanloom.llm.common import connected_components, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -112,6 +112,28 @@ def test_components_equal_union_find(spark):
     assert got == components({x for e in edges for x in e}, edges)
 
 
+def test_rounds_of_few_edges_leave_few_files(spark, monkeypatch):
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, files, cut = {k: spark.conf.get(k) for k in held}, [], common.cut
+
+    def counted(df):
+        out = cut(df)
+        files.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(common, "cut", counted)
+    edges = [(i, i + 1) for i in range(30)] + [(100, 101 + i) for i in range(30)]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == components({x for e in edges for x in e}, edges)
+    assert len(files) > 1 and max(files[1:]) <= spark.sparkContext.defaultParallelism < 40
+
+
 def word_shingles(text):
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
@@ -601,6 +623,15 @@ def test_lines_run_no_python_and_make_no_row_of_a_pair_that_is_not_similar(spark
     assert got == want and want
 
 
+def test_a_chunk_that_meets_itself_is_hashed_once(spark):
+    item = "struct<id:long,size:long,bits:long,label:long,text:string>"
+    rows = [(1, i, j, [(1, 9, 0, 1, "one line of some length")], [(k, 9, 0, 2, "one line of some length!")]) for i, j, k in ((0, 1, 2), (0, 0, 3))]
+    groups = spark.createDataFrame(rows, f"key long, i int, j int, first array<{item}>, second array<{item}>")
+    got = {tuple(r) for r in buckets.open_links(groups, lines.alike, lines.shingle_hashes, lines.similar).collect()}
+    # of the group (0, 0) only the first side is read, and an item makes no pair with itself
+    assert got == {(1, 2)}
+
+
 def test_lines_of_one_hash_are_told_apart(spark, monkeypatch):
     texts = ["the first of two lines that clash", "another line altogether, of that hash", "the first of two lines that clash", "the first of two lines that clash!"]
     plain = lines.lines_of
