@@ -632,6 +632,27 @@ def test_a_chunk_that_meets_itself_is_hashed_once(spark):
     assert got == {(1, 2)}
 
 
+@pytest.mark.parametrize("sides", [1, 2])
+def test_large_groups_make_a_row_of_two_components_and_miss_none(spark, sides):
+    rng = random.Random(41)
+    texts = []
+    for _ in range(3):
+        base = [rng.choice("abcdefghijklmnop") for _ in range(200)]
+        texts += ["".join(rng.choice("qrstuvwxyz") if rng.random() < rate else c for c in base) for rate in [0.01] * 40 + [0.04] * 20 + [0.2] * 5]
+    sets = [shingle_set(t) for t in texts]
+    label = [k // 65 * 65 if k % 65 < 20 else k // 65 * 65 + 20 if k % 65 < 40 else k for k in range(len(texts))]
+    items = [(k, len(x), 0, label[k], t) for k, (x, t) in enumerate(zip(sets, texts))]
+    first, second = (items, items) if sides == 1 else (items[::2], items[1::2])
+    assert len(first) + (sides > 1) * len(second) >= buckets.PIVOTED
+    item = "struct<id:long,size:long,bits:long,label:long,text:string>"
+    groups = spark.createDataFrame([(1, 0, sides - 1, first, second)], f"key long, i int, j int, first array<{item}>, second array<{item}>")
+    got = [tuple(r) for r in buckets.open_links(groups, lines.alike, lines.shingle_hashes, lines.similar).collect()]
+    want = {tuple(sorted((label[x[0]], label[y[0]]))) for x in first for y in second
+            if label[x[0]] != label[y[0]] and lines.linked(frozenset(sets[x[0]]), frozenset(sets[y[0]]))}
+    # labels are ids of items: a row of two labels joins what all rows of their similar items join
+    assert sorted(got) == sorted(want) and len(want) >= 5
+
+
 def test_lines_of_one_hash_are_told_apart(spark, monkeypatch):
     texts = ["the first of two lines that clash", "another line altogether, of that hash", "the first of two lines that clash", "the first of two lines that clash!"]
     plain = lines.lines_of
